@@ -100,8 +100,7 @@ def judged(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS)
     a = a.withColumn("ox_good", good)
     n = F.size("ox_words").cast("long")
     chars = F.aggregate(F.col("ox_words"), F.lit(0).cast("long"), lambda acc, w: acc + F.length(w))
-    a = a.select(
-        *[docs[c] for c in docs.columns],
+    found = F.struct(
         n.alias("ox_n_words"),
         chars.alias("ox_word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("ox_n_symbols"),
@@ -109,6 +108,8 @@ def judged(docs: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS)
         F.coalesce(covered, F.lit(0)).cast("long").alias("ox_n_repeat_words"),
         F.when(F.size("ox_good") == F.size("ox_worded"), text).otherwise(F.array_join("ox_good", "\n")).alias("ox_text"),
     )
+    # Generated, not projected: a filter on the verdict would else be rewritten in terms of the text, all steps repeated.
+    a = a.select(*[docs[c] for c in docs.columns], F.explode(F.array(found)).alias("ox_found")).select(*[docs[c] for c in docs.columns], "ox_found.*")
     failed = (F.col("ox_n_words") < MIN_WORDS) | (100 * F.col("ox_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("ox_n_words"))
     a = a.withColumn("ox_base_failed", failed)
     enough = _non_white(F.col("ox_text")) >= (1 - max_loss) * F.col("ox_word_chars")
