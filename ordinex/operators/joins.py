@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 def latest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last record of each key. By aggregation, so copies of a hot key meet in the map tasks."""
     rest = [c for c in log.columns if c not in keys]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(*keys, "r.*")
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("ox_record")).select(*keys, "ox_record.*")
 
 
 def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:

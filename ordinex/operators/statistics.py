@@ -26,8 +26,9 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
         return n.select(*by, c, (F.sum("k").over(W.partitionBy(*by).orderBy(c)) - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
 
     j = df.select(*by, a, b).join(ranks(a), [*by, a]).join(ranks(b), [*by, b])
-    g = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr(f"rank_{a}", f"rank_{b}").alias("rho"))
-    return g.select(*by, "n", F.when((F.col("n") >= 3) & ~F.isnan("rho"), F.col("rho")).alias("spearman"))
+    x, y = f"rank_{a}", f"rank_{b}"
+    g = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("cov"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("scale"))
+    return g.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("scale") > 0), F.col("cov") / F.col("scale")).alias("spearman"))
 
 
 def risk_curve(df: DataFrame, by: list[str], score: str = "diagnostic", target: str = "reference") -> DataFrame:

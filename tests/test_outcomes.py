@@ -66,7 +66,7 @@ def test_increasing_score_transforms_change_nothing(spark):
 def test_association_is_the_best_of_all_assignments():
     rng = np.random.default_rng(5)
     for _ in range(200):
-        n, m = rng.integers(1, 5), rng.integers(1, 6)
+        n, m = int(rng.integers(1, 5)), int(rng.integers(1, 6))
         x = np.round(rng.random((n, m)) * (rng.random((n, m)) > 0.4), 2)
         got = assign(x)
         total = sum(x[i, j] for i, j in enumerate(got) if j >= 0)
@@ -103,7 +103,8 @@ def test_grid_replay_equals_direct_evaluation(spark):
     rnd = random.Random(9)
     rows = []
     for k in range(25):
-        c = [(*(float(v) for v in ((x := rnd.randint(0, 40)), (y := rnd.randint(0, 40)), x + 12, y + 12)), rnd.random(), "", o) for o in range(5)]
+        corners = [(rnd.randint(0, 40), rnd.randint(0, 40)) for _ in range(5)]
+        c = [(float(x), float(y), x + 12.0, y + 12.0, rnd.random(), "", o) for o, (x, y) in enumerate(corners)]
         p = [(a + rnd.randint(-3, 3), b, d, e + 1, s + rnd.uniform(-0.2, 0.2), "", o) for a, b, d, e, s, _, o in c if rnd.random() < 0.9]
         rows.append((k, 0, c, [tuple(map(float, q[:5])) + q[5:] for q in p]))
     df = spark.createDataFrame(rows, f"ref_id int, r int, clean_candidates array<{geometry.CANDIDATE}>, perturbed_candidates array<{geometry.CANDIDATE}>")
