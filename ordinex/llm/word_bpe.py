@@ -84,7 +84,7 @@ class ChunkEncoder:
                 found[c] = ids
                 continue
             core = c.rstrip(PUNCTUATION)
-            if len(core) == len(c) or not core.isalpha():
+            if len(core) == len(c) or not _stay_letters(core):
                 ask.add(c)
                 continue
             rest = c[len(core) :]
@@ -131,6 +131,11 @@ class ChunkEncoder:
         return out
 
 
+def _stay_letters(core: str) -> bool:
+    """Whether all are letters and remain so when normalized: some beyond ASCII become a letter and a mark."""
+    return core.isalpha() and (core.isascii() or not BEYOND_LATIN.search(core) and core.lower().isalpha())
+
+
 def chunks_of(text: str) -> list[str]:
     if text.isascii() or not BEYOND_LATIN.search(text):
         text = text.lower()
