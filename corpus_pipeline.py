@@ -37,9 +37,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies by five-word shingles, the document with the least id.
+    """Of each group of near copies, the document with the least id. Five-word shingles, five
+    differing bits at most: copies with few edits, of a similarity well above 0.8.
     Rows that repeat the least id (or a null id) are told apart by their text's hash; one stays."""
-    groups = materialize(simhash.near_duplicates(docs, shingle=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("ox_keep")).distinct(), "near-dedup-kept")
+    groups = materialize(simhash.near_duplicates(docs, shingle=5, k=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("ox_keep")).distinct(), "near-dedup-kept")
     kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["ox_keep"]), "left_semi")
     return kept.select(*docs.columns)
 

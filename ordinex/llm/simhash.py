@@ -6,13 +6,14 @@ fingerprints each, and tallying pairs over them grows with the square of the cor
 so the index's terms are the guaranteed minimum itself: each choice of five
 positions with their bytes (56 to a fingerprint). Every pair that reaches the minimum
 meets under a term; there its shared positional bytes are tallied, pairs below the
-minimum dropped, and the others verified by their differing bits.
+minimum dropped, and the others verified by their differing bits. Other ``k`` up to 7
+work alike, with 8 - k positions in a term.
 
-Equal fingerprints are one node, so copies add nothing. Under a term only three
-bytes are free: a long list is linked by looking up each member's neighbours at up to
-three flipped bits in a bitmap of these 24 bits, not by comparing all pairs, and
-only a spanning forest of links leaves a list. Components are found by minimum labels
-with pointer jumping, on the executors.
+Equal fingerprints are one node, so copies add nothing. A list is searched breadth
+first: what is linked leaves the members yet to be reached, so a dense group is left
+in a few steps, and only a spanning forest leaves the list. A list so long that this
+could cost more looks up each member's neighbours at up to ``k`` flipped bits instead.
+Components are found by minimum labels with pointer jumping, on the executors.
 
 Defined results: a null text or one without words has fingerprint zero; texts with
 fewer words than a shingle are one shingle; null ids rank above all others as
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +34,8 @@ from pyspark.sql import functions as F
 from .common import hex64, materialize, texts
 
 BITS, SEED = 3, 42
-#: Every choice of the positions that a linked pair shares at least.
-TERMS = list(combinations(range(8), 8 - BITS))
-#: Lists up to this long are compared pair by pair in blocks, longer ones by neighbours.
-PAIRWISE = 2048
+#: Lists up to this long are searched; beyond it, whichever way has the lesser bound.
+SEARCHED = 2048
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -82,48 +82,56 @@ def linked(values: np.ndarray, k: int = BITS) -> list[tuple[int, int]]:
     """Links (index, index) that span the components of ``values``, distinct unsigned integers that
     share the bytes of a term, at up to ``k`` differing bits."""
     n = len(values)
-    parent = np.arange(n)
+    moving = int(np.bitwise_or.reduce(values ^ values[0]))
+    bits = [b for b in range(64) if moving >> b & 1]
+    lookups = sum(comb(len(bits), d) for d in range(1, k + 1))
+    return _searched(values, k) if n <= SEARCHED or n < 2 * lookups else _looked_up(values, k, bits)
+
+
+def _searched(values: np.ndarray, k: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
+    rest = np.arange(len(values))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            diff = values[rest] ^ values[x]
+            # Tally shared positional bytes first, then verify the bits of those that have enough.
+            near = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - k
+            near[near] = np.bitwise_count(diff[near]) <= k
+            hits = rest[near]
+            out += [(int(x), int(h)) for h in hits]
+            queue.extend(hits)
+            rest = rest[~near]
+    return out
 
-    def join(i: int, j: int) -> None:
-        a, b = _find(parent, i), _find(parent, j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((min(a, b), max(a, b)))
-
-    if n <= PAIRWISE:
-        step = max(1, 1_000_000 // n)
-        for s in range(0, n, step):
-            x = values[s : s + step, None] ^ values[None, :]
-            # Tally shared positional bytes first, then verify the bits.
-            shared = (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2)
-            near = (shared >= 8 - k) & (np.bitwise_count(x) <= k)
-            i, j = np.nonzero(near)
-            for a, b in zip(i + s, j):
-                if a < b:
-                    join(int(a), int(b))
-        return out
-    # The free bits of the list, packed to the right: at most 24 for a term's list.
-    moving = np.bitwise_or.reduce(values ^ values[0])
-    bits = [b for b in range(64) if int(moving) >> b & 1]
-    packed = np.zeros(n, np.int64)
+
+def _looked_up(values: np.ndarray, k: int, bits: list[int]) -> list[tuple[int, int]]:
+    n = len(values)
+    parent = np.arange(n)
+    out: list[tuple[int, int]] = []
+    packed = np.zeros(n, np.int64)  # the bits that differ in the list, packed to the right
     for at, b in enumerate(bits):
         packed |= ((values >> np.uint64(b)) & np.uint64(1)).astype(np.int64) << at
     order = np.argsort(packed)
-    sorted_ = packed[order]
+    ordered = packed[order]
     for d in range(1, k + 1):
         for flips in combinations(range(len(bits)), d):
             other = packed ^ sum(1 << f for f in flips)
-            at = np.minimum(np.searchsorted(sorted_, other), n - 1)
-            hit = np.flatnonzero((sorted_[at] == other) & (packed < other))
-            for i in hit:
-                join(int(i), int(order[at[i]]))
+            at = np.minimum(np.searchsorted(ordered, other), n - 1)
+            for i in np.flatnonzero((ordered[at] == other) & (packed < other)):
+                a, b = _find(parent, int(i)), _find(parent, int(order[at[i]]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((int(i), int(order[at[i]])))
     return out
 
 
 def links(nodes: DataFrame, k: int = BITS) -> DataFrame:
     """``(a, b)`` that span all links between distinct fingerprints ``fp`` of ``nodes``."""
-    masks = [sum(0xFF << _byte(p) for p in t) for t in TERMS]
+    if not 0 < k < 8:
+        raise ValueError("k from 1 to 7: a pair must share a byte")
+    masks = [sum(0xFF << _byte(p) for p in t) for t in combinations(range(8), 8 - k)]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("term", "part"))
     lists = keyed.repartition("term", "part").sortWithinPartitions("term", "part")

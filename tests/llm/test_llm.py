@@ -227,26 +227,27 @@ def test_simhash_against_all_pairs(spark, docs, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_chains_and_dense_groups_of_fingerprints(spark, monkeypatch):
+@pytest.mark.parametrize("k", [3, 5])
+def test_chains_and_dense_groups_of_fingerprints(spark, k):
     rnd = random.Random(4)
     base = rnd.getrandbits(64)
     fps = {base}
     x = base
-    for k in range(40):  # a chain whose ends are far apart
-        x ^= 1 << (k * 13 % 64) | 1 << (k * 29 % 64)
+    for j in range(40):  # a chain whose ends are far apart
+        x ^= 1 << (j * 13 % 64) | 1 << (j * 29 % 64)
         fps.add(x)
     for _ in range(300):  # a dense group
         fps.add(base ^ sum(1 << b for b in rnd.sample(range(20), rnd.randint(0, 4))))
     fps |= {rnd.getrandbits(64) for _ in range(200)}
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    want = brute_components({s: s & (1 << 64) - 1 for s in signed})
+    want = brute_components({s: s & (1 << 64) - 1 for s in signed}, k)
     nodes = spark.createDataFrame([(s,) for s in signed], "fp long").repartition(3)
-    labels = {r["node"]: r["label"] for r in simhash.components(simhash.links(nodes)).collect()}
+    labels = {r["node"]: r["label"] for r in simhash.components(simhash.links(nodes, k)).collect()}
     assert {s: labels.get(s, s) for s in signed} == want
     own = np.array(sorted(f for f in fps if (f ^ base) >> 20 == 0), dtype=np.uint64)
     pairwise = simhash.linked(own)
-    monkeypatch.setattr(simhash, "PAIRWISE", 1)
-    assert len(simhash.linked(own)) == len(pairwise)
+    bits = [b for b in range(64) if int(np.bitwise_or.reduce(own ^ own[0])) >> b & 1]
+    assert len(simhash._looked_up(own, 3, bits)) == len(pairwise)
 
 
 # 5. Byte-level BPE
@@ -487,4 +488,4 @@ def test_pipeline(spark, docs, empty):
     assert {i: t or "" for i, t in d.items()} == deduped(awkward())
     n = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()}
     fps = {i: simhash.fingerprint(t, 5) for i, t in awkward()}
-    assert n == {i for i, c in brute_components(fps).items() if i == c}
+    assert n == {i for i, c in brute_components(fps, 5).items() if i == c}
