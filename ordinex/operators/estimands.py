@@ -176,3 +176,37 @@ def transfer(facts: DataFrame) -> DataFrame:
     return a.groupBy("model").agg(
         F.count(F.lit(1)).alias("samples"), F.avg(F.col("eligible").cast("double")).alias("eligibility"), F.avg(F.col("n_covered") / F.col("n")).alias("coverage"), F.avg(op).alias("eligible_operational"), F.avg(F.coalesce(op, F.lit(0.0))).alias("full_operational")
     )
+
+
+def profiles(facts: DataFrame) -> DataFrame:
+    """The profile of each sample and split: estimates, risks, and shares of families, failures and culprits as maps."""
+    e = facts.filter("eligible = 1")
+    keys = ["model", "ref_id", "split"]
+
+    def shares(column: str, source: DataFrame, out: str) -> DataFrame:
+        n = source.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"))
+        return n.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(column).cast("string"), "n")))).alias(out))
+
+    base = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("probes"), F.avg("coverage").alias("coverage"), (F.sum("stable") / F.nullif(F.sum("coverage"), F.lit(0))).alias("conditional"), F.avg("stable").alias("operational"))
+    base = base.withColumns({"coverage_risk": 1 - F.col("coverage"), "ranking_risk": F.col("coverage") * (1 - F.coalesce("conditional", F.lit(0.0)))})
+    for column, source, out in (("family", e, "families"), ("failure", e.filter("failure <> 'stable'"), "failures"), ("culprit", e.filter("culprit IS NOT NULL"), "culprits")):
+        base = base.join(shares(column, source, out), keys, "left")
+    return base
+
+
+def cap_truncation(facts: DataFrame, exposed: str, cap: int) -> DataFrame:
+    """Share of probes at the exposure cap, stability, and its pessimistic bound with those counted as failures."""
+    hit = (F.col(exposed) >= cap).cast("int")
+    ok = F.col("eligible") * F.col("stable")
+    a = facts.groupBy("model").agg(F.avg(hit.cast("double")).alias("cap_fraction"), F.avg(ok.cast("double")).alias("theta"), F.avg((ok * (1 - hit)).cast("double")).alias("pessimistic"))
+    return a.withColumn("correction", F.col("theta") - F.col("pessimistic"))
+
+
+def exposure_deltas(facts: DataFrame, exposed: str, caps: list[int]) -> DataFrame:
+    """Stability at each exposure against the first: change, both directions of flips, agreement."""
+    at = lambda c: F.col("stable") * (F.col(exposed) <= c).cast("int")
+    a = facts.filter("eligible = 1").select("model", at(caps[0]).alias("old"), F.explode(F.array(*[F.struct(F.lit(c).alias("exposure"), at(c).alias("new")) for c in caps])).alias("x"))
+    old, new = F.col("old"), F.col("x.new")
+    return a.groupBy("model", "x.exposure").agg(
+        F.avg((new - old).cast("double")).alias("delta"), F.sum(((old == 0) & (new == 1)).cast("long")).alias("fail_to_stable"), F.sum(((old == 1) & (new == 0)).cast("long")).alias("stable_to_fail"), F.avg((old == new).cast("double")).alias("agreement")
+    )

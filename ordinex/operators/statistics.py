@@ -115,26 +115,66 @@ def allocation(components: DataFrame, by: list[str], cost_ratios: list[float], l
     return a.select(*by, "cost_ratio", optimal_probes(x, y, F.col("cost_ratio"), F.lit(1.0), low, high).alias("probes"), probes_for_share(x, y, 0.1).alias("probes_for_tenth"))
 
 
-def bootstrap_means(units: DataFrame, by: list[str], value: str, repetitions: int = 2000, seed: int = 0, block: int = 100) -> DataFrame:
-    """Percentile intervals (95 %) of the mean of ``value`` over units, by the Poisson bootstrap.
+def _weighted(units: DataFrame, key: list[str], repetitions: int, seed: int) -> DataFrame:
+    """``units`` with ``rep`` and ``w``, Poisson(1) from a hash of the key, the seed and the repetition.
 
-    A unit counts Poisson(1) times in each repetition, drawn from a hash of its row, the
-    seed and the repetition: results don't depend on how rows are dealt, no task needs all
-    units of a group, and what is shuffled are sums for each repetition.
+    Rows of one key have one weight in a repetition, whatever their group: groups that share keys are paired.
     """
-    key = F.xxhash64(*units.columns, F.lit(seed))
-    reps = units.select(*by, F.col(value).cast("double").alias("v"), key.alias("u")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    draw = (F.shiftrightunsigned(F.xxhash64("u", "rep"), 11) + 0.5) / float(1 << 53)
+    u = F.xxhash64(*key, F.lit(seed))
+    a = units.withColumn("ox_u", u).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+    draw = (F.shiftrightunsigned(F.xxhash64("ox_u", "rep"), 11) + 0.5) / float(1 << 53)
     # The quantile function of Poisson(1): how many of its cumulative probabilities the draw exceeds.
     cumulative, term, total = [], math.exp(-1), 0.0
     for k in range(12):
         total += term
         cumulative.append(total)
         term /= k + 1
-    times = sum(((draw > c).cast("int") for c in cumulative), F.lit(0))
-    means = reps.withColumn("w", times).groupBy(*by, "rep").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    q = F.percentile("m", [0.025, 0.5, 0.975])
-    return means.groupBy(*by).agg(q.alias("q"), F.stddev_samp("m").alias("se")).select(*by, F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("upper"), "se")
+    return a.withColumn("w", sum(((draw > c).cast("int") for c in cumulative), F.lit(0))).drop("ox_u")
+
+
+def _intervals(draws: DataFrame, by: list[str], value: str) -> DataFrame:
+    q = F.percentile(value, [0.025, 0.5, 0.975])
+    g = draws.groupBy(*by).agg(q.alias("q"), F.stddev_samp(value).alias("se"))
+    return g.select(*by, F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("upper"), "se")
+
+
+def bootstrap_ratios(units: DataFrame, by: list[str], numerator: str, denominator: str | None = None, key: list[str] | None = None, repetitions: int = 2000, seed: int = 0) -> DataFrame:
+    """Percentile intervals (95 %) of a ratio of sums over units (the mean, without a denominator), by the Poisson bootstrap.
+
+    Results don't depend on how rows are dealt, no task needs all units of a group, and
+    what is shuffled are sums for each repetition. A repetition without weight counts 0 for a ratio.
+    """
+    d = F.lit(1.0) if denominator is None else F.col(denominator).cast("double")
+    a = units.select(*{*by, *(key or [])}, F.col(numerator).cast("double").alias("ox_n"), d.alias("ox_d")) if key else units.withColumns({"ox_n": F.col(numerator).cast("double"), "ox_d": d})
+    r = _weighted(a, key or units.columns, repetitions, seed).groupBy(*by, "rep").agg(F.sum(F.col("w") * F.col("ox_n")).alias("n"), F.sum(F.col("w") * F.col("ox_d")).alias("d"))
+    return _intervals(r.withColumn("m", F.when(F.col("d") > 0, F.col("n") / F.col("d")).otherwise(F.lit(0.0))), by, "m")
+
+
+def bootstrap_means(units: DataFrame, by: list[str], value: str, repetitions: int = 2000, seed: int = 0) -> DataFrame:
+    return bootstrap_ratios(units, by, value, repetitions=repetitions, seed=seed)
+
+
+def bootstrap_deltas(units: DataFrame, group: str, value: str, key: list[str], repetitions: int = 2000, seed: int = 0) -> DataFrame:
+    """Intervals of the difference of means for each pair of groups. Groups with common keys are paired; without, independent."""
+    m = _weighted(units.select(group, value, *key), key, repetitions, seed).groupBy(group, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    a, b = m.select(F.col(group).alias("group_a"), "rep", F.col("m").alias("ma")), m.select(F.col(group).alias("group_b"), "rep", F.col("m").alias("mb"))
+    return _intervals(a.join(b, "rep").filter("group_a < group_b").withColumn("gap", F.col("ma") - F.col("mb")), ["group_a", "group_b"], "gap")
+
+
+def bootstrap_minimum_gaps(values: DataFrame, group: str, setting: str, value: str, key: list[str], repetitions: int = 2000, seed: int = 0) -> DataFrame:
+    """Intervals of the least gap over all settings, taken inside each repetition, for each pair of groups."""
+    m = _weighted(values.select(group, setting, value, *key), key, repetitions, seed).groupBy(group, setting, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    a, b = m.select(F.col(group).alias("group_a"), setting, "rep", F.col("m").alias("ma")), m.select(F.col(group).alias("group_b"), setting, "rep", F.col("m").alias("mb"))
+    least = a.join(b, [setting, "rep"]).filter("group_a < group_b").groupBy("group_a", "group_b", "rep").agg(F.min(F.col("ma") - F.col("mb")).alias("gap"))
+    return _intervals(least, ["group_a", "group_b"], "gap")
+
+
+def split_halves(facts: DataFrame, seed: int = 0) -> DataFrame:
+    """``model, ref_id, half_a, half_b``: stability over two halves of a sample's eligible probes, balanced by
+    family: each family's probes alternate in the order of a hash."""
+    order = F.row_number().over(W.partitionBy("model", "ref_id", "family").orderBy(F.xxhash64("ref_id", "split", "ord", F.lit(seed)), "split", "ord"))
+    a = facts.filter("eligible = 1").withColumn("half", order % 2)
+    return a.groupBy("model", "ref_id").agg(F.avg(F.when(F.col("half") == 1, F.col("stable"))).alias("half_a"), F.avg(F.when(F.col("half") == 0, F.col("stable"))).alias("half_b")).filter("half_a IS NOT NULL AND half_b IS NOT NULL")
 
 
 def stratified_probes(base_seed: int, image_id: int, ref_id: int, per_family: int, law: list[tuple[str, float, float, float]]) -> list[tuple[str, float, int]]:

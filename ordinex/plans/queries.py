@@ -408,3 +408,51 @@ def probe_registry(spark: SparkSession, d: str) -> DataFrame:
 
 
 _add("probe_registry", probe_registry)
+
+
+_add(
+    "cap_truncation",
+    _on_facts(lambda f: E.cap_truncation(f, "q", 45)),
+    """SELECT model, avg((l_quantity::INT >= 45)::INT) AS cap_fraction, avg(eligible * stable) AS theta, avg(eligible * stable * (l_quantity::INT < 45)::INT) AS pessimistic,
+       avg(eligible * stable) - avg(eligible * stable * (l_quantity::INT < 45)::INT) AS correction FROM f GROUP BY model""",
+    FACTS_SQL.replace("FROM f0)", ", l_quantity FROM f0)"),
+    "cap_fraction theta pessimistic correction",
+    "model",
+)
+_add(
+    "exposure_deltas",
+    _on_facts(lambda f: E.exposure_deltas(f, "q", [20, 30, 40, 50])),
+    """SELECT model, exposure, avg(n - o) AS delta, sum((o = 0 AND n = 1)::INT) AS fail_to_stable, sum((o = 1 AND n = 0)::INT) AS stable_to_fail, avg((o = n)::INT) AS agreement
+       FROM (SELECT model, exposure, stable * (l_quantity::INT <= 20)::INT AS o, stable * (l_quantity::INT <= exposure)::INT AS n FROM f, (VALUES (20), (30), (40), (50)) e(exposure) WHERE eligible = 1) GROUP BY ALL""",
+    FACTS_SQL.replace("FROM f0)", ", l_quantity FROM f0)"),
+    "delta agreement",
+    "model exposure fail_to_stable stable_to_fail",
+)
+_add(
+    "strata_estimands",
+    _on_facts(lambda f: E.pooled(f.withColumn("stratum", scalars.length_bin(F.col("ref_id") % 40 + 3)), ["model", "stratum"])),
+    _pooled_sql("(SELECT *, CASE WHEN ref_id % 40 + 3 <= 18 THEN 'short' WHEN ref_id % 40 + 3 <= 29 THEN 'medium' ELSE 'long' END AS stratum FROM f)", "model, stratum"),
+    doubles=P_D,
+    ints=P_I + " model",
+)
+_add(
+    "sample_profiles",
+    _on_facts(lambda f: E.profiles(f).select("model", "ref_id", "split", "probes", "coverage", "conditional", "operational", "coverage_risk", "ranking_risk", F.coalesce(F.element_at("failures", F.lit("winner_missing")), F.lit(0)).alias("winner_missing"), F.size(F.coalesce("culprits", F.create_map().cast("map<string,bigint>"))).alias("culprit_kinds"))),
+    """SELECT model, ref_id, split, count(*) AS probes, avg(coverage) AS coverage, sum(stable) / nullif(sum(coverage), 0)::DOUBLE AS conditional, avg(stable) AS operational, 1 - avg(coverage) AS coverage_risk,
+       avg(coverage) * (1 - coalesce(sum(stable) / nullif(sum(coverage), 0)::DOUBLE, 0)) AS ranking_risk, count(*) FILTER (WHERE failure = 'winner_missing') AS winner_missing, count(DISTINCT culprit) AS culprit_kinds
+       FROM f WHERE eligible = 1 GROUP BY ALL""",
+    doubles="coverage conditional operational coverage_risk ranking_risk",
+    ints="model ref_id probes winner_missing culprit_kinds",
+)
+_add("bootstrap_ratio_coverage", _on_facts(lambda f: S.bootstrap_ratios(E.sample_stats(f).filter("split = 'reference'"), ["model"], "n_stable", "n_covered", ["ref_id"], 200, 11)))
+_add("bootstrap_model_deltas", _on_facts(lambda f: S.bootstrap_deltas(E.paired_profiles(f), "model", "reference", ["ref_id"], 100, 5)))
+
+
+def _grid_values(spark: SparkSession, d: str) -> DataFrame:
+    t = F.explode(F.array(*[F.struct(F.lit(k).alias("setting_index"), F.lit(q).alias("q")) for k, q in enumerate((0.5, 0.7, 0.9))])).alias("s")
+    a = facts(spark, d).select("model", "ref_id", "eligible", "stable", "quality", t)
+    return a.groupBy("model", "ref_id", "s.setting_index").agg(F.avg((F.col("eligible") * F.col("stable") * (F.col("quality") >= F.col("s.q")).cast("int")).cast("double")).alias("v"))
+
+
+_add("bootstrap_minimum_gap", lambda s, d: S.bootstrap_minimum_gaps(_grid_values(s, d), "model", "setting_index", "v", ["ref_id"], 50, 5))
+_add("split_half_metrics", _on_facts(lambda f: E.prediction_metrics(S.split_halves(f), ["model"], "half_a", "half_b")))
