@@ -46,6 +46,8 @@ def collisions(canons: DataFrame) -> DataFrame:
     each task's least and greatest text of a digest, and only buckets in which they
     differ are gathered. (Beyond two XXH64 at random, none does.)"""
     spread = canons.groupBy("digest").agg(F.min("canon").alias("low"), F.max("canon").alias("high")).filter(F.col("low") != F.col("high")).select("digest")
+    # Written first: it is all but empty, and its known size spares the texts another shuffle.
+    spread = materialize(spread, "spread-digests")
     texts_ = canons.join(spread, "digest", "left_semi").distinct()
     return texts_.select("digest", "canon", (F.row_number().over(W.partitionBy("digest").orderBy("canon")) - 1).alias("ordinal"))
 
