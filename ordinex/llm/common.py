@@ -24,11 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
