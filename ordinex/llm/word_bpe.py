@@ -106,22 +106,26 @@ class ChunkEncoder:
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text of a batch; null: none. What is new in the batch goes to the library together."""
         out: list[bytes] = []
-        open_: list[tuple[int, list[str], list[bytes | None]]] = []
+        open_: list[tuple[int, list[bytes | None], list[int], list[str]]] = []
         missing: set[str] = set()
 
         def put() -> None:
             found = self._learn(missing)
-            for k, chunks, ids in open_:
-                out[k] = b"".join([found[c] if i is None else i for c, i in zip(chunks, ids)])
+            for k, ids, places, names in open_:
+                for i, c in zip(places, names):
+                    ids[i] = found[c]
+                out[k] = b"".join(ids)
             open_.clear()
             missing.clear()
 
         for t in texts:
             chunks = chunks_of(t or "")
             ids = list(map(self.young.get, chunks))
-            if None in ids:
-                open_.append((len(out), chunks, ids))
-                missing.update([c for c, i in zip(chunks, ids) if i is None])
+            places = nones(ids)
+            if places:
+                names = [chunks[i] for i in places]
+                open_.append((len(out), ids, places, names))
+                missing.update(names)
                 out.append(b"")
                 if len(missing) > KEPT // 5:
                     put()
@@ -131,6 +135,18 @@ class ChunkEncoder:
         return out
 
 
+def nones(x: list) -> list[int]:
+    """Places of None."""
+    out: list[int] = []
+    at = -1
+    try:
+        while True:
+            at = x.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 def _stay_letters(core: str) -> bool:
     """Whether all are letters and remain so when normalized: some beyond ASCII become a letter and a mark."""
     return core.isalpha() and (core.isascii() or not BEYOND_LATIN.search(core) and core.lower().isalpha())
