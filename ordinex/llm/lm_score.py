@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, texts
 from .unigram import SPACE, Vocabulary, vocabulary
 
-#: Words in a block; Arrow rows sent at once; characters from which a word's lattice is summed in log space in training.
+#: Words in a block; Arrow rows sent at once; characters beyond which a word is summed in log space in training.
 BLOCK_WORDS, ROWS, LONG = 3_000_000, 100_000, 60
 
 
@@ -53,61 +53,98 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Lattice:
-    """Forward (and backward) recursion over a word's segmentations under given weights."""
+    """Forward (and backward) recursion over a word's segmentations under given weights.
+
+    Words that come in order share prefixes: what is known of the last word's first
+    characters is kept. Training takes scaled probabilities where a word is short
+    enough for them, and log space beyond; scores are always in log space.
+    """
 
     def __init__(self, v: Vocabulary, log_p: list[float]):
         self.v = v
         self.log = {p: log_p[k] for p, k in v.index.items()}
-        self.p = {p: math.exp(x) for p, x in self.log.items()}
         self.byte_log = [log_p[v.bytes[b]] if b in v.bytes else -math.inf for b in range(256)]
+        self.weight = {p: (math.exp(x), v.index[p]) for p, x in self.log.items()}
+        self.last, self.forward = "", [0.0]
+        self.seen, self.linear, self.edges_of = "", [1.0], [[]]
 
-    def edges(self, s: str, i: int) -> Iterator[tuple[int, float]]:
+    def edges(self, s: str, i: int) -> list[tuple[int, float]]:
         """(start, log weight) of the pieces that end at ``i``; a character that is no piece by its bytes."""
-        log = self.log
-        last = s[i - 1]
-        if last not in log:
-            yield i - 1, sum(self.byte_log[b] for b in last.encode())
-        for j in range(max(0, i - self.v.longest), i):
-            w = log.get(s[j:i])
-            if w is not None:
-                yield j, w
+        get = self.log.get
+        out = [(j, w) for j in range(max(0, i - self.v.longest), i) if (w := get(s[j:i])) is not None]
+        if s[i - 1] not in self.log:
+            out.append((i - 1, sum([self.byte_log[b] for b in s[i - 1].encode()])))
+        return out
 
     def log_marginal(self, word: str) -> float:
         """Natural log of the summed probability of all segmentations."""
         s = SPACE + word
-        a = [0.0]
+        a = self.forward
+        del a[_common(s, self.last) + 1 :]
         exp, log = math.exp, math.log
-        for i in range(1, len(s) + 1):
+        for i in range(len(a), len(s) + 1):
             terms = [a[j] + w for j, w in self.edges(s, i)]
             top = max(terms)
             a.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
+        self.last = s
         return a[-1]
 
-    def expect(self, word: str, times: float, into: np.ndarray) -> None:
+    def expect(self, word: str, times: float, into: list[float]) -> None:
         """Add the expected counts of each piece in ``times`` occurrences of ``word``."""
+        if len(word) > LONG:
+            self._expect_long(word, times, into)
+            return
         s = SPACE + word
         n = len(s)
-        edges = [list(self.edges(s, i)) for i in range(1, n + 1)]
-        exp, log = math.exp, math.log
-        a = [0.0]
-        for e in edges:
-            terms = [a[j] + w for j, w in e]
-            top = max(terms)
-            a.append(top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms])))
-        b = [0.0] * (n + 1)  # scaled: exp(log backward + what is left of the total)
-        b[n] = 1.0
+        a, edges = self.linear, self.edges_of
+        keep = _common(s, self.seen) + 1
+        del a[keep:], edges[keep:]
+        get, longest = self.weight.get, self.v.longest
+        for i in range(len(a), n + 1):
+            own = [(j, *x) for j in range(max(0, i - longest), i) if (x := get(s[j:i])) is not None]
+            if s[i - 1] not in self.weight:
+                own.append((i - 1, math.exp(sum([self.byte_log[b] for b in s[i - 1].encode()])), -1))
+            edges.append(own)
+            a.append(sum([a[j] * w for j, w, _ in own]))
+        self.seen = s
+        b = [0.0] * (n + 1)  # of all segmentations, those with a cut here
+        b[n] = times
         for i in range(n, 0, -1):
-            if b[i] == 0.0:
-                continue
-            for j, w in edges[i - 1]:
-                share = b[i] * exp(a[j] + w - a[i])  # of all segmentations, those with this edge
-                b[j] += share
-                k = self.v.index.get(s[j:i])
-                if k is not None:
-                    into[k] += share * times
-                else:
-                    for x in s[j:i].encode():
-                        into[self.v.bytes[x]] += share * times
+            if b[i]:
+                scale = b[i] / a[i]
+                for j, w, k in edges[i]:
+                    share = scale * a[j] * w
+                    b[j] += share
+                    if k >= 0:
+                        into[k] += share
+                    else:
+                        for x in s[j:i].encode():
+                            into[self.v.bytes[x]] += share
+
+    def _expect_long(self, word: str, times: float, into: list[float]) -> None:
+        s = SPACE + word
+        self.log_marginal(word)
+        a = self.forward
+        b = [0.0] * (len(s) + 1)
+        b[-1] = times
+        for i in range(len(s), 0, -1):
+            if b[i]:
+                for j, w in self.edges(s, i):
+                    share = b[i] * math.exp(a[j] + w - a[i])
+                    b[j] += share
+                    k = self.v.index.get(s[j:i])
+                    for x in [k] if k is not None else [self.v.bytes[c] for c in s[j:i].encode()]:
+                        into[x] += share
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common prefix."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
 def _strings(x: list[bytes]) -> pa.Array:
@@ -153,10 +190,11 @@ def fit(words: DataFrame, v_path: str, ends: int, prior: float = 1.0, rounds: in
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = vocabulary(v_path)
-            lattice, into = Lattice(own, shared.value), np.zeros(own.size)
+            lattice, sums = Lattice(own, shared.value), [0.0] * own.size
             for b in batches:
-                for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    lattice.expect(w.decode(), c, into)
+                for w, c in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                    lattice.expect(w.decode(), c, sums)
+            into = np.array(sums)
             some = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(into[some])], names=["piece", "n"])
 
@@ -185,8 +223,9 @@ def score(docs: DataFrame, vocabulary_path: str, prior: float = 1.0, rounds: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(vocabulary(vocabulary_path), shared.value)
         for b in batches:
-            lp = [lattice.log_marginal(w.decode()) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
+            rows = sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            lp = [lattice.log_marginal(w.decode()) for w, _ in rows]
+            yield pa.RecordBatch.from_arrays([_strings([w for w, _ in rows]), pa.array([c for _, c in rows], pa.int64()), pa.array(lp, pa.float64())], names=["word", "c", "lp"])
 
     scored = words.select("word", "c").mapInArrow(run, "word binary, c long, lp double")
     blocks = max(1, math.ceil((s["all"] or 0) / BLOCK_WORDS))

@@ -296,12 +296,14 @@ def segmentations(v, s):
 def test_lattice_sums_all_segmentations():
     v = unigram.vocabulary(P.path("piece_bpe_32k.model"))
     lattice = lm_score.Lattice(v, v.log_p)
-    for w in ("the", "thering", "é\u07f7x", "a🙂b", ""):
+    for w in ("the", "thering", "there", "thering", "é\u07f7x", "a🙂b", ""):
         all_ = list(segmentations(v, "▁" + w))
         p = [math.exp(sum(v.log_p[k] for k in x)) for x in all_]
         assert lattice.log_marginal(w) == pytest.approx(math.log(sum(p)))
-        into, want = np.zeros(v.size), Counter()
+        into, far, want = np.zeros(v.size), np.zeros(v.size), Counter()
         lattice.expect(w, 2.0, into)
+        lattice._expect_long(w, 2.0, far)
+        assert far == pytest.approx(into)
         for x, q in zip(all_, p):
             for k in x:
                 want[k] += 2 * q / sum(p)
