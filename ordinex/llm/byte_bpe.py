@@ -1,9 +1,9 @@
 """Byte-level BPE by rank files: encoding with a hierarchical-bitmap rank queue, and decoding.
 
 A pre-token's bytes are a linked list. Each adjacent pair that is a known token is
-entered, at its position, in the bucket of its rank; three levels of 64-bit words say
-which buckets hold anything, so the least rank is found by find-first-set on one word
-of each level. A popped position whose pair has changed meanwhile is stale and is
+entered, at its position, in the bucket of its rank; two levels of bit words, as wide as
+the root of the number of ranks, say which buckets hold anything, so the least rank is
+found by find-first-set on one word of each level. A popped position whose pair has changed meanwhile is stale and is
 skipped. Of equal ranks the leftmost comes first. Each merge costs a constant number
 of queue operations, however long the pre-token.
 
@@ -38,42 +38,36 @@ KEPT, KEPT_CHARS = 200_000, 40
 
 
 class RankQueue:
-    """A priority queue of (rank, position) for ranks below 64**3, empty again after each use."""
+    """A priority queue of (rank, position), empty again after each use.
+
+    A word of ``low`` has a bit for each of ``1 << shift`` ranks, ``top`` a bit for each
+    word of ``low``. The loop of ``merge`` does the same on these fields in place.
+    """
 
     def __init__(self, ranks: int):
-        if ranks > 64**3:
-            raise ValueError("three levels hold 262,144 ranks")
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
+        self.shift = (ranks.bit_length() + 1) // 2
+        self.mask = (1 << self.shift) - 1
+        self.low = [0] * ((ranks >> self.shift) + 1)
         self.top = 0
+        self.bit = [1 << k for k in range(1 << self.shift)]
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
+        heappush(self.buckets.setdefault(rank, []), position)
+        self.low[rank >> self.shift] |= self.bit[rank & self.mask]
+        self.top |= self.bit[rank >> self.shift]
 
     def pop(self) -> tuple[int, int]:
-        top = self.top
-        i = (top & -top).bit_length() - 1
-        word = self.mid[i]
-        j = i << 6 | (word & -word).bit_length() - 1
-        word = self.low[j]
-        rank = j << 6 | (word & -word).bit_length() - 1
+        high = (self.top & -self.top).bit_length() - 1
+        first = self.low[high] & -self.low[high]
+        rank = high << self.shift | first.bit_length() - 1
         bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            self.low[j] &= ~(1 << (rank & 63))
-            if not self.low[j]:
-                self.mid[i] &= ~(1 << (j & 63))
-                if not self.mid[i]:
-                    self.top &= ~(1 << i)
+            self.low[high] ^= first
+            if not self.low[high]:
+                self.top ^= self.bit[high]
         return rank, position
 
 
@@ -98,40 +92,66 @@ class ByteBpe:
         ranks = self.ranks
         if (whole := ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
+        # The queue's operations stand in the loop itself: calls would take half of the time.
+        get, queue = ranks.get, self.queue
+        low, bit, shift, mask, buckets = queue.low, queue.bit, queue.shift, queue.mask, queue.buckets
+        n, top = len(piece), 0
         after = list(range(1, n + 2))  # where the next part starts
         before = list(range(-1, n))
         pair = [-1] * (n + 1)  # rank of the part here joined with the next; -1: none, or no part starts here
-        push, pop, queue = self.queue.push, self.queue.pop, self.queue
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
+            rank = get(piece[i : i + 2])
             if rank is not None:
                 pair[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
-            if pair[i] != rank:
+                if rank in buckets:
+                    buckets[rank].append(i)  # ascending positions are a heap
+                else:
+                    buckets[rank] = [i]
+                    high = rank >> shift
+                    low[high] |= bit[rank & mask]
+                    top |= bit[high]
+        while top:
+            high = (top & -top).bit_length() - 1
+            word = low[high]
+            first = word & -word
+            least = high << shift | first.bit_length() - 1
+            bucket = buckets[least]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[least]
+                low[high] = word = word ^ first
+                if not word:
+                    top ^= bit[high]
+            if pair[i] != least:
                 continue
             j = after[i]
             k = after[j]
             after[i] = k
-            pair[j] = -1
+            pair[i] = pair[j] = -1
             if k < n:
                 before[k] = i
-                rank = ranks.get(piece[i : after[k]])
+                rank = get(piece[i : after[k]])
                 if rank is not None:
                     pair[i] = rank
-                    push(rank, i)
-                else:
-                    pair[i] = -1
-            else:
-                pair[i] = -1
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        high = rank >> shift
+                        low[high] |= bit[rank & mask]
+                        top |= bit[high]
             if i:
                 h = before[i]
-                rank = ranks.get(piece[h:k])
+                rank = get(piece[h:k])
                 if rank is not None:
                     pair[h] = rank
-                    push(rank, h)
+                    if rank in buckets:
+                        heappush(buckets[rank], h)
+                    else:
+                        buckets[rank] = [h]
+                        high = rank >> shift
+                        low[high] |= bit[rank & mask]
+                        top |= bit[high]
                 else:
                     pair[h] = -1
         out, i = [], 0
