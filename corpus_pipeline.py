@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, packing.
+"""The corpus pipeline: quality rules, line dedup, near-dedup, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before it
 kept; its result is written as Parquet and read again. All stages but the last
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordinex.llm import line_dedup, packing, quality, simhash
+from ordinex.llm import line_dedup, near_copies, packing, quality
 from ordinex.llm.common import materialize
 from ordinex.llm.queries import MAX_TOKENS, PACK_END, WORD_BPE
 
@@ -37,12 +37,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the least id. Five-word shingles, five
-    differing bits at most: copies with few edits, of a similarity well above 0.8.
-    Rows that repeat the least id (or a null id) are told apart by their text's hash; one stays."""
-    groups = materialize(simhash.near_duplicates(docs, shingle=5, k=5).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("ox_keep")).distinct(), "near-dedup-kept")
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["ox_keep"]), "left_semi")
-    return kept.select(*docs.columns)
+    """Of each group of near copies, linked by a Jaccard similarity of their five-word shingles of 0.8
+    or more, or by their SimHashes of five differing bits at most, the document with the least id."""
+    rows = near_copies.labelled(docs, shingle=5, k=5)
+    kept = materialize(rows.groupBy("ox_label").agg(F.min("doc_id").alias("ox_keep")).select("ox_keep").distinct(), "near-dedup-kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["ox_keep"]), "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

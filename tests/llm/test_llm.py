@@ -16,7 +16,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from ordinex.llm import byte_bpe, fingerprint, line_dedup, lm_score, packing, quality, simhash, token_counts, token_files, unigram, url_filter, word_bpe
+from ordinex.llm import byte_bpe, fingerprint, line_dedup, lm_score, near_copies, packing, quality, simhash, token_counts, token_files, unigram, url_filter, word_bpe
 from ordinex.llm.queries import ORACLES, QUERIES, URL_RULES
 
 SF = "/root/testdata/sf0.001"
@@ -491,3 +491,60 @@ def test_pipeline(spark, docs, empty):
     n = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()}
     fps = {i: simhash.fingerprint(t, 5) for i, t in awkward()}
     assert n == {i for i, c in brute_components(fps, 5).items() if i == c}
+
+
+def plain_shingles(t):
+    w = (t or "").translate({c: c + 32 for c in range(65, 91)}).split()
+    return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_all_pairs_at_a_similarity_of_four_fifths_are_linked(spark, docs):
+    import corpus_pipeline
+
+    rnd = random.Random(3)
+    texts = [t for _, t in awkward()]
+    for n in (9, 30, 90, 400):
+        for edits in (1, 2, 3, n // 90 + 1, n // 60 + 1, n // 45 + 1, n // 30 + 1):
+            base = [f"w{rnd.randrange(3000)}" for _ in range(n)]
+            other = list(base)
+            for at in rnd.sample(range(n), edits):
+                other[at] = f"x{rnd.random()}"
+            texts += [" ".join(base), " ".join(other)]
+    dense = [f"d{k}" for k in range(60)]
+    for k in range(80):  # a large group, whose members differ in one or two words
+        own = list(dense)
+        for at in rnd.sample(range(60), 1 + k % 2):
+            own[at] = f"y{k}"
+        texts.append(" ".join(own))
+    sets = [plain_shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    fps = [simhash.fingerprint(t, 5) for t in texts]
+    close = far = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if 5 * both >= 4 * either or (fps[a] ^ fps[b]).bit_count() <= 5:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+            close += 0 < 10 * both < 9 * either and (fps[a] ^ fps[b]).bit_count() > 5
+        else:
+            far += 10 * both >= 7 * either
+    assert close > 20 and far > 20  # on both sides of the limit
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()}
+    assert got == {find(k) for k in range(len(texts))}
+
+
+def test_runs_go_on_over_batches():
+    import pyarrow as pa
+
+    h = [1, 1, 2, 2, 2, 2, 2, 2, 3, 4, 4, 4, 5]
+    for step in (1, 2, 3, 5, 13):
+        batches = [pa.record_batch([pa.array(h[k : k + step]), pa.array(list(range(k, min(k + step, len(h)))))], names=["h", "node"]) for k in range(0, len(h), step)]
+        got = [(x, y, n) for b in near_copies._shared(iter(batches)) for y, x, n in zip(*[c.to_pylist() for c in b.columns])]
+        assert got == [(x, y, h.count(x)) for y, x in enumerate(h) if h.count(x) > 1]
