@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize, texts
 from .unigram import SPACE, Vocabulary, vocabulary
 
-#: Words in a block; Arrow rows sent at once; characters beyond which a word is summed in log space in training.
-BLOCK_WORDS, ROWS, LONG = 3_000_000, 100_000, 60
+#: Words in a block; Arrow rows sent at once; characters beyond which, and a probability below which, a word is summed in log space in training.
+BLOCK_WORDS, ROWS, LONG, LEAST = 3_000_000, 100_000, 60, 1e-200
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -56,8 +56,8 @@ class Lattice:
     """Forward (and backward) recursion over a word's segmentations under given weights.
 
     Words that come in order share prefixes: what is known of the last word's first
-    characters is kept. Training takes scaled probabilities where a word is short
-    enough for them, and log space beyond; scores are always in log space.
+    characters is kept. Training takes probabilities where a word is short and
+    likely enough for them, and log space beyond; scores are always in log space.
     """
 
     def __init__(self, v: Vocabulary, log_p: list[float]):
@@ -107,6 +107,9 @@ class Lattice:
             edges.append(own)
             a.append(sum([a[j] * w for j, w, _ in own]))
         self.seen = s
+        if a[n] < LEAST:  # what a cut's probability loses below this floor is no share of the word
+            self._expect_long(word, times, into)
+            return
         b = [0.0] * (n + 1)  # of all segmentations, those with a cut here
         b[n] = times
         for i in range(n, 0, -1):

@@ -25,7 +25,8 @@ class Vocabulary:
         scores = {k: model.get_score(k) for k in kept}
         plain = [k for k in kept if not model.is_byte(k)]
         merges = all(scores[k] <= 0 and float(scores[k]).is_integer() for k in plain)
-        last = max((-scores[k] for k in plain), default=0)
+        # No merge's order reaches the number of pieces; a score beyond it marks a piece that isn't merged.
+        last = max((x for k in plain if (x := -scores[k]) < model.get_piece_size()), default=0)
         # Bytes have no merge: they stand behind the last one.
         log = {k: -math.log((-scores[k] if not model.is_byte(k) else last + 1) + 1) for k in kept} if merges else scores
         total = math.log(math.fsum(math.exp(v) for v in log.values()))

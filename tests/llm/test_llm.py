@@ -548,3 +548,30 @@ def test_runs_go_on_over_batches():
         batches = [pa.record_batch([pa.array(h[k : k + step]), pa.array(list(range(k, min(k + step, len(h)))))], names=["h", "node"]) for k in range(0, len(h), step)]
         got = [(x, y, n) for b in near_copies._shared(iter(batches)) for y, x, n in zip(*[c.to_pylist() for c in b.columns])]
         assert got == [(x, y, h.count(x)) for y, x in enumerate(h) if h.count(x) > 1]
+
+
+def test_words_of_least_probability_are_trained_on(spark):
+    path = P.path("piece_bpe_32k.model")
+    v = unigram.vocabulary(path)
+    # Scores as low as of a vocabulary whose bytes are all but impossible: what a linear sum can't hold.
+    low = list(v.log_p)
+    for k in v.bytes.values():
+        low[k] -= 20
+    words = [c * n for c in "\U0001fae0\u0e81\u1200\u0b95\u1780\u10d0" for n in (1, 7, 8, 11, 20, 40, 58, 60, 61)] + ["the" + "\U0001fae0" * 57]
+    for log_p in (v.log_p, low):
+        lattice = lm_score.Lattice(v, log_p)
+        for w in words:
+            got, want = np.zeros(v.size), np.zeros(v.size)
+            lattice.expect(w, 3.0, got)
+            lattice._expect_long(w, 3.0, want)
+            assert want.sum() > 0 and got == pytest.approx(want)
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
+    scores = [r["score"] for r in lm_score.score(df, path).collect()]
+    assert len(scores) == len(words) and all(math.isfinite(x) for x in scores)
+
+
+def test_bytes_stand_behind_the_last_merge():
+    v = unigram.vocabulary(P.path("piece_bpe_32k.model"))
+    merges = sorted((v.log_p[k] for p, k in v.index.items() if set(p) != {unigram.SPACE}))
+    of_bytes = {v.log_p[k] for k in v.bytes.values()}
+    assert len(of_bytes) == 1 and merges[0] - 0.001 < of_bytes.pop() < merges[0]
