@@ -575,3 +575,15 @@ def test_bytes_stand_behind_the_last_merge():
     merges = sorted((v.log_p[k] for p, k in v.index.items() if set(p) != {unigram.SPACE}))
     of_bytes = {v.log_p[k] for k in v.bytes.values()}
     assert len(of_bytes) == 1 and merges[0] - 0.001 < of_bytes.pop() < merges[0]
+
+
+def test_near_dedup_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(12))
+    rows = [(1, text(1))] * 3  # a repeated row
+    rows += [(2, text(2)), (5, text(2)), (5, text(3))]  # one text of an id is a copy, the other is not
+    rows += [(None, text(4)), (None, text(4)), (None, text(2)), (None, text(5)), (7, text(5))]  # null ids
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(map(tuple, corpus_pipeline.near_dedup_stage(spark, df, SF).collect()))
+    assert got == Counter([(1, text(1)), (2, text(2)), (5, text(3)), (None, text(4)), (7, text(5))])
