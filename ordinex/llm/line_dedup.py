@@ -10,7 +10,7 @@ logarithmic number of times. As batches arrive in descending order of document
 ids, the keeper of a fresh key is the largest id that holds it.
 
 Defined results: a null or empty text is one empty line; a null id ranks below all
-ids and counts as one id; rows that repeat an id count as a document each towards
+ids and counts as one id; rows that repeat an id count as one document towards
 ``min_docs``, and all rows of the keeping id keep their lines; an empty table gives
 an empty result; columns other than id and text are not looked at.
 """
@@ -95,7 +95,7 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     spark = docs.sparkSession
     t = texts(docs, id_col, text_col)
     keys = F.array_distinct(F.filter(F.transform(split_lines(F.col("text")), lambda x: _hashed(x, min_chars)), lambda x: x.isNotNull()))
-    lines = materialize(t.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2"), "line-hashes")
+    lines = materialize(t.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2").distinct(), "line-hashes")
     store = LineRuns(spark, fanout)
     # Descending ranges of ids; a null id, and all rows of one id, are in one batch.
     cuts = lines.select(F.percentile_approx(F.col("doc_id"), [i / batches for i in range(batches - 1, 0, -1)], 1000)).first()[0] if batches > 1 else []

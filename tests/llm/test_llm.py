@@ -587,3 +587,10 @@ def test_near_dedup_keeps_one_row_of_a_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter(map(tuple, corpus_pipeline.near_dedup_stage(spark, df, SF).collect()))
     assert got == Counter([(1, text(1)), (2, text(2)), (5, text(3)), (None, text(4)), (7, text(5))])
+
+
+def test_line_dedup_counts_documents(spark):
+    rows = [(1, LINE % 1)] * 4 + [(2, LINE % 1)]  # five rows, two documents
+    rows += [(k, LINE % 2) for k in (3, 3, 4, 5, 6, 7)]  # six rows, five documents
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([*rows[:5], *[(k, "" if k < 7 else t) for k, t in rows[5:]]])
