@@ -247,7 +247,7 @@ _add(
     "interval_width_quantiles",
     _on_facts(lambda f: S.with_intervals(E.sample_stats(f).filter("split = 'reference'"), "n_stable", "n").withColumn("w", F.col("upper") - F.col("lower")).groupBy("model").agg(F.avg("w").alias("mean"), F.percentile("w", F.lit(0.5)).alias("median"), F.percentile("w", F.lit(0.9)).alias("p90"), F.max("w").alias("max"))),
 )
-_add("bootstrap_full_operational", _on_facts(lambda f: S.bootstrap_means(E.paired_profiles(f), ["model"], "reference", repetitions=200, seed=7)))
+_add("bootstrap_full_operational", _on_facts(lambda f: S.bootstrap_means(E.paired_profiles(f), ["model"], "reference", seed=7)))
 _add(
     "latest_trace_record",
     lambda s, d: joins.latest(
@@ -444,8 +444,8 @@ _add(
     doubles="coverage conditional operational coverage_risk ranking_risk",
     ints="model ref_id probes winner_missing culprit_kinds",
 )
-_add("bootstrap_ratio_coverage", _on_facts(lambda f: S.bootstrap_ratios(E.sample_stats(f).filter("split = 'reference'"), ["model"], "n_stable", "n_covered", ["ref_id"], 200, 11)))
-_add("bootstrap_model_deltas", _on_facts(lambda f: S.bootstrap_deltas(E.paired_profiles(f), "model", "reference", ["ref_id"], 100, 5)))
+_add("bootstrap_ratio_coverage", _on_facts(lambda f: S.bootstrap_ratios(E.sample_stats(f).filter("split = 'reference'"), ["model"], "n_stable", "n_covered", ["ref_id"], seed=11)))
+_add("bootstrap_model_deltas", _on_facts(lambda f: S.bootstrap_deltas(E.paired_profiles(f), "model", "reference", ["ref_id"], seed=5)))
 
 
 def _grid_values(spark: SparkSession, d: str) -> DataFrame:
@@ -454,5 +454,5 @@ def _grid_values(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("model", "ref_id", "s.setting_index").agg(F.avg((F.col("eligible") * F.col("stable") * (F.col("quality") >= F.col("s.q")).cast("int")).cast("double")).alias("v"))
 
 
-_add("bootstrap_minimum_gap", lambda s, d: S.bootstrap_minimum_gaps(_grid_values(s, d), "model", "setting_index", "v", ["ref_id"], 50, 5))
+_add("bootstrap_minimum_gap", lambda s, d: S.bootstrap_minimum_gaps(_grid_values(s, d), "model", "setting_index", "v", ["ref_id"], seed=5))
 _add("split_half_metrics", _on_facts(lambda f: E.prediction_metrics(S.split_halves(f), ["model"], "half_a", "half_b")))

@@ -35,3 +35,14 @@ def test_same_rows_as_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_bootstraps_run_all_repetitions(spark, monkeypatch):
+    from ordinex.operators import statistics
+
+    asked, own = [], statistics._weighted
+    monkeypatch.setattr(statistics, "_weighted", lambda units, key, repetitions, seed: asked.append(repetitions) or own(units, key, repetitions, seed))
+    names = [n for n in QUERIES if n.startswith("bootstrap_")]
+    for name in names:
+        QUERIES[name](spark, SF)
+    assert len(names) == 4 and asked == [2000] * 4
