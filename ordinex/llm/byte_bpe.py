@@ -8,8 +8,8 @@ skipped. Of equal ranks the leftmost comes first. Each merge costs a constant nu
 of queue operations, however long the pre-token.
 
 Whole texts are cut where pre-tokens can't reach across: before each run of white
-space. Known cuts are kept in a bounded cache, so each distinct one is merged once in
-a while, not at each place.
+space. Known pre-tokens are kept in a bounded cache, so each distinct one is merged once
+in a while, not at each place; most cuts are one pre-token, and are looked up as such.
 
 Defined results: a null or empty text has no ids; repeated rows get equal results; a
 text of any length is encoded whole; other columns are not looked at.
@@ -33,8 +33,8 @@ from .common import texts
 #: Unicode white space as the rank files' regular expressions see it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Entries in each of the two generations of a cache, and the longest that is kept.
-KEPT, KEPT_CHARS = 200_000, 40
+#: Pre-tokens in each of the two generations of their cache, cuts of several pre-tokens kept, and the longest of either.
+KEPT, KEPT_MIXED, KEPT_CHARS = 280_000, 100_000, 40
 
 
 class RankQueue:
@@ -85,7 +85,9 @@ class ByteBpe:
         self.queue = RankQueue(len(self.tokens))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.mixed: dict[str, bytes] = {}
+        #: The rank of each two bytes, -1 where they are no token.
+        self.two = [self.ranks.get(bytes(divmod(k, 256)), -1) for k in range(1 << 16)]
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -93,16 +95,14 @@ class ByteBpe:
         if (whole := ranks.get(piece)) is not None:
             return [whole]
         # The queue's operations stand in the loop itself: calls would take half of the time.
-        get, queue = ranks.get, self.queue
+        get, queue, two = ranks.get, self.queue, self.two
         low, bit, shift, mask, buckets = queue.low, queue.bit, queue.shift, queue.mask, queue.buckets
         n, top = len(piece), 0
         after = list(range(1, n + 2))  # where the next part starts
         before = list(range(-1, n))
-        pair = [-1] * (n + 1)  # rank of the part here joined with the next; -1: none, or no part starts here
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
+        pair = [two[x << 8 | y] for x, y in zip(piece, piece[1:])]  # rank of the part here joined with the next; -1: none, or no part starts here
+        for i, rank in enumerate(pair):
+            if rank >= 0:
                 if rank in buckets:
                     buckets[rank].append(i)  # ascending positions are a heap
                 else:
@@ -110,14 +110,17 @@ class ByteBpe:
                     high = rank >> shift
                     low[high] |= bit[rank & mask]
                     top |= bit[high]
+        pair += (-1, -1)
         while top:
             high = (top & -top).bit_length() - 1
             word = low[high]
             first = word & -word
             least = high << shift | first.bit_length() - 1
             bucket = buckets[least]
-            i = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
                 del buckets[least]
                 low[high] = word = word ^ first
                 if not word:
@@ -125,25 +128,23 @@ class ByteBpe:
             if pair[i] != least:
                 continue
             j = after[i]
-            k = after[j]
-            after[i] = k
-            pair[i] = pair[j] = -1
-            if k < n:
-                before[k] = i
-                rank = get(piece[i : after[k]])
-                if rank is not None:
-                    pair[i] = rank
-                    if rank in buckets:
-                        heappush(buckets[rank], i)
-                    else:
-                        buckets[rank] = [i]
-                        high = rank >> shift
-                        low[high] |= bit[rank & mask]
-                        top |= bit[high]
+            after[i] = k = after[j]
+            pair[j] = -1
+            if k < n and (rank := get(piece[i : after[k]])) is not None:
+                pair[i] = rank
+                if rank in buckets:
+                    heappush(buckets[rank], i)
+                else:
+                    buckets[rank] = [i]
+                    high = rank >> shift
+                    low[high] |= bit[rank & mask]
+                    top |= bit[high]
+            else:
+                pair[i] = -1
+            before[k] = i
             if i:
                 h = before[i]
-                rank = get(piece[h:k])
-                if rank is not None:
+                if (rank := get(piece[h:k])) is not None:
                     pair[h] = rank
                     if rank in buckets:
                         heappush(buckets[rank], h)
@@ -160,33 +161,37 @@ class ByteBpe:
             i = after[i]
         return out
 
-    def _cut(self, cut: str) -> bytes:
-        ids = self.old.get(cut)
+    def _word(self, word: str) -> bytes:
+        """The ids of a pre-token that the younger generation lacks."""
+        ids = self.old.get(word)
         if ids is None:
-            parts = []
-            for word in self.pattern.findall(cut):
-                got = self.words.get(word)
-                if got is None:
-                    got = _as_bytes(self.merge(word.encode()))
-                    if len(word) <= KEPT_CHARS:
-                        if len(self.words) >= KEPT:
-                            self.words.clear()
-                        self.words[word] = got
-                parts.append(got)
-            ids = b"".join(parts)
-        if len(cut) <= KEPT_CHARS:
+            ids = _as_bytes(self.merge(word.encode()))
+        if len(word) <= KEPT_CHARS:
             if len(self.young) >= KEPT:
                 self.old, self.young = self.young, {}
-            self.young[cut] = ids
+            self.young[word] = ids
+        return ids
+
+    def _cut(self, cut: str) -> bytes:
+        """The ids of a cut that is no pre-token of the younger generation."""
+        ids = self.mixed.get(cut)
+        if ids is None:
+            words = self.pattern.findall(cut)
+            if len(words) == 1:
+                return self._word(words[0])
+            ids = b"".join([self.young.get(word) or self._word(word) for word in words])
+            if len(cut) <= KEPT_CHARS:
+                if len(self.mixed) >= KEPT_MIXED:
+                    self.mixed.clear()
+                self.mixed[cut] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
         cuts = CUT.findall(text)
-        ids = list(map(self.young.get, cuts))
+        ids = list(map(self.young.get, cuts))  # most cuts are one pre-token
         if None in ids:
-            get = self.young.get
-            ids = [i if i is not None else get(c) or self._cut(c) for c, i in zip(cuts, ids)]
+            ids = [i if i is not None else self._cut(c) for c, i in zip(cuts, ids)]
         return b"".join(ids)
 
     def decode(self, ids: bytes) -> bytes:
