@@ -1,55 +1,58 @@
-"""Near copies: all pairs of texts whose word shingles have a Jaccard similarity of 0.8 or more,
-beside those whose SimHashes differ in a few bits.
-
-Two sets of such a similarity share four fifths of the larger one at least. If all
-shingles stand in one order, the first n // 5 + 1 of the n of each set, its prefix,
-therefore have one in common. The order has two classes, by a shingle's hash. Two
-fifths come first, by the number of sets that hold them, so prefixes hold the rarest, and
-what only one set holds needs no list. The others come last, by their hashes: they are
-counted and sent only where a set has too few of the first for its prefix. Every pair that
-reaches the similarity meets in a list; nothing is sampled, capped or estimated.
+"""Near copies: all pairs of texts whose word shingles have a Jaccard similarity of 0.8 or more.
+
+Candidates come first from the SimHash index (:func:`ordinex.llm.simhash.links`): pairs
+whose fingerprints differ in a few bits. No number of bits that the index can serve
+reaches every pair of that similarity, so an exact way follows for the rest: two sets
+of such a similarity share four fifths of the larger one at least, so if all shingles stand
+in one order, the first n // 5 + 1 of the n of each set, its prefix, have one in common.
+The order is that of the shingles' hashes: a fifth of all shingles is sent, nothing is
+counted. A shingle that more than ``HOT`` prefixes hold makes no list. The sets that hold
+one in their prefix are compared among themselves by a second index instead, over all of
+their shingles, ordered by the number of these sets that hold them, so that what many hold
+comes last. A pair of which one set holds no such shingle shares one of a short list, so
+every pair that reaches the similarity meets; nothing is sampled, capped or estimated.
 
 Equal sets are one node, so copies add nothing. From each list its least member is
 compared with all others first; of what is then linked, only pairs of different
-components are left to compare. Of those, sizes and a bitmap of parities (its differing
-bits are no more than the differing shingles) tell most apart; the others are verified
-by their sets. Components are found as for SimHash.
+components are left to compare. Sizes and a bitmap of parities (its differing bits are no
+more than the differing shingles) tell most apart; all candidates, SimHash's as well, are
+verified by their sets. A shingle that occurs often within one part of the input is told
+there: its list never grows with more than ``HOT`` entries a part. Lists too long for one
+task are compared in blocks.
 
 Defined results: texts with fewer words than a shingle are one shingle; null texts
 and those without words are copies of one another; shingles are compared by XXH64.
+Of a component one row stays, that of the least id (null ids last, then the least hash of
+the text); rows that repeat an id are told apart by their place. An empty table gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .simhash import SEED, components, fingerprint, links
+from .simhash import components, digests, links, majority
 
-#: Bits of a bitmap of parities; hashes below this are of the first class; the rank of the others.
-PARITIES, FIRST, LAST = 512, (1 << 64) * 2 // 5, 1 << 62
+#: Bits of a bitmap of parities; prefixes that may hold a shingle of a list; the rank of others.
+PARITIES, HOT, LAST = 512, 64, 1 << 62
+#: Shingles in a part of the input whose frequent ones are told apart, rows of a block of a long list, rows sent at once.
+PART, BLOCK, ROWS = 2_000_000, 4096, 500
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending."""
-    import xxhash
-
-    w = (text or "").encode().lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    lot = [b" ".join(w)] if len(w) < size else map(b" ".join, zip(*[w[k:] for k in range(size)]))
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in lot]), ">u8").astype(np.uint64))
+    return np.unique(_numbers(digests(text, size)))
 
 
-def indexed(own: np.ndarray) -> np.ndarray:
-    """What a set's prefix is taken from: all of the first class, and of the others as many as the prefix lacks."""
-    return own[: max(np.searchsorted(own, np.uint64(FIRST)), min(len(own), len(own) // 5 + 1))]
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, ">u8").astype(np.uint64)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -58,26 +61,76 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 5 * common >= 4 * (len(a) + len(b) - common)
 
 
-def _sketch(text: Column, size: int) -> Column:
-    """Struct of a set's digest, its size, what of it is indexed, its parities and the text's SimHash."""
+def _addressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a lasting address of each row, ``ox_file`` and ``ox_pos``: its place in its
+    Parquet file where ``docs`` is read from files, else in a copy written for this."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns:
+        try:
+            return docs.select(*[docs[c] for c in docs.columns], F.xxhash64("_metadata.file_path").alias("ox_file"), F.col("_metadata.row_index").alias("ox_pos"))
+        except AnalysisException:
+            pass  # files of another format
+    return materialize(docs.withColumns({"ox_file": F.lit(0).cast("long"), "ox_pos": F.monotonically_increasing_id()}), "near-rows")
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import xxhash
 
-        for b in batches:
-            nodes, sizes, sent, bits, fps = [], [], [], [], []
-            for x in b.to_pylist():
-                own = shingles(x, size)
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                sizes.append(len(own))
-                sent.append(len(indexed(own)))
-                bits.append(np.packbits(np.bincount((own % PARITIES).astype(np.int64), minlength=PARITIES) & 1).tobytes())
-                fps.append(fingerprint(x, size))
-            digests, simhashes = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
-            yield pa.StructArray.from_arrays([digests, pa.array(sizes, pa.int32()), pa.array(sent, pa.int32()), pa.array(bits, pa.binary()), simhashes], names=["node", "n", "sent", "bits", "fp"])
+def _texts(rows: DataFrame, text_col: str) -> DataFrame:
+    return rows.select("ox_file", "ox_pos", F.col(text_col).alias("text"))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "node long, n int, sent int, bits binary, fp long")(text)
+
+def _sketches(rows: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Of each row its address, id and text's hash, and its set's digest (``node``), size, parities, prefix and SimHash."""
+    sent = rows.select("ox_file", "ox_pos", F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                b = batch.slice(k, ROWS)
+                nodes, sizes, bits, fps, heads = [], [], [], [], []
+                for x in b.column(4).to_pylist():
+                    raw = digests(x, size)
+                    own = np.unique(_numbers(raw))
+                    nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
+                    sizes.append(len(own))
+                    bits.append(np.packbits(np.bincount((own % PARITIES).astype(np.int64), minlength=PARITIES) & 1).tobytes())
+                    fps.append(majority(raw))
+                    heads.append(own[: len(own) // 5 + 1])
+                digest, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
+                at = np.concatenate([[0], np.cumsum([len(x) for x in heads])])
+                prefix = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(heads).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], digest, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), fp, prefix], names=["ox_file", "ox_pos", "id", "hash", "node", "n", "bits", "fp", "prefix"])
+
+    kind = sent.schema["id"].dataType.simpleString()
+    return materialize(sent.mapInArrow(run, f"ox_file long, ox_pos long, id {kind}, hash long, node long, n int, bits binary, fp long, prefix array<long>"), "near-sketches")
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (h, node) in any order, by parts of the input: rows (h, node, 0), but of a shingle that more than HOT rows
+    of the part hold HOT + 1 alone, and all of them as (node, h, 1): what is known to be frequent goes by its node."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        h, node = (t.column(k).to_numpy() for k in (0, 1))
+        order = np.argsort(h, kind="stable")
+        h, node = h[order], node[order]
+        starts, sizes = _bounds(h)
+        many = np.repeat(sizes > HOT, sizes)
+        sent = ~many | (np.arange(len(h)) - np.repeat(starts, sizes) <= HOT)
+        for key, own, frequent in ((h[sent], node[sent], 0), (node[many], h[many], 1)):
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(np.full(len(key), frequent, np.int8))], names=["k", "v", "frequent"])
+        held.clear()
+
+    rows = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= PART:
+            yield from out()
+            rows = 0
+    if rows:
+        yield from out()
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -98,49 +151,122 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
 
 
 def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal values."""
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     return new, np.diff(np.concatenate([new, [len(x)]]))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (h, node) in order: those whose shingle more than one node holds, and how many do."""
+    """Of (h, node) in order: those whose shingle more than one node holds, and how many do (LAST for more than HOT)."""
     for h, node in _runs(batches):
         first = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
         h, node = h[first], node[first]
         held = np.repeat(*[_bounds(h)[1]] * 2)
         some = held > 1
-        held[h.view(np.uint64) >= np.uint64(FIRST)] = LAST
-        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(h[some]), pa.array(held[some].astype(np.int64))], names=["node", "h", "df"])
+        held[held > HOT] = LAST
+        yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(node[some]), pa.array(held[some].astype(np.int64))], names=["h", "node", "df"])
+
+
+def _counted(entries: DataFrame) -> DataFrame:
+    """(h, node, df) of the entries (h, node) whose shingle more than one node holds; ``df`` is LAST for more than HOT.
+    An entry may come twice."""
+    sent = entries.mapInArrow(_parts, "k long, v long, frequent byte").repartition("k").sortWithinPartitions("frequent", "k", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def plain() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n = int(b.column(2).to_numpy().sum())
+                yield b.slice(0, b.num_rows - n).select(["k", "v"])
+                if n:  # from here on all are told apart
+                    rest.append(b.slice(b.num_rows - n))
+                    return
+
+        yield from _shared(plain())
+        for b in chain(rest, batches):
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(np.full(b.num_rows, LAST))], names=["h", "node", "df"])
+
+    return sent.mapInArrow(run, "h long, node long, df long")
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (node, prefix): (h, node), once for each node of a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            b = batch.slice(k, ROWS)
+            new = []
+            for i, x in enumerate(b.column(0).to_pylist()):
+                if x not in seen:
+                    seen.add(x)
+                    new.append(i)
+            own = b.take(pa.array(new, pa.int64()))
+            sizes = np.diff(own.column(1).offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([own.column(1).flatten(), pa.array(np.repeat(own.column(0).to_numpy(), sizes))], names=["h", "node"])
+
+
+def _lists(sketches: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, size: int) -> DataFrame:
+    """The lists (h, node): two nodes of the similarity have one in common."""
+    found = materialize(_counted(sketches.select("node", "prefix").mapInArrow(_heads, "h long, node long")), "near-index")
+    short = found.filter(F.col("df") < LAST).select("h", "node")
+    busy = materialize(found.filter(F.col("df") == LAST).select("node").distinct().join(nodes, "node").select("node", "n", "ox_file", "ox_pos"), "near-busy")
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = shingles(text, size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node))], names=["h", "node"])
+
+    whole = _texts(rows, text_col).join(busy.drop("n"), ["ox_file", "ox_pos"]).select("node", "text")
+    ranked = _counted(whole.mapInArrow(emit, "h long, node long")).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
+    # The prefix, without the shingles that no other of these sets holds: these come first.
+    length = F.floor(F.col("n") / 5).cast("int") + 1 - (F.col("n") - F.size("s"))
+    index = ranked.join(busy, "node").withColumn("length", length).filter("length > 0")
+    return materialize(short.union(index.select(F.explode(F.slice("s", F.lit(1), F.col("length"))).alias("t"), "node").select("t.h", "node")), "near-lists")
+
+
+def _plausible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sizes and parities (rows of words of bits) allow the similarity."""
+    near = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
+    near[near] = 9 * np.bitwise_count((a ^ b)[near]).sum(axis=1, dtype=np.int64) <= (n + m)[near]
+    return near
+
+
+def _words(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), -1)
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a list whose labels differ, and whose sizes and parities allow the similarity. Rows: h, label, node, n, bits."""
     for h, label, node, n, bits in _runs(batches):
         for s, size in zip(*_bounds(h)):
-            own = label[s : s + size]
-            starts, sizes = _bounds(own)
+            starts, sizes = _bounds(label[s : s + size])
             if len(sizes) < 2:
                 continue
-            ids, ns = node[s : s + size], n[s : s + size].astype(np.int64)
-            parity = np.frombuffer(b"".join(bits[s : s + size]), np.uint64).reshape(size, -1)
+            ids, ns, parity = node[s : s + size], n[s : s + size].astype(np.int64), _words(list(bits[s : s + size]))
             # The largest component last, so that its members are not compared among themselves one by one.
-            order = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in np.argsort(sizes, kind="stable")])
-            ends = np.repeat(*[np.cumsum(np.sort(sizes))[:-1], np.sort(sizes)[:-1]])
+            by_size = np.argsort(sizes, kind="stable")
+            order = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in by_size])
+            ends = np.repeat(np.cumsum(sizes[by_size])[:-1], sizes[by_size][:-1])
             ids, ns, parity = ids[order], ns[order], parity[order]
             for x, end in enumerate(ends):
-                total = ns[end:] + ns[x]
-                near = 5 * np.minimum(ns[end:], ns[x]) >= 4 * np.maximum(ns[end:], ns[x])
-                near[near] = 9 * np.bitwise_count(parity[end:][near] ^ parity[x]).sum(axis=1, dtype=np.int64) <= total[near]
+                near = _plausible(ns[end:], np.full(len(ns) - end, ns[x]), parity[end:], parity[x])
                 if near.any():
                     other = ids[end:][near]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[x])), pa.array(np.maximum(other, ids[x]))], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, tagged: DataFrame, text: str, size: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity. ``tagged`` has each node's text at its row."""
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    rows = nodes.join(asked, "node").select("node", "row")
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, size: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            if len(n):
+                yield b.select(["a", "b"]).filter(pa.array(_plausible(n, m, *(_words(b.column(k).to_pylist()) for k in (4, 5)))))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,51 +278,48 @@ def _verified(pairs: DataFrame, nodes: DataFrame, tagged: DataFrame, text: str,
             own = [alike(read(x), read(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(own, pa.bool_()))
 
-    found = tagged.select("ox_row", F.col(text).alias("text")).join(rows, F.col("ox_row") == F.col("row")).select("node", "text").mapInArrow(sets, "node long, s binary")
-    found = materialize(found, "near-sets")
+    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    known = pairs.filter("a <> b").distinct().join(one, "a").join(two, "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
+    near = materialize(known.mapInArrow(sift, "a long, b long"), "near-pairs")
+    asked = materialize(nodes.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node").select("node", "ox_file", "ox_pos"), "near-asked")
+    found = materialize(_texts(rows, text_col).join(asked, ["ox_file", "ox_pos"]).select("node", "text").mapInArrow(sets, "node long, s binary"), "near-sets")
     one, two = found.toDF("a", "sa"), found.toDF("b", "sb")
-    return materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "near-links")
-
-
-def _simhash_links(rows: DataFrame, k: int) -> DataFrame:
-    """Links (a, b) of each node to the least of its component by SimHashes. ``rows``: node, fp."""
-    labels = components(links(rows.select("fp").distinct(), k)).select(F.col("node").alias("at"), "label")
-    own = materialize(rows.join(labels, rows["fp"] == labels["at"], "left").select("node", F.coalesce("label", "fp").alias("label")), "near-simhashes")
-    least = own.groupBy("label").agg(F.min("node").alias("a"))
-    return own.join(least, "label").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-
-
-def labelled(docs: DataFrame, shingle: int = 5, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, ``ox_row`` (a number of the row), ``ox_text`` (the text's hash) and ``ox_label``
-    (one for each component of near copies: by shingles, and by SimHashes of up to ``k`` differing bits)."""
-    s = _sketch(F.col(text_col), shingle)
-    tagged = docs.withColumns({"ox_row": F.monotonically_increasing_id(), "ox_text": F.xxhash64(text_col), "ox_s": s})
-    tagged = materialize(tagged.withColumns({"ox_node": F.col("ox_s.node"), "ox_n": F.col("ox_s.n"), "ox_sent": F.col("ox_s.sent"), "ox_bits": F.col("ox_s.bits"), "ox_fp": F.col("ox_s.fp")}).drop("ox_s"), "near-rows")
-    nodes = materialize(tagged.groupBy(F.col("ox_node").alias("node")).agg(F.min("ox_row").alias("row"), F.min("ox_n").alias("n"), F.min("ox_sent").alias("sent"), F.min("ox_bits").alias("bits")), "near-nodes")
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # copies within a task
-        for b in batches:
-            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if node not in seen:
-                    seen.add(node)
-                    own = indexed(shingles(text, shingle)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node))], names=["h", "node"])
-
-    held = tagged.select("ox_node", text_col).mapInArrow(emit, "h long, node long").repartition("h").sortWithinPartitions("h", "node")
-    shared = held.mapInArrow(_shared, "node long, h long, df long").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
-    # The prefix, without the shingles that no other set holds: these come first.
-    length = F.floor(F.col("n") / 5).cast("int") + 1 - (F.col("sent") - F.size("s"))
-    index = shared.join(nodes, "node").withColumn("length", length).filter("length > 0")
-    index = materialize(index.select("node", "n", "bits", F.explode(F.slice("s", F.lit(1), F.col("length"))).alias("t")).select("t.h", "node", "n", "bits"), "near-index")
-    least = index.groupBy("h").agg(F.min(F.struct("n", "node")).alias("p")).select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("least"))
-    star = index.join(least, "h").filter("node <> pivot AND 5 * least >= 4 * n").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    edges = _verified(star, nodes, tagged, text_col, shingle)
-    edges = edges.union(materialize(_simhash_links(tagged.select(F.col("ox_node").alias("node"), F.col("ox_fp").alias("fp")).distinct(), k), "near-links"))
-    labels = components(edges).select(F.col("node").alias("ox_at"), "label")
-    lists = index.join(labels, index["node"] == labels["ox_at"], "left").select("h", F.coalesce("label", "node").alias("label"), "node", "n", "bits")
-    left = lists.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_left, "a long, b long")
-    edges = edges.union(_verified(left, nodes, tagged, text_col, shingle))
-    labels = components(edges).select(F.col("node").alias("ox_at"), F.col("label").alias("ox_least"))
-    out = tagged.join(labels, tagged["ox_node"] == labels["ox_at"], "left")
-    return out.select(*[tagged[c] for c in docs.columns], "ox_row", "ox_text", F.coalesce("ox_least", "ox_node").alias("ox_label"))
+    return materialize(near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "near-links")
+
+
+def _by_fingerprint(fps: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) of nodes that the SimHash index links. ``fps``: node, fp."""
+    least = materialize(fps.groupBy("fp").agg(F.min("node").alias("node")), "near-fingerprints")
+    found = links(least.select("fp"), k)
+    one, two = least.toDF("a", "na"), least.toDF("b", "nb")
+    equal = fps.join(least.toDF("fp", "na"), "fp").select("na", "node")
+    return found.join(one, "a").join(two, "b").select("na", "nb").union(equal).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+
+
+def survivors(docs: DataFrame, shingle: int = 5, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of near copies one. ``k``: the bits of the SimHash index."""
+    rows = _addressed(docs)
+    sketches = _sketches(rows, shingle, id_col, text_col)
+    first = F.min(F.struct("ox_file", "ox_pos", "n", "bits")).alias("x")
+    nodes = materialize(sketches.groupBy("node").agg(first).select("node", "x.*"), "near-nodes")
+    lists = _lists(sketches, nodes, rows, text_col, shingle)
+    sized = lists.join(nodes.select("node", "n"), "node")
+    least = sized.groupBy("h").agg(F.min(F.struct("n", "node")).alias("p")).select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("least"))
+    star = sized.join(least, "h").filter("node <> pivot AND 5 * least >= 4 * n").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+    edges = _verified(star.union(_by_fingerprint(sketches.select("node", "fp").distinct(), k)), nodes, rows, text_col, shingle)
+    labels = components(edges).withColumnRenamed("node", "at")
+    told = lists.join(labels, F.col("node") == F.col("at"), "left").select("h", "node", F.coalesce("label", "node").alias("label"))
+    open_ = told.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
+    open_ = open_.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = told.join(open_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.when(F.col("blocks") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
+    left = dealt.select(key.alias("h"), "label", "node").join(nodes.select("node", "n", "bits"), "node").select("h", "label", "node", "n", "bits")
+    more = left.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_left, "a long, b long")
+    labels = components(edges.union(_verified(more, nodes, rows, text_col, shingle))).withColumnRenamed("node", "at")
+    # An order of whole rows: rows that share an id are told apart by their text's hash, and copies by their place.
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"), F.col("ox_file"), F.col("ox_pos"))
+    named = sketches.join(labels, sketches["node"] == labels["at"], "left").withColumn("label", F.coalesce("label", sketches["node"]))
+    kept = named.groupBy("label").agg(F.min(order).alias("o")).select("o.ox_file", "o.ox_pos")
+    gone = materialize(sketches.select("ox_file", "ox_pos").join(kept, ["ox_file", "ox_pos"], "left_anti"), "near-gone")
+    return rows.join(gone, ["ox_file", "ox_pos"], "left_anti").select(*docs.columns)

@@ -38,20 +38,29 @@ BITS, SEED = 3, 42
 SEARCHED = 2048
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The unsigned SimHash of one text."""
+def digests(text: str | None, shingle: int = 3) -> bytes:
+    """The XXH64 of each shingle of a text, eight bytes each, most significant first."""
     import xxhash
 
     w = (text or "").encode().lower().split()
     if not w:
-        return 0
-    lot = [b" ".join(w)] if len(w) < shingle else list(map(b" ".join, zip(*[w[k:] for k in range(shingle)])))
+        return b""
+    lot = [b" ".join(w)] if len(w) < shingle else map(b" ".join, zip(*[w[k:] for k in range(shingle)]))
     digest = xxhash.xxh64_digest
+    return b"".join([digest(s, SEED) for s in lot])
+
+
+def majority(raw: bytes) -> int:
+    """The bits that are set in over half of the digests; zero where there are none."""
     counts, step = np.zeros(64, np.int64), 65536
-    for k in range(0, len(lot), step):
-        raw = b"".join([digest(s, SEED) for s in lot[k : k + step]])
-        counts += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(lot)).tobytes(), "big")
+    for k in range(0, len(raw), 8 * step):
+        counts += np.unpackbits(np.frombuffer(raw[k : k + 8 * step], np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(raw) // 8).tobytes(), "big")
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned SimHash of one text."""
+    return majority(digests(text, shingle))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

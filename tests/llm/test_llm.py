@@ -489,8 +489,7 @@ def test_pipeline(spark, docs, empty):
     d = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
     assert {i: t or "" for i, t in d.items()} == deduped(awkward())
     n = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()}
-    fps = {i: simhash.fingerprint(t, 5) for i, t in awkward()}
-    assert n == {i for i, c in brute_components(fps, 5).items() if i == c}
+    assert n == least_of_groups([t for _, t in awkward()])
 
 
 def plain_shingles(t):
@@ -498,6 +497,23 @@ def plain_shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
 
 
+def least_of_groups(texts):
+    """The least place of each group of texts that pairs of Jaccard similarity 0.8 or more link, by all pairs."""
+    sets = [plain_shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    return {find(k) for k in range(len(texts))}
+
+
 def test_all_pairs_at_a_similarity_of_four_fifths_are_linked(spark, docs):
     import corpus_pipeline
 
@@ -511,33 +527,35 @@ def test_all_pairs_at_a_similarity_of_four_fifths_are_linked(spark, docs):
                 other[at] = f"x{rnd.random()}"
             texts += [" ".join(base), " ".join(other)]
     dense = [f"d{k}" for k in range(60)]
-    for k in range(80):  # a large group, whose members differ in one or two words
+    for k in range(150):  # a large group, whose members differ in one or two words
         own = list(dense)
         for at in rnd.sample(range(60), 1 + k % 2):
             own[at] = f"y{k}"
         texts.append(" ".join(own))
+    passage = [f"p{k}" for k in range(40)]
+    for k in range(200):  # a passage that makes a half to nearly all of many texts, of which some are near copies
+        own = [f"q{k // 2 if k % 5 else k}w{j}" for j in range((40, 12, 8, 5, 3)[k % 5])]
+        texts.append(" ".join(own + passage if k % 2 else passage + own))
+    want = least_of_groups(texts)
     sets = [plain_shingles(t) for t in texts]
-    parent = list(range(len(texts)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    fps = [simhash.fingerprint(t, 5) for t in texts]
-    close = far = 0
-    for a, b in itertools.combinations(range(len(texts)), 2):
-        both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-        if 5 * both >= 4 * either or (fps[a] ^ fps[b]).bit_count() <= 5:
-            x, y = find(a), find(b)
-            parent[max(x, y)] = min(x, y)
-            close += 0 < 10 * both < 9 * either and (fps[a] ^ fps[b]).bit_count() > 5
-        else:
-            far += 10 * both >= 7 * either
-    assert close > 20 and far > 20  # on both sides of the limit
+    similar = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2) if a and b]
+    assert sum(0.8 <= x < 0.9 for x in similar) > 20 and sum(0.7 <= x < 0.8 for x in similar) > 20  # on both sides of the limit
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()}
-    assert got == {find(k) for k in range(len(texts))}
+    assert got == want
+
+
+def test_near_dedup_of_files_and_clashing_columns(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    want = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()}
+    docs.withColumns({"node": F.lit(1), "label": F.lit("x"), "_metadata": F.lit("own")}).write.parquet(str(tmp_path / "a"))
+    docs.write.parquet(str(tmp_path / "b"))
+    for name in "ab":  # with a column of the name that files' rows are addressed by, and without
+        df = spark.read.parquet(str(tmp_path / name))
+        got = corpus_pipeline.near_dedup_stage(spark, df, SF)
+        assert got.columns == df.columns and {r["doc_id"] for r in got.collect()} == want
+    assert corpus_pipeline.near_dedup_stage(spark, empty, SF).count() == 0
 
 
 def test_runs_go_on_over_batches():
@@ -546,10 +564,19 @@ def test_runs_go_on_over_batches():
     h = [1, 1, 2, 2, 2, 2, 2, 2, 3, 4, 4, 4, 5]
     for step in (1, 2, 3, 5, 13):
         batches = [pa.record_batch([pa.array(h[k : k + step]), pa.array(list(range(k, min(k + step, len(h)))))], names=["h", "node"]) for k in range(0, len(h), step)]
-        got = [(x, y, n) for b in near_copies._shared(iter(batches)) for y, x, n in zip(*[c.to_pylist() for c in b.columns])]
+        got = [(x, y, n) for b in near_copies._shared(iter(batches)) for x, y, n in zip(*[c.to_pylist() for c in b.columns])]
         assert got == [(x, y, h.count(x)) for y, x in enumerate(h) if h.count(x) > 1]
 
 
+def test_frequent_shingles_are_told_apart(spark):
+    rnd = random.Random(6)
+    held = {(h, n) for n in range(3000) for h in (rnd.randrange(40) if n % 3 else 7, 100 + n // 2, 10_000 + n)}
+    df = spark.createDataFrame(list(held), "h long, node long").repartition(4)
+    got = {(r["h"], r["node"]): r["df"] for r in near_copies._counted(df).collect()}
+    n = Counter(h for h, _ in held)
+    assert got == {(h, x): n[h] if n[h] <= near_copies.HOT else near_copies.LAST for h, x in held if n[h] > 1}
+
+
 def test_words_of_least_probability_are_trained_on(spark):
     path = P.path("piece_bpe_32k.model")
     v = unigram.vocabulary(path)
