@@ -38,12 +38,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, linked by a Jaccard similarity of their five-word shingles of 0.8
-    or more, or by their SimHashes of five differing bits at most, the one row with the least id (null ids last)."""
-    rows = near_copies.labelled(docs, shingle=5, k=5)
-    # An order of whole rows: rows that share an id are told apart by their text's hash, and copies by their number.
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("ox_text"), F.col("ox_row"))
-    kept = materialize(rows.groupBy("ox_label").agg(F.min(order).alias("o")).select(F.col("o.ox_row").alias("ox_keep")), "near-dedup-kept")
-    return rows.join(kept, rows["ox_row"] == kept["ox_keep"], "left_semi").select(*docs.columns)
+    or more, the one row with the least id (null ids last)."""
+    return near_copies.survivors(docs, shingle=5, k=3)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
