@@ -42,6 +42,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(written: DataFrame, rows: int = 400_000) -> DataFrame:
+    """A written table, marked for broadcast if it has ``rows`` rows at most; else as it is, for a join by shuffle."""
+    return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` with null texts as empty; other columns go, so their names can't clash."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

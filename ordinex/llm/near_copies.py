@@ -6,19 +6,23 @@ reaches every pair of that similarity, so an exact way follows for the rest: two
 of such a similarity share four fifths of the larger one at least, so if all shingles stand
 in one order, the first n // 5 + 1 of the n of each set, its prefix, have one in common.
 The order is that of the shingles' hashes: a fifth of all shingles is sent, nothing is
-counted. A shingle that more than ``HOT`` prefixes hold makes no list. The sets that hold
-one in their prefix are compared among themselves by a second index instead, over all of
-their shingles, ordered by the number of these sets that hold them, so that what many hold
-comes last. A pair of which one set holds no such shingle shares one of a short list, so
-every pair that reaches the similarity meets; nothing is sampled, capped or estimated.
+counted. Where the first shingle that two sets share stands at the i-th and j-th place, i + j
+shingles differ already, and a ninth of both sizes may: a list keeps the members that have a
+partner of such a place and size.
+
+A shingle that more than ``HOT`` prefixes hold makes no list. The sets that hold one in their
+prefix are compared among themselves by a second index instead, over all of their shingles,
+ordered by the number of these sets that hold them, so that what many hold comes last. A pair
+of which one set holds no such shingle shares one of a short list, so every pair that
+reaches the similarity meets; nothing is sampled, capped or estimated. What many sets of one
+part of the input hold is told there: of it no more than ``HOT`` + 1 entries a part are sent.
 
 Equal sets are one node, so copies add nothing. From each list its least member is
 compared with all others first; of what is then linked, only pairs of different
 components are left to compare. Sizes and a bitmap of parities (its differing bits are no
 more than the differing shingles) tell most apart; all candidates, SimHash's as well, are
-verified by their sets. A shingle that occurs often within one part of the input is told
-there: its list never grows with more than ``HOT`` entries a part. Lists too long for one
-task are compared in blocks.
+verified by their sets, which go to one task for each pivot and salt. Lists too long for
+one task are compared in blocks.
 
 Defined results: texts with fewer words than a shingle are one shingle; null texts
 and those without words are copies of one another; shingles are compared by XXH64.
@@ -29,6 +33,7 @@ the text); rows that repeat an id are told apart by their place. An empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -37,13 +42,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 from .simhash import components, digests, links, majority
 
-#: Bits of a bitmap of parities; prefixes that may hold a shingle of a list; the rank of others.
-PARITIES, HOT, LAST = 512, 64, 1 << 62
-#: Shingles in a part of the input whose frequent ones are told apart, rows of a block of a long list, rows sent at once.
-PART, BLOCK, ROWS = 2_000_000, 4096, 500
+#: Bits of a bitmap of parities; members that a list may have; the rank of shingles that more hold.
+PARITIES, HOT, LAST = 512, 4096, 1 << 62
+#: Shingles in a part of the input, rows of a block of a long list, sets verified in a task with their pivot's, rows sent at once.
+PART, BLOCK, SALTED, ROWS = 4_000_000, 4096, 1000, 500
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -104,23 +109,24 @@ def _sketches(rows: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
     return materialize(sent.mapInArrow(run, f"ox_file long, ox_pos long, id {kind}, hash long, node long, n int, bits binary, fp long, prefix array<long>"), "near-sketches")
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (h, node) in any order, by parts of the input: rows (h, node, 0), but of a shingle that more than HOT rows
-    of the part hold HOT + 1 alone, and all of them as (node, h, 1): what is known to be frequent goes by its node."""
+def _parts(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Of (h, node, at) in any order, by parts of the input: rows (h, node, at, 0), but of a shingle that more than ``hot`` rows
+    of the part hold ``hot`` + 1 alone, and all of them as (node, h, 0, 1): what is known to be frequent goes by its node."""
     held: list[pa.RecordBatch] = []
 
     def out() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held)
-        h, node = (t.column(k).to_numpy() for k in (0, 1))
-        order = np.argsort(h, kind="stable")
-        h, node = h[order], node[order]
-        starts, sizes = _bounds(h)
-        many = np.repeat(sizes > HOT, sizes)
-        sent = ~many | (np.arange(len(h)) - np.repeat(starts, sizes) <= HOT)
-        for key, own, frequent in ((h[sent], node[sent], 0), (node[many], h[many], 1)):
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(np.full(len(key), frequent, np.int8))], names=["k", "v", "frequent"])
+        h, node, at = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
         held.clear()
+        order = np.argsort(h, kind="stable")
+        starts, sizes = _bounds(h[order])
+        if not (sizes > hot).any():
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(at), pa.array(np.zeros(len(h), np.int8))], names=NAMES)
+            return
+        h, node, at = h[order], node[order], at[order]
+        many = np.repeat(sizes > hot, sizes)
+        sent = ~many | (np.arange(len(h)) - np.repeat(starts, sizes) <= hot)
+        for key, own, place, frequent in ((h[sent], node[sent], at[sent], 0), (node[many], h[many], np.zeros(many.sum(), np.int64), 1)):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(place), pa.array(np.full(len(key), frequent, np.int8))], names=NAMES)
 
     rows = 0
     for b in batches:
@@ -133,67 +139,125 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of whole runs of the first column, which is sorted."""
+NAMES = ["k", "v", "at", "frequent"]
+
+
+def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and lengths of the runs of equal values."""
+    if not len(x):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return new, np.diff(np.concatenate([new, [len(x)]]))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Columns of whole runs of the first column, which is sorted, and False; or of a part of a run of more than ``most``
+    distinct values of the second column, and True."""
     tail: list[list[np.ndarray]] = []
+    held, long = 0, None
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if long is not None:  # what goes on of a run that is known to be long
+            cut = int(np.searchsorted(cols[0], long, side="right"))
+            if cut:
+                yield [c[:cut] for c in cols], True
+            cols = [c[cut:] for c in cols]
         if not len(cols[0]):
             continue
+        long = None
         cut = int(np.searchsorted(cols[0], cols[0][-1]))
         if cut or (tail and tail[0][0][0] != cols[0][0]):
             # What went on from earlier batches ends here.
-            yield [np.concatenate(c) for c in zip(*tail, [c[:cut] for c in cols])]
-            tail = []
+            yield [np.concatenate(c) for c in zip(*tail, [c[:cut] for c in cols])], False
+            tail, held = [], 0
         tail.append([c[cut:] for c in cols])
+        held += len(tail[-1][0])
+        if most is not None and held > 8 * most:
+            own = [np.concatenate(c) for c in zip(*tail)]
+            if len(np.unique(own[1])) > most:
+                yield own, True
+                tail, held, long = [], 0, own[0][0]
     if tail:
-        yield [np.concatenate(c) for c in zip(*tail)]
+        yield [np.concatenate(c) for c in zip(*tail)], False
 
 
-def _bounds(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places and lengths of the runs of equal values."""
-    if not len(x):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    new = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-    return new, np.diff(np.concatenate([new, [len(x)]]))
+def _plain(batches: Iterator[pa.RecordBatch], rest: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that come before the first ``frequent`` one; what else was read goes to ``rest``."""
+    for b in batches:
+        n = int(b.column(3).to_numpy().sum())
+        yield b.slice(0, b.num_rows - n).select(NAMES[:3])
+        if n:
+            rest.append(b.slice(b.num_rows - n))
+            return
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (h, node) in order: those whose shingle more than one node holds, and how many do (LAST for more than HOT)."""
-    for h, node in _runs(batches):
-        first = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
-        h, node = h[first], node[first]
-        held = np.repeat(*[_bounds(h)[1]] * 2)
-        some = held > 1
-        held[held > HOT] = LAST
-        yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(node[some]), pa.array(held[some].astype(np.int64))], names=["h", "node", "df"])
+def _near_places(n: np.ndarray, i: np.ndarray, m: int, j: int) -> np.ndarray:
+    """Whether sets of these sizes may have the similarity if the first shingle they share is at these places."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * (i + j) <= n + m)
 
 
-def _counted(entries: DataFrame) -> DataFrame:
-    """(h, node, df) of the entries (h, node) whose shingle more than one node holds; ``df`` is LAST for more than HOT.
-    An entry may come twice."""
-    sent = entries.mapInArrow(_parts, "k long, v long, frequent byte").repartition("k").sortWithinPartitions("frequent", "k", "v")
+def _short(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Of (h, node, at) in order: the members of lists that have a partner, with their list's pivot (or themselves, where it
+    is none); and as (null, node, null) those of a shingle that more than ``hot`` nodes hold. ``at``: size, then place."""
+    rest: list[pa.RecordBatch] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
+    def told(node: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(node), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(node), none], names=["h", "node", "pivot"])
 
-        def plain() -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n = int(b.column(2).to_numpy().sum())
-                yield b.slice(0, b.num_rows - n).select(["k", "v"])
-                if n:  # from here on all are told apart
-                    rest.append(b.slice(b.num_rows - n))
-                    return
+    for (h, node, at), long in _runs(_plain(batches, rest), hot):
+        if long:
+            yield told(np.unique(node))
+            continue
+        first = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+        h, node, at = h[first], node[first], at[first]
+        n, place = at >> 32, at & 0xFFFFFFFF
+        starts, sizes = _bounds(h)
+        kept, pivot = np.zeros(len(h), bool), node.copy()
+        two = starts[sizes == 2]  # most lists
+        near = (5 * np.minimum(n[two], n[two + 1]) >= 4 * np.maximum(n[two], n[two + 1])) & (9 * (place[two] + place[two + 1]) <= n[two] + n[two + 1])
+        kept[two[near]] = kept[two[near] + 1] = True
+        pivot[two[near] + 1] = node[two[near]]
+        for s, size in zip(starts[sizes > 2], sizes[sizes > 2]):
+            if size > hot:
+                yield told(node[s : s + size])
+                continue
+            own = slice(s, s + size)
+            least = s + int(np.lexsort((node[own], n[own]))[0])
+            linked = _near_places(n[own], place[own], n[least], place[least])
+            linked[least - s] = False
+            kept[own] = linked
+            kept[least] = linked.any()
+            pivot[own][linked] = node[least]
+            for x in np.flatnonzero(~kept[own]):
+                kept[s + x] = _near_places(n[own], place[own], n[s + x], place[s + x]).sum() > int(18 * place[s + x] <= 2 * n[s + x])
+        yield pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(node[kept]), pa.array(pivot[kept])], names=["h", "node", "pivot"])
+    for b in chain(rest, batches):
+        yield told(b.column(0).to_numpy())
+
+
+def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """Of (h, node, at) in order: (h, node, df) of shingles that more than one node holds; ``df`` is LAST for more than ``hot``."""
+    rest: list[pa.RecordBatch] = []
+    for (h, node, _), long in _runs(_plain(batches, rest), hot):
+        if not long:
+            first = np.concatenate([[True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])])
+            h, node = h[first], node[first]
+        held = np.repeat(*[_bounds(h)[1]] * 2)
+        some = (held > 1) | long
+        held[(held > hot) | long] = LAST
+        yield pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(node[some]), pa.array(held[some].astype(np.int64))], names=["h", "node", "df"])
+    for b in chain(rest, batches):
+        yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(np.full(b.num_rows, LAST))], names=["h", "node", "df"])
 
-        yield from _shared(plain())
-        for b in chain(rest, batches):
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(np.full(b.num_rows, LAST))], names=["h", "node", "df"])
 
-    return sent.mapInArrow(run, "h long, node long, df long")
+def _gathered(entries: DataFrame, hot: int) -> DataFrame:
+    """Entries (h, node, at) by shingle, in order, what is frequent by node behind them."""
+    return entries.mapInArrow(lambda b: _parts(b, hot), "k long, v long, at long, frequent byte").repartition("k").sortWithinPartitions("frequent", "k", "v")
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (node, prefix): (h, node), once for each node of a task."""
+    """Of (node, n, prefix): (h, node, at), once for each node of a task."""
     seen: set[int] = set()
     for batch in batches:
         for k in range(0, batch.num_rows, ROWS):
@@ -204,28 +268,36 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen.add(x)
                     new.append(i)
             own = b.take(pa.array(new, pa.int64()))
-            sizes = np.diff(own.column(1).offsets.to_numpy())
-            yield pa.RecordBatch.from_arrays([own.column(1).flatten(), pa.array(np.repeat(own.column(0).to_numpy(), sizes))], names=["h", "node"])
+            sizes = np.diff(own.column(2).offsets.to_numpy())
+            place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.repeat(own.column(1).to_numpy().astype(np.int64) << 32, sizes) | place
+            yield pa.RecordBatch.from_arrays([own.column(2).flatten(), pa.array(np.repeat(own.column(0).to_numpy(), sizes)), pa.array(at)], names=["h", "node", "at"])
 
 
-def _lists(sketches: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The lists (h, node): two nodes of the similarity have one in common."""
-    found = materialize(_counted(sketches.select("node", "prefix").mapInArrow(_heads, "h long, node long")), "near-index")
-    short = found.filter(F.col("df") < LAST).select("h", "node")
-    busy = materialize(found.filter(F.col("df") == LAST).select("node").distinct().join(nodes, "node").select("node", "n", "ox_file", "ox_pos"), "near-busy")
+def _lists(sketches: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, size: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """The lists (h, node, pivot) of up to ``hot`` members, and those of the second index, of any length; two nodes of
+    the similarity have one in common. None: no shingle is as frequent."""
+    found = materialize(_gathered(sketches.select("node", "n", "prefix").mapInArrow(_heads, "h long, node long, at long"), hot).mapInArrow(lambda b: _short(b, hot), "h long, node long, pivot long"), "near-lists")
+    short, busy = found.filter("h IS NOT NULL"), found.filter("h IS NULL").select("node")
+    if not busy.limit(1).count():
+        return short, None
+    busy = materialize(busy.distinct().join(nodes, "node").select("node", "n", "ox_file", "ox_pos"), "near-busy")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 own = shingles(text, size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node))], names=["h", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node)), pa.array(np.zeros(len(own), np.int64))], names=["h", "node", "at"])
 
-    whole = _texts(rows, text_col).join(busy.drop("n"), ["ox_file", "ox_pos"]).select("node", "text")
-    ranked = _counted(whole.mapInArrow(emit, "h long, node long")).groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
+    whole = _texts(rows, text_col).join(small(busy.drop("n")), ["ox_file", "ox_pos"]).select("node", "text")
+    counted = _gathered(whole.mapInArrow(emit, "h long, node long, at long"), hot).mapInArrow(lambda b: _shared(b, hot), "h long, node long, df long")
+    ranked = counted.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
     # The prefix, without the shingles that no other of these sets holds: these come first.
     length = F.floor(F.col("n") / 5).cast("int") + 1 - (F.col("n") - F.size("s"))
     index = ranked.join(busy, "node").withColumn("length", length).filter("length > 0")
-    return materialize(short.union(index.select(F.explode(F.slice("s", F.lit(1), F.col("length"))).alias("t"), "node").select("t.h", "node")), "near-lists")
+    index = materialize(index.select(F.explode(F.slice("s", F.lit(1), F.col("length"))).alias("t"), "node", "n").select("t.h", "node", "n"), "near-long")
+    least = index.groupBy("h").agg(F.min(F.struct("n", "node")).alias("p")).select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("least"))
+    return short, index.join(least, "h").select("h", "node", F.when(5 * F.col("least") >= 4 * F.col("n"), F.col("pivot")).otherwise(F.col("node")).alias("pivot"))
 
 
 def _plausible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -241,7 +313,7 @@ def _words(bits: list[bytes]) -> np.ndarray:
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a list whose labels differ, and whose sizes and parities allow the similarity. Rows: h, label, node, n, bits."""
-    for h, label, node, n, bits in _runs(batches):
+    for (h, label, node, n, bits), _ in _runs(batches):
         for s, size in zip(*_bounds(h)):
             starts, sizes = _bounds(label[s : s + size])
             if len(sizes) < 2:
@@ -260,7 +332,7 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, size: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity."""
+    """The pairs (a, b) that reach the similarity. Each node's text is read where it lies; its set goes to its pivots ``a``."""
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,21 +342,32 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x, size).tobytes() for x in b.column(1).to_pylist()], pa.binary())], names=["node", "s"])
+            for node, text, to in zip(*(c.to_pylist() for c in b.columns)):
+                own = shingles(text, size).tobytes()
+                cols = [[x["a"] for x in to], [x["salt"] for x in to], [int(x["a"] != node) for x in to], [node] * len(to)]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], pa.array([own] * len(to), pa.binary())], names=["a", "salt", "member", "b", "s"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda x: np.frombuffer(x, np.uint64)
-        for b in batches:
-            own = [alike(read(x), read(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(own, pa.bool_()))
+        at, own = None, np.empty(0, np.uint64)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for a, salt, member, b, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if not member:
+                    at, own = (a, salt), np.frombuffer(s, np.uint64)
+                elif at == (a, salt) and alike(own, np.frombuffer(s, np.uint64)):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
     known = pairs.filter("a <> b").distinct().join(one, "a").join(two, "b").select("a", "b", "na", "nb", "bitsa", "bitsb")
     near = materialize(known.mapInArrow(sift, "a long, b long"), "near-pairs")
-    asked = materialize(nodes.join(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "node").select("node", "ox_file", "ox_pos"), "near-asked")
-    found = materialize(_texts(rows, text_col).join(asked, ["ox_file", "ox_pos"]).select("node", "text").mapInArrow(sets, "node long, s binary"), "near-sets")
-    one, two = found.toDF("a", "sa"), found.toDF("b", "sb")
-    return materialize(near.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "near-links")
+    pivots = near.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
+    member = near.join(pivots, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    to = pivots.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).union(member)
+    asked = to.groupBy("node").agg(F.collect_list(F.struct("a", "salt")).alias("to")).join(nodes, "node").select("node", "ox_file", "ox_pos", "to")
+    asked = materialize(asked, "near-asked")
+    sent = _texts(rows, text_col).join(small(asked), ["ox_file", "ox_pos"]).select("node", "text", "to").mapInArrow(sets, "a long, salt int, member int, b long, s binary")
+    return materialize(sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "member").mapInArrow(check, "a long, b long"), "near-links")
 
 
 def _by_fingerprint(fps: DataFrame, k: int) -> DataFrame:
@@ -296,30 +379,30 @@ def _by_fingerprint(fps: DataFrame, k: int) -> DataFrame:
     return found.join(one, "a").join(two, "b").select("na", "nb").union(equal).select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 
 
-def survivors(docs: DataFrame, shingle: int = 5, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component of near copies one. ``k``: the bits of the SimHash index."""
+def survivors(docs: DataFrame, shingle: int = 5, k: int = 3, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component of near copies one. ``k``: the bits of the SimHash index;
+    ``hot``: the members that a list may have; neither changes the result."""
     rows = _addressed(docs)
     sketches = _sketches(rows, shingle, id_col, text_col)
     first = F.min(F.struct("ox_file", "ox_pos", "n", "bits")).alias("x")
     nodes = materialize(sketches.groupBy("node").agg(first).select("node", "x.*"), "near-nodes")
-    lists = _lists(sketches, nodes, rows, text_col, shingle)
-    sized = lists.join(nodes.select("node", "n"), "node")
-    least = sized.groupBy("h").agg(F.min(F.struct("n", "node")).alias("p")).select("h", F.col("p.node").alias("pivot"), F.col("p.n").alias("least"))
-    star = sized.join(least, "h").filter("node <> pivot AND 5 * least >= 4 * n").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    edges = _verified(star.union(_by_fingerprint(sketches.select("node", "fp").distinct(), k)), nodes, rows, text_col, shingle)
-    labels = components(edges).withColumnRenamed("node", "at")
-    told = lists.join(labels, F.col("node") == F.col("at"), "left").select("h", "node", F.coalesce("label", "node").alias("label"))
-    open_ = told.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo <> hi")
-    open_ = open_.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = told.join(open_, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.when(F.col("blocks") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
-    left = dealt.select(key.alias("h"), "label", "node").join(nodes.select("node", "n", "bits"), "node").select("h", "label", "node", "n", "bits")
-    more = left.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_left, "a long, b long")
-    labels = components(edges.union(_verified(more, nodes, rows, text_col, shingle))).withColumnRenamed("node", "at")
+    short, long = _lists(sketches, nodes, rows, text_col, shingle, hot)
+    star = [x.select(F.col("pivot").alias("a"), F.col("node").alias("b")) for x in (short, long) if x is not None]
+    edges = _verified(reduce(DataFrame.union, [*star, _by_fingerprint(sketches.select("node", "fp").distinct(), k)]), nodes, rows, text_col, shingle)
+    labels = components(edges)
+    named = lambda x: x.join(small(labels.withColumnRenamed("node", "at")), F.col("node") == F.col("at"), "left")
+    dealt = named(short.select("h", "node")).select("h", F.coalesce("label", "node").alias("label"), "node")
+    if long is not None:
+        sizes = long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        blocks = named(long.select("h", "node")).join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        key = F.when(F.col("blocks") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
+        dealt = dealt.union(blocks.select(key.alias("h"), F.coalesce("label", "node").alias("label"), "node"))
+    dealt = dealt.join(nodes.select("node", "n", "bits"), "node").select("h", "label", "node", "n", "bits")
+    more = dealt.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_left, "a long, b long")
+    labels = components(edges.union(_verified(more, nodes, rows, text_col, shingle)))
     # An order of whole rows: rows that share an id are told apart by their text's hash, and copies by their place.
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"), F.col("ox_file"), F.col("ox_pos"))
-    named = sketches.join(labels, sketches["node"] == labels["at"], "left").withColumn("label", F.coalesce("label", sketches["node"]))
-    kept = named.groupBy("label").agg(F.min(order).alias("o")).select("o.ox_file", "o.ox_pos")
+    kept = named(sketches).withColumn("label", F.coalesce("label", "node")).groupBy("label").agg(F.min(order).alias("o")).select("o.ox_file", "o.ox_pos")
     gone = materialize(sketches.select("ox_file", "ox_pos").join(kept, ["ox_file", "ox_pos"], "left_anti"), "near-gone")
-    return rows.join(gone, ["ox_file", "ox_pos"], "left_anti").select(*docs.columns)
+    return rows.join(small(gone), ["ox_file", "ox_pos"], "left_anti").select(*docs.columns)

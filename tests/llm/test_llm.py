@@ -541,8 +541,8 @@ def test_all_pairs_at_a_similarity_of_four_fifths_are_linked(spark, docs):
     similar = [len(a & b) / len(a | b) for a, b in itertools.combinations(sets, 2) if a and b]
     assert sum(0.8 <= x < 0.9 for x in similar) > 20 and sum(0.7 <= x < 0.8 for x in similar) > 20  # on both sides of the limit
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, SF).collect()}
-    assert got == want
+    for got in (corpus_pipeline.near_dedup_stage(spark, df, SF), near_copies.survivors(df, hot=3), near_copies.survivors(df, hot=40)):
+        assert {r["doc_id"] for r in got.collect()} == want
 
 
 def test_near_dedup_of_files_and_clashing_columns(spark, docs, empty, tmp_path):
@@ -558,23 +558,30 @@ def test_near_dedup_of_files_and_clashing_columns(spark, docs, empty, tmp_path):
     assert corpus_pipeline.near_dedup_stage(spark, empty, SF).count() == 0
 
 
-def test_runs_go_on_over_batches():
+@pytest.mark.parametrize("most", [None, 2])
+def test_runs_go_on_over_batches(most):
     import pyarrow as pa
 
-    h = [1, 1, 2, 2, 2, 2, 2, 2, 3, 4, 4, 4, 5]
-    for step in (1, 2, 3, 5, 13):
+    h = [1, 1, *[2] * 60, 3, 4, 4, 4, 5, *[6] * 40]
+    for step in (1, 2, 3, 5, 13, 200):
         batches = [pa.record_batch([pa.array(h[k : k + step]), pa.array(list(range(k, min(k + step, len(h)))))], names=["h", "node"]) for k in range(0, len(h), step)]
-        got = [(x, y, n) for b in near_copies._shared(iter(batches)) for x, y, n in zip(*[c.to_pylist() for c in b.columns])]
-        assert got == [(x, y, h.count(x)) for y, x in enumerate(h) if h.count(x) > 1]
+        rows, whole = [], []
+        for (x, y), long in near_copies._runs(iter(batches), most):
+            rows += list(zip(x.tolist(), y.tolist()))
+            whole += [] if long else x.tolist()
+        assert rows == [(x, k) for k, x in enumerate(h)]
+        assert all(whole.count(x) in (0, h.count(x)) for x in set(h)) and (most or whole == h)
 
 
 def test_frequent_shingles_are_told_apart(spark):
     rnd = random.Random(6)
     held = {(h, n) for n in range(3000) for h in (rnd.randrange(40) if n % 3 else 7, 100 + n // 2, 10_000 + n)}
-    df = spark.createDataFrame(list(held), "h long, node long").repartition(4)
-    got = {(r["h"], r["node"]): r["df"] for r in near_copies._counted(df).collect()}
+    df = spark.createDataFrame([(*x, 0) for x in held], "h long, node long, at long").repartition(4)
     n = Counter(h for h, _ in held)
-    assert got == {(h, x): n[h] if n[h] <= near_copies.HOT else near_copies.LAST for h, x in held if n[h] > 1}
+    for hot in (20, 64, 5000):
+        counted = near_copies._gathered(df, hot).mapInArrow(lambda b, hot=hot: near_copies._shared(b, hot), "h long, node long, df long")
+        got = {(r["h"], r["node"]): r["df"] for r in counted.collect()}
+        assert got == {(h, x): n[h] if n[h] <= hot else near_copies.LAST for h, x in held if n[h] > 1}
 
 
 def test_words_of_least_probability_are_trained_on(spark):
