@@ -62,11 +62,15 @@ def validated(candidates: Column) -> Column:
 
 
 def from_wire(candidates: Column) -> Column:
-    """Wire form (box array, score, label) to the columnar form; the label may be missing."""
-    return F.transform(
+    """Wire form (box array, score, label) to the columnar form; the label may be missing. A list that is
+    missing, a box without exactly four coordinates and a missing score are errors."""
+    checked = F.transform(
         candidates,
-        lambda c, i: F.struct(*[F.get(c["box"], k).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))], c["score"].alias("score"), F.coalesce(c["label"], F.lit("")).alias("label"), i.cast("int").alias("ord")),
+        lambda c, i: F.when(F.coalesce(F.size(c["box"]), F.lit(-1)) != 4, F.raise_error(F.lit("candidate boxes must have four coordinates")).cast(CANDIDATE))
+        .when(c["score"].isNull(), F.raise_error(F.lit("candidates must have a score")).cast(CANDIDATE))
+        .otherwise(F.struct(*[F.get(c["box"], k).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))], c["score"].alias("score"), F.coalesce(c["label"], F.lit("")).alias("label"), i.cast("int").alias("ord"))),
     )
+    return F.when(candidates.isNull(), F.raise_error(F.lit("a candidate list is missing")).cast(f"array<{CANDIDATE}>")).otherwise(checked)
 
 
 def to_wire(candidates: Column) -> Column:
@@ -92,7 +96,8 @@ def clipped(candidates: Column, width: Column, height: Column, query: Column, k:
 
 
 def xywh_to_xyxy(x: Column, y: Column, w: Column, h: Column) -> Column:
-    return F.array(x, y, x + w, y + h)
+    """Corners of a box given by a corner and its size; null where a value is missing or the size isn't positive."""
+    return F.when((w > 0) & (h > 0) & x.isNotNull() & y.isNotNull(), F.array(x, y, x + w, y + h))
 
 
 def within_image(b: Column, width: Column, height: Column, slack: float = 1e-3) -> Column:

@@ -1,36 +1,106 @@
-"""Contract grids: one association for each sample and exposure, then thresholds.
+"""Contract grids: one association for each pair of list lengths, then thresholds.
 
 Suppression is prefix-closed, so lists are reduced once at the largest counts and
-sliced; association doesn't depend on the thresholds, so it is made before the rows
-are multiplied by them.
+sliced. Counts beyond a list's length give the same lists, so each probe is associated once
+for each distinct pair of lengths; association doesn't depend on the thresholds, so it is
+made before rows are multiplied by them; and counts are multiplied out last.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import spatially_distinct
+from ..functions.scalars import FAILURES, ratio
 from .outcome import associated, outcome
 
+#: The factors of a setting, in the order of their nesting.
+FACTORS = ["kt", "ke", "match", "birth"]
+
+
+def _each(values: list, length: Column) -> Column:
+    """The distinct lengths that a list of ``length`` is cut to."""
+    return F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, values)), lambda k: F.least(k, length))))
+
+
+def _of_length(values: list, length: Column, cut: Column) -> Column:
+    """(place, count) of the counts that cut a list of ``length`` to ``cut``."""
+    places = F.transform(F.array(*map(F.lit, values)), lambda k, i: F.struct(i.cast("int").alias("at"), k.alias("k")))
+    return F.explode(F.filter(places, lambda x: F.least(x["k"], length) == cut))
+
 
 def replay(pairs: DataFrame, tracked: list[int], exposed: list[int], match: list[float], birth: list[float], duplicate: float = 0.7, keys: tuple[str, ...] = ("ref_id", "r")) -> DataFrame:
-    """``keys, setting columns, eligible, stable`` for each pair of lists and setting."""
+    """``keys``, the setting's columns and ``setting_index``, and the outcome under each setting: ``eligible, coverage,
+    rank_stable, stable, failure`` (null where not eligible), and ``exposed``, the exposed candidates at the largest count."""
     a = pairs.withColumn("all_tracked", spatially_distinct(F.col("clean_candidates"), max(tracked), duplicate))
     a = a.withColumn("all_exposed", spatially_distinct(F.col("perturbed_candidates"), max(exposed), duplicate))
-    a = a.withColumn("kt", F.explode(F.array(*map(F.lit, tracked)))).withColumn("ke", F.explode(F.array(*map(F.lit, exposed))))
-    a = a.withColumn("tracked", F.slice("all_tracked", F.lit(1), F.col("kt"))).withColumn("exposed", F.slice("all_exposed", F.lit(1), F.col("ke")))
-    a = associated(a.select(*keys, "kt", "ke", "tracked", "exposed"))
-    a = a.withColumn("match", F.explode(F.array(*map(F.lit, match)))).withColumn("birth", F.explode(F.array(*map(F.lit, birth))))
-    o = outcome(F.col("tracked"), F.col("exposed"), F.col("assignment"), F.col("assignment_iou"), F.col("match"), F.col("birth"))
-    eligible = F.size("tracked") >= 2
-    return a.select(*keys, "kt", "ke", "match", "birth", eligible.cast("int").alias("eligible"), F.when(eligible, o["operational_stable"]).otherwise(F.lit(0)).alias("stable"))
+    a = a.withColumn("n_t", F.size("all_tracked")).withColumn("n_e", F.size("all_exposed"))
+    a = a.withColumn("lt", _each(tracked, F.col("n_t"))).withColumn("le", _each(exposed, F.col("n_e")))
+    a = a.withColumn("tracked", F.slice("all_tracked", F.lit(1), F.col("lt"))).withColumn("exposed", F.slice("all_exposed", F.lit(1), F.col("le")))
+    a = associated(a.select(*keys, "n_t", "n_e", "lt", "le", "tracked", "exposed"), least_match=min(match))
+    thresholds = [F.struct(F.lit(i * len(birth) + j).alias("at"), F.lit(m).alias("match"), F.lit(b).alias("birth")) for i, m in enumerate(match) for j, b in enumerate(birth)]
+    a = a.withColumn("s", F.explode(F.array(*thresholds)))
+    o = outcome(F.col("tracked"), F.col("exposed"), F.col("assignment"), F.col("assignment_iou"), F.col("s.match"), F.col("s.birth"))
+    # Generated, not projected: each of the four columns would else work the outcome out by itself.
+    kept = F.struct(*[o[c].alias(c) for c in ("coverage", "rank_stable", "operational_stable", "primary_failure")])
+    a = a.select(*keys, "n_t", "n_e", "lt", "le", "s", F.explode(F.array(F.when(F.col("n_t") >= 2, kept))).alias("o"))
+    a = a.withColumn("t", _of_length(tracked, F.col("n_t"), F.col("lt"))).withColumn("e", _of_length(exposed, F.col("n_e"), F.col("le")))
+    index = (F.col("t.at") * len(exposed) + F.col("e.at")) * len(thresholds) + F.col("s.at")
+    eligible = (F.col("n_t") >= 2).cast("int")
+    return a.select(
+        *keys, index.alias("setting_index"), F.col("t.k").alias("kt"), F.col("e.k").alias("ke"), "s.match", "s.birth", eligible.alias("eligible"),
+        F.coalesce("o.coverage", F.lit(0)).alias("coverage"), "o.rank_stable", F.coalesce("o.operational_stable", F.lit(0)).alias("stable"), F.col("o.primary_failure").alias("failure"), F.col("n_e").alias("exposed"),
+    )
+
+
+def settings(replayed: DataFrame, by: list[str] | None = None, sample: tuple[str, ...] = ("ref_id",)) -> DataFrame:
+    """Each setting's table row: samples, eligibility, probes of eligible samples, coverage, conditional order, stability over all
+    and over eligible samples (means of samples' means, 0 for the ineligible), and the shares of failure classes."""
+    by, keys = by or [], ["setting_index", *FACTORS]
+    e = F.col("eligible")
+    causes = [F.sum(e * (F.col("failure") == c).cast("int")).alias(c) for c in FAILURES]
+    s = replayed.groupBy(*by, *sample, *keys).agg(F.max("eligible").alias("eligible_"), F.sum("eligible").alias("probes"), F.sum(e * F.col("coverage")).alias("covered"), F.sum(e * F.col("stable")).alias("stable_"), *causes)
+    mean = F.coalesce(ratio(F.col("stable_"), F.col("probes")), F.lit(0.0))
+    g = s.groupBy(*by, *keys).agg(
+        F.count(F.lit(1)).alias("samples"), F.sum("eligible_").alias("eligible"), F.sum("probes").alias("probes"), F.sum("covered").alias("covered"), F.sum("stable_").alias("stable"), F.avg(mean).alias("theta"), F.sum(mean).alias("total"), *[F.sum(c).alias(c) for c in FAILURES]
+    )
+    failures = sum((F.col(c) for c in FAILURES), F.lit(0))
+    return g.select(
+        *by, *keys, "samples", "eligible", (F.col("eligible") / F.col("samples")).alias("eligibility"), "probes",
+        F.coalesce(ratio(F.col("covered"), F.col("probes")), F.lit(0.0)).alias("coverage"), ratio(F.col("stable"), F.col("covered")).alias("conditional"),
+        "theta", F.coalesce(ratio(F.col("total"), F.col("eligible")), F.lit(0.0)).alias("eligible_theta"),
+        *[F.coalesce(ratio(F.col(c), failures), F.lit(0.0)).alias(f"{c}_share") for c in FAILURES],
+    )
+
 
+def saturation(pairs: DataFrame, by: list[str], cap: int = 20, duplicate: float = 0.7) -> DataFrame:
+    """How often lists reach the cap: of clean lists as they come, of perturbed ones after suppression, and the median of the latter."""
+    a = pairs.select(*by, (F.size("clean_candidates") >= cap).cast("double").alias("c"), F.size(spatially_distinct(F.col("perturbed_candidates"), cap, duplicate)).alias("n"))
+    return a.groupBy(*by).agg(F.count(F.lit(1)).alias("probes"), F.avg("c").alias("clean_cap_fraction"), F.avg((F.col("n") >= cap).cast("double")).alias("probe_cap_fraction"), F.percentile("n", F.lit(0.5)).alias("median_exposed"))
 
-def settings(replayed: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Full-manifest stability of each setting."""
-    return replayed.groupBy(*(by or []), "kt", "ke", "match", "birth").agg(F.count(F.lit(1)).alias("trials"), F.sum("eligible").alias("eligible"), F.avg("stable").alias("theta"))
+
+def duplicate_eligibility(lists: DataFrame, thresholds: list[float], maximum: int = 5) -> DataFrame:
+    """Eligibility and mean number of tracked candidates at each suppression threshold, over clean lists alone."""
+    a = lists.select("clean_candidates", F.explode(F.array(*map(F.lit, thresholds))).alias("duplicate"))
+    n = F.size(spatially_distinct(F.col("clean_candidates"), maximum, F.col("duplicate")))
+    return a.select("duplicate", n.alias("n")).groupBy("duplicate").agg(F.count(F.lit(1)).alias("samples"), F.avg((F.col("n") >= 2).cast("double")).alias("eligibility"), F.avg("n").alias("mean_tracked"))
+
+
+def optimism(table: DataFrame, by: list[str]) -> DataFrame:
+    """Of a table of settings (:func:`settings`): coverage and complete-case stability from the shares of failure
+    classes alone, the optimism against the full manifest, and the identity's residual."""
+    risk = 1 - F.col("eligible_theta")
+    lost = risk * (F.col("winner_missing_share") + F.col("competitor_missing_share") + F.col("threatening_birth_share"))
+    a = table.select(*by, "setting_index", *FACTORS, "eligibility", "eligible_theta", "theta", (1 - lost).alias("coverage"), (risk * F.col("ranking_reversal_share")).alias("ranking_risk"))
+    a = a.withColumn("complete_case", 1 - F.col("ranking_risk") / F.nullif(F.col("coverage"), F.lit(0.0)))
+    a = a.withColumn("total_optimism", F.col("complete_case") - F.col("theta"))
+    return a.withColumn("residual", F.abs(F.col("total_optimism") - F.col("complete_case") * (1 - F.col("eligibility") * F.col("coverage")))).drop("ranking_risk")
+
+
+def optimism_ranges(values: DataFrame, by: list[str]) -> DataFrame:
+    columns = ("complete_case", "theta", "total_optimism")
+    return values.groupBy(*by).agg(F.count(F.lit(1)).alias("settings"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
 
 
 def envelope(values: DataFrame, by: list[str], value: str = "theta", index: str = "setting_index", default: int = 0) -> DataFrame:
@@ -43,19 +113,28 @@ def envelope(values: DataFrame, by: list[str], value: str = "theta", index: str
 
 
 def pair_gaps(values: DataFrame, group: str = "model", value: str = "theta", index: str = "setting_index") -> DataFrame:
-    """For each pair of models the least and greatest gap at the same setting, whether the order never changes,
-    and whether one's worst beats the other's best."""
+    """For each pair of models the least and greatest gap at the same setting, the first setting of the least one, whether the
+    order never changes, and whether one's worst beats the other's best. A setting that one model lacks is an error."""
     a = values.select(F.col(group).alias("model_a"), index, F.col(value).alias("va"))
-    b = values.select(F.col(group).alias("model_b"), index, F.col(value).alias("vb"))
-    j = a.join(b, index).filter("model_a < model_b")
-    g = j.groupBy("model_a", "model_b").agg(F.min(F.col("va") - F.col("vb")).alias("min_gap"), F.max(F.col("va") - F.col("vb")).alias("max_gap"), (F.min("va") - F.max("vb")).alias("strong_gap"))
-    return g.withColumn("invariant", (F.col("min_gap") > 0) | (F.col("max_gap") < 0)).withColumn("strong", F.col("strong_gap") > 0)
-
-
-def ranges(values: DataFrame, by: list[str], factor: str, fixed: dict[str, float], value: str = "theta") -> DataFrame:
-    """The range of ``value`` as one factor moves and the others stay at their defaults."""
-    a = values
-    for c, v in fixed.items():
-        if c != factor:
-            a = a.filter(F.col(c) == v)
-    return a.groupBy(*by).agg(F.lit(factor).alias("factor"), F.count(F.lit(1)).alias("levels"), (F.max(value) - F.min(value)).alias("range")) if by else a.agg(F.lit(factor).alias("factor"), F.count(F.lit(1)).alias("levels"), (F.max(value) - F.min(value)).alias("range"))
+    b = values.select(F.col(group).alias("model_b"), F.col(index).alias("index_b"), F.col(value).alias("vb"))
+    gap = F.col("va") - F.col("vb")
+    models = values.select(group).distinct()
+    pairs = models.select(F.col(group).alias("model_a")).join(models.select(F.col(group).alias("model_b")), F.col("model_a") < F.col("model_b"))  # a row for each pair of models
+    j = pairs.join(a, "model_a").join(b.withColumnRenamed("model_b", "model_c"), (F.col("model_b") == F.col("model_c")) & (F.col(index) == F.col("index_b")), "left")
+    g = j.groupBy("model_a", "model_b").agg(
+        F.min(gap).alias("min_gap"), F.max(gap).alias("max_gap"), (F.min("va") - F.max("vb")).alias("strong_gap"), F.min(F.struct(gap.alias("g"), F.col(index))).alias("worst"), F.count(F.when(F.col("index_b").isNull(), 1)).alias("lacking")
+    )
+    worst = F.when(F.col("lacking") == 0, F.col(f"worst.{index}")).otherwise(F.raise_error(F.lit("models don't have the same settings")).cast("int"))
+    return g.select("model_a", "model_b", "min_gap", "max_gap", "strong_gap", worst.alias("worst_index"), ((F.col("min_gap") > 0) | (F.col("max_gap") < 0)).alias("invariant"), (F.col("strong_gap") > 0).alias("strong"))
+
+
+def one_factor(values: DataFrame, by: list[str], defaults: dict[str, float], value: str = "theta") -> DataFrame:
+    """For each factor, with the others at their defaults: tested values, least, greatest and default value, and the range.
+
+    One pass: a setting counts for a factor if all others are at their defaults.
+    """
+    off = {c: (F.col(c) != v).cast("int") for c, v in defaults.items()}
+    counts = [F.when(sum((off[o] for o in defaults if o != c), F.lit(0)) == 0, F.struct(F.lit(c).alias("factor"), F.col(c).cast("double").alias("at"), (F.col(c) == v).alias("is_default"))) for c, v in defaults.items()]
+    a = values.withColumn("f", F.explode(F.filter(F.array(*counts), lambda x: x.isNotNull())))
+    g = a.groupBy(*by, "f.factor").agg(F.sort_array(F.collect_list("f.at")).alias("at"), F.min(value).alias("minimum"), F.max(value).alias("maximum"), F.max(F.when(F.col("f.is_default"), F.col(value))).alias("at_default"))
+    return g.select(*by, "factor", F.array_join(F.transform("at", lambda x: F.format_string("%.2f", x)), ";").alias("tested"), F.size("at").alias("levels"), "minimum", "maximum", (F.col("maximum") - F.col("minimum")).alias("range"), "at_default")

@@ -3,8 +3,12 @@
 The plan is narrow: lists stay in their row. Association maximises the summed IoU
 one to one before any threshold. Where each tracked candidate that overlaps anything
 has a best target of its own, these targets are the optimum, found in the JVM; the
-other rows go to an exact dynamic programme over sets of tracked candidates in
-Arrow batches.
+other rows go to an exact assignment in Arrow batches, polynomial in the lists' lengths.
+At a match threshold of zero pairs without overlap count as well, so there a row is
+only settled in the JVM if each tracked candidate overlaps something.
+
+Totals are compared in billionths; of equal totals the lexicographically least mapping
+counts, in which "none" comes last.
 """
 
 from __future__ import annotations
@@ -15,56 +19,97 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geometry import iou, spatially_distinct
+from ..functions.geometry import CANDIDATE, iou, spatially_distinct
 from .contract import OutputContract
 
+#: Fixed value: why a pair has no outcome.
+INELIGIBLE = "fewer_than_two_spatially_distinct_clean_candidates"
+
 
 def assign(ious: np.ndarray) -> list[int]:
-    """For each row a column or -1: pairs of greatest total, as many as fit. Of equal totals the
-    lexicographically least mapping. Rows are few: all sets of rows are states."""
+    """For each row a column or -1: pairs of greatest total, as many as fit, by shortest augmenting paths.
+
+    Gains are whole numbers: the IoU in billionths, above digits of the column's place, so
+    that of equal totals the least mapping wins without another search.
+    """
     n, m = ious.shape
-    states: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, (-1,) * n)}
-    better = lambda new, old: old is None or new[0] > old[0] + 1e-12 or abs(new[0] - old[0]) <= 1e-12 and _key(new[1]) < _key(old[1])
-    for j in range(m):
-        grown = dict(states)
-        for mask, (total, mapping) in states.items():
-            for i in range(n):
-                if not mask >> i & 1:
-                    new = (total + float(ious[i, j]), (*mapping[:i], j, *mapping[i + 1 :]))
-                    if better(new, grown.get(mask | 1 << i)):
-                        grown[mask | 1 << i] = new
-        states = grown
-    full = min(n, m)
-    best = None
-    for mask, new in states.items():
-        if bin(mask).count("1") == full and better(new, best):
-            best = new
-    return list(best[1])
-
-
-def _key(mapping: tuple[int, ...]) -> tuple[int, ...]:
-    return tuple(1 << 30 if x < 0 else x for x in mapping)
+    base, scale = m + 1, (m + 1) ** n
+    gain = [[round(float(x) * 1e9) * scale + (m - j) * base ** (n - 1 - i) for j, x in enumerate(row)] for i, row in enumerate(ious)]
+    if n > m:  # more rows than columns: columns look for rows
+        to_row = _matched([[-gain[i][j] for i in range(n)] for j in range(m)])
+        out = [-1] * n
+        for j, i in enumerate(to_row):
+            out[i] = j
+        return out
+    return _matched([[-x for x in row] for row in gain])
+
+
+def _matched(cost: list[list[int]]) -> list[int]:
+    """The column of each row in the matching of least cost; rows are not more than columns."""
+    n, m = len(cost), len(cost[0]) if cost else 0
+    of_row, of_column = [0] * n, [0] * m  # prices
+    row_at = [-1] * m
+    for start in range(n):
+        shortest: list[int | None] = [None] * m
+        came, done = [-1] * m, [False] * m
+        row, column, length = start, -1, 0
+        while True:
+            best, nearest = -1, None
+            for j in range(m):
+                if not done[j]:
+                    to = length + cost[row][j] - of_row[row] - of_column[j]
+                    if shortest[j] is None or to < shortest[j]:
+                        shortest[j], came[j] = to, column
+                    if nearest is None or shortest[j] < nearest:
+                        best, nearest = j, shortest[j]
+            column, length = best, nearest
+            done[column] = True
+            if row_at[column] < 0:
+                break
+            row = row_at[column]
+        of_row[start] += length
+        for j in range(m):
+            if done[j] and j != column:
+                of_row[row_at[j]] += length - shortest[j]
+                of_column[j] -= length - shortest[j]
+        while column >= 0:  # along the path back to the start
+            before = came[column]
+            row_at[column] = row_at[before] if before >= 0 else start
+            column = before
+    out = [-1] * n
+    for j, i in enumerate(row_at):
+        if i >= 0:
+            out[i] = j
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _assign_hard(ious: pd.Series) -> pd.Series:
-    return ious.map(lambda m: None if m is None else assign(np.array([np.asarray(r, dtype=float) for r in m])))
+    return ious.map(lambda m: None if m is None else assign(np.array([np.asarray(r, dtype=float) for r in m])) if len(m[0]) else [-1] * len(m))
+
 
+def associated(df: DataFrame, tracked: str = "tracked", exposed: str = "exposed", out: str = "assignment", least_match: float = 0.1) -> DataFrame:
+    """``df`` with the best one-to-one target of each tracked candidate (``out``: -1 for none) and ``out``_iou.
 
-def associated(df: DataFrame, tracked: str = "tracked", exposed: str = "exposed", out: str = "assignment") -> DataFrame:
-    """``df`` with the best one-to-one target of each tracked candidate (``out``: -1 for none) and ``out``_iou."""
+    ``least_match`` is the least match threshold to come: above 0, pairs without overlap needn't be told.
+    """
     m = F.transform(F.col(tracked), lambda c: F.transform(F.col(exposed), lambda p: iou(c, p)))
     a = df.withColumn("ox_iou", m)
     best = F.transform(F.col("ox_iou"), lambda r: F.when(F.coalesce(F.array_max(r), F.lit(0.0)) > 0, (F.array_position(r, F.array_max(r)) - 1).cast("int")).otherwise(F.lit(-1)))
     a = a.withColumn("ox_best", best)
     real = F.filter(F.col("ox_best"), lambda x: x >= 0)
-    a = a.withColumn("ox_easy", F.size(F.array_distinct(real)) == F.size(real))
+    own = F.size(F.array_distinct(real)) == F.size(real)
+    a = a.withColumn("ox_easy", own if least_match > 0 else own & (F.size(real) == F.size("ox_best")))
     a = a.withColumn("ox_hard", _assign_hard(F.when(~F.col("ox_easy"), F.col("ox_iou"))))
     a = a.withColumn(out, F.when(F.col("ox_easy"), F.col("ox_best")).otherwise(F.col("ox_hard")))
     a = a.withColumn(f"{out}_iou", F.transform(F.col(out), lambda j, i: F.when(j >= 0, F.get(F.get(F.col("ox_iou"), i), j)).otherwise(F.lit(0.0))))
     return a.drop("ox_iou", "ox_best", "ox_easy", "ox_hard")
 
 
+def _box(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.array(c["x1"], c["y1"], c["x2"], c["y2"]))
+
+
 def outcome(tracked: Column, exposed: Column, assignment: Column, ious: Column, match: Column, birth: Column) -> Column:
     """The outcome of one probe as a struct; null-safe for empty exposed lists."""
     mapping = F.zip_with(assignment, ious, lambda j, x: F.when((j >= 0) & (x >= match), j))
@@ -79,7 +124,7 @@ def outcome(tracked: Column, exposed: Column, assignment: Column, ious: Column,
     ).otherwise(F.filter(everywhere, lambda x: F.lit(False)))
     scores = F.transform(mapping, lambda j: F.get(exposed, j)["score"])
     covered = (F.size(missing) == 0) & (F.size(births) == 0)
-    gaps = F.when(covered, F.transform(F.slice(scores, 2, 1000), lambda s: F.get(scores, F.lit(0)) - s))
+    gaps = F.when(covered, F.transform(F.slice(scores, F.lit(2), F.size(scores)), lambda s: F.get(scores, F.lit(0)) - s))
     ordered = F.forall(gaps, lambda g: g > 0)
     failure = (
         F.when(covered & ordered, "stable")
@@ -97,6 +142,7 @@ def outcome(tracked: Column, exposed: Column, assignment: Column, ious: Column,
         mapping.alias("mapping"),
         F.zip_with(mapping, ious, lambda j, x: F.when(j.isNotNull(), x)).alias("matched_ious"),
         scores.alias("matched_scores"),
+        F.transform(mapping, lambda j: _box(F.get(exposed, j))).alias("matched_boxes"),
         gaps.alias("gaps"),
         missing.alias("missing_clean_indices"),
         F.transform(births, lambda x: x["j"]).alias("threatening_birth_indices"),
@@ -106,16 +152,14 @@ def outcome(tracked: Column, exposed: Column, assignment: Column, ious: Column,
 
 
 def evaluated(pairs: DataFrame, contract: OutputContract | None = None, clean: str = "clean_candidates", perturbed: str = "perturbed_candidates") -> DataFrame:
-    """``pairs`` with ``tracked``, ``exposed``, ``clean_eligible``, ``outcome`` and ``reason``; lists are in columnar form."""
+    """``pairs`` with ``tracked``, ``exposed``, ``clean_eligible``, ``outcome`` and ``ineligible_reason``; lists are in columnar form.
+    An ineligible pair exposes nothing and has no outcome."""
     c = contract or OutputContract()
     a = pairs.withColumn("tracked", spatially_distinct(F.col(clean), c.tracked_candidate_count, c.duplicate_iou_threshold))
-    a = a.withColumn("exposed", spatially_distinct(F.coalesce(F.col(perturbed), F.array()), c.exposed_candidate_count, c.duplicate_iou_threshold))
-    a = associated(a)
-    eligible = F.size("tracked") >= 2
+    a = a.withColumn("clean_eligible", (F.size("tracked") >= 2).cast("int"))
+    none = F.array().cast(f"array<{CANDIDATE}>")
+    a = a.withColumn("exposed", F.when(F.col("clean_eligible") == 1, spatially_distinct(F.coalesce(F.col(perturbed), F.array()), c.exposed_candidate_count, c.duplicate_iou_threshold)).otherwise(none))
+    a = associated(a, least_match=c.match_iou_threshold)
     found = outcome(F.col("tracked"), F.col("exposed"), F.col("assignment"), F.col("assignment_iou"), F.lit(c.match_iou_threshold), F.lit(c.birth_duplicate_iou_threshold))
-    return (
-        a.withColumn("clean_eligible", eligible.cast("int"))
-        .withColumn("outcome", F.when(eligible, found))
-        .withColumn("reason", F.when(~eligible, F.lit("fewer_than_two_distinct_clean_candidates")))
-        .drop("assignment", "assignment_iou")
-    )
+    eligible = F.col("clean_eligible") == 1
+    return a.withColumn("outcome", F.when(eligible, found)).withColumn("ineligible_reason", F.when(~eligible, F.lit(INELIGIBLE))).drop("assignment", "assignment_iou")

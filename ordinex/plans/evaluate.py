@@ -14,10 +14,11 @@ from ..sources.files import read_contract, read_pairs, write_json
 
 
 def evaluate(pairs: DataFrame, contract: OutputContract | None = None) -> DataFrame:
-    """Pairs in wire form to ``id, clean_eligible, tracked_candidates, exposed_candidates, outcome, reason``. A narrow plan."""
-    a = pairs.withColumns({c: validated(from_wire(F.coalesce(F.col(c), F.array()))) for c in ("clean_candidates", "perturbed_candidates")})
+    """Pairs in wire form to ``id, clean_eligible, tracked_clean_candidates, exposed_perturbed_candidates, outcome,
+    ineligible_reason``. A narrow plan; a bad candidate is an error."""
+    a = pairs.withColumns({c: validated(from_wire(F.col(c))) for c in ("clean_candidates", "perturbed_candidates")})
     e = evaluated(a, contract)
-    return e.select("id", "clean_eligible", to_wire(F.col("tracked")).alias("tracked_candidates"), to_wire(F.col("exposed")).alias("exposed_candidates"), "outcome", "reason")
+    return e.select("id", "clean_eligible", to_wire(F.col("tracked")).alias("tracked_clean_candidates"), to_wire(F.col("exposed")).alias("exposed_perturbed_candidates"), "outcome", "ineligible_reason")
 
 
 def main(argv: list[str] | None = None) -> int:

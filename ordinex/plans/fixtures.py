@@ -50,26 +50,87 @@ def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).groupBy("ref_id").agg(F.collect_list(s).alias("clean_candidates"))
 
 
-def probe_pairs(spark: SparkSession, sf_dir: str, probes: int = 2) -> DataFrame:
-    """``ref_id, r, clean_candidates, perturbed_candidates``: each order with jittered copies of its list."""
-    b = boxes(spark, sf_dir).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(probes - 1))))
-    k = F.col("ord") + F.col("ref_id")
-    dx, dy = (k * 31 + F.col("r") * 17) % 5 - 2, (k * 13 + F.col("r") * 11) % 5 - 2
+def probe_pairs(spark: SparkSession, sf_dir: str, probes: int = 2, models: int = 1) -> DataFrame:
+    """``model, ref_id, r, clean_candidates, perturbed_candidates``: each order with jittered copies of its list, other ones for each model."""
+    b = boxes(spark, sf_dir).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(probes - 1)))).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
+    k, rr = F.col("ord") + F.col("ref_id"), F.col("r") + 100 * F.col("model")
+    dx, dy = (k * 31 + rr * 17) % 5 - 2, (k * 13 + rr * 11) % 5 - 2
     moved = F.struct(
         (F.col("x1") + dx).alias("x1"),
         (F.col("y1") + dy).alias("y1"),
         (F.col("x2") + dx).alias("x2"),
         (F.col("y2") + dy).alias("y2"),
-        (F.col("score") + ((k * 13 + F.col("r") * 29) % 11 - 5) / 50.0).alias("score"),
+        (F.col("score") + ((k * 13 + rr * 29) % 11 - 5) / 50.0).alias("score"),
         F.lit("").alias("label"),
         "ord",
     )
-    lists = b.groupBy("ref_id", "r").agg(
+    lists = b.groupBy("model", "ref_id", "r").agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2", "score", F.lit("").alias("label"), "ord")).alias("clean_candidates"),
-        F.collect_list(F.when((k + F.col("r") * 7) % 19 != 0, moved)).alias("jittered"),
+        F.collect_list(F.when((k + rr * 7) % 19 != 0, moved)).alias("jittered"),
     )
     birth = F.struct(*[F.lit(v).alias(n) for v, n in ((200.0, "x1"), (200.0, "y1"), (215.0, "x2"), (215.0, "y2"), (2.0, "score"), ("", "label"), (1000, "ord"))])
-    return lists.select("ref_id", "r", "clean_candidates", F.when((F.col("ref_id") + F.col("r")) % 23 == 0, F.concat("jittered", F.array(birth))).otherwise(F.col("jittered")).alias("perturbed_candidates"))
+    return lists.select("model", "ref_id", "r", "clean_candidates", F.when((F.col("ref_id") + rr) % 23 == 0, F.concat("jittered", F.array(birth))).otherwise(F.col("jittered")).alias("perturbed_candidates"))
+
+
+def replay_sql(probes: int, models: int, tracked: int, exposed: int, duplicate: float = 0.7) -> str:
+    """The CTEs of suppression in SQL: ``tr`` (ref_id, i, box, score) of the clean lists, ``ex`` (model, ref_id, r, j, box, score) of the
+    perturbed ones, ``pb`` (model, ref_id, r, nt, ne) of all probes, and ``v`` (.., i, j, iou). For ``WITH RECURSIVE``."""
+    i = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+    s = "(a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)"
+
+    def kept(source: str, key: str, most: int, name: str) -> str:
+        on = " AND ".join(f"a.{k} = b.{k}" for k in key.split(", "))
+        a_key = ", ".join(f"a.{k}" for k in key.split(", "))
+        return f"""{name}o AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY score DESC, ord) - 1 AS pos FROM {source}),
+{name}h AS (SELECT {a_key}, b.pos, list(a.pos) AS against FROM {name}o a JOIN {name}o b ON {on} AND a.pos < b.pos WHERE {i} / ({s} - {i}) >= {duplicate} GROUP BY ALL),
+{name}s AS (SELECT a.*, coalesce(b.against, []) AS against FROM {name}o a LEFT JOIN {name}h b ON {on} AND a.pos = b.pos),
+{name}k AS (SELECT {key}, 0::BIGINT AS pos, [0::BIGINT] AS held FROM {name}s WHERE pos = 0
+  UNION ALL SELECT {a_key}, b.pos, CASE WHEN len(held) < {most} AND NOT list_has_any(held, b.against) THEN list_append(held, b.pos) ELSE held END FROM {name}k a JOIN {name}s b ON {on} AND b.pos = a.pos + 1),
+{name}f AS (SELECT {key}, unnest(held) AS pos, generate_subscripts(held, 1) - 1 AS place FROM (SELECT {key}, arg_max(held, pos) AS held FROM {name}k GROUP BY ALL)),
+{name} AS (SELECT {a_key}, b.place, x1, y1, x2, y2, score FROM {name}o a JOIN {name}f b ON {on} AND a.pos = b.pos)"""
+
+    jitter = "SELECT model, ref_id, r, ord, x1 + dx AS x1, y1 + dy AS y1, x2 + dx AS x2, y2 + dy AS y2, score + ((k * 13 + rr * 29) % 11 - 5) / 50.0::DOUBLE AS score FROM jt WHERE (k + rr * 7) % 19 <> 0"
+    birth = "SELECT DISTINCT model, ref_id, r, 1000, 200.0, 200.0, 215.0, 215.0, 2.0 FROM jt WHERE (ref_id + rr) % 23 = 0"
+    return f"""{BOXES_SQL}, j0 AS (SELECT *, ord + ref_id AS k, r + 100 * model AS rr FROM bx, range({probes}) p(r), range({models}) m(model)),
+jt AS (SELECT *, (k * 31 + rr * 17) % 5 - 2 AS dx, (k * 13 + rr * 11) % 5 - 2 AS dy FROM j0), pt AS ({jitter} UNION ALL {birth}),
+{kept("bx", "ref_id", tracked, "tr")}, {kept("pt", "model, ref_id, r", exposed, "ex")},
+pb AS (SELECT p.*, nt, coalesce(ne, 0) AS ne FROM (SELECT DISTINCT model, ref_id, r FROM jt) p JOIN (SELECT ref_id, count(*) AS nt FROM tr GROUP BY ALL) t ON p.ref_id = t.ref_id
+  LEFT JOIN (SELECT model, ref_id, r, count(*) AS ne FROM ex GROUP BY ALL) e ON p.model = e.model AND p.ref_id = e.ref_id AND p.r = e.r),
+v AS (SELECT b.model, b.ref_id, b.r, a.place AS i, b.place AS j, {i} / ({s} - {i}) AS iou FROM tr a JOIN ex b ON a.ref_id = b.ref_id)"""
+
+
+def outcomes_sql(lengths: str, match: list[float], birth: list[float]) -> str:
+    """The CTEs behind :func:`replay_sql`: ``lt`` (model, ref_id, r, t, e): lengths of lists to associate, as ``lengths`` selects them from ``pb``;
+    ``oc``: each one's outcome at each match and birth threshold. Association: sets of columns are states, a step for each row."""
+    steps = ["s0 AS (SELECT model, ref_id, r, t, e, 0 AS mask, 0::HUGEINT AS total, []::BIGINT[] AS map FROM lt)"]
+    for i in range(5):
+        steps.append(f"""s{i + 1} AS (SELECT model, ref_id, r, t, e, mask, -(best.total) AS total, best.map AS map FROM (
+  SELECT model, ref_id, r, t, e, mask, min({{'total': -total, 'map': map}}) AS best FROM (
+    SELECT s.model, s.ref_id, s.r, t, e, mask | (1 << v.j) AS mask, total + round(iou * 1e9)::HUGEINT AS total, list_append(map, v.j) AS map FROM s{i} s
+      JOIN v ON s.model = v.model AND s.ref_id = v.ref_id AND s.r = v.r AND v.i = {i} AND v.j < e AND mask & (1 << v.j) = 0 WHERE t > {i}
+    UNION ALL SELECT model, ref_id, r, t, e, mask, total, CASE WHEN t > {i} THEN list_append(map, 1000) ELSE map END FROM s{i}) GROUP BY ALL))""")
+    m, b = (", ".join(f"({x}::DOUBLE)" for x in xs) for xs in (match, birth))
+    p = "model, ref_id, r, t, e"
+    on = lambda x, y, c=("model", "ref_id", "r", "t", "e"): " AND ".join(f"{x}.{k} = {y}.{k}" for k in c)
+    probe = ("model", "ref_id", "r")
+    i = "greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))"
+    s = "(a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)"
+    return f"""lt AS ({lengths}), {", ".join(steps)},
+an AS (SELECT {p}, min({{'total': -total, 'map': map}}).map AS map FROM s5 WHERE bit_count(mask) = least(t, e) GROUP BY ALL),
+pl AS (SELECT {p}, unnest(map) AS j, generate_subscripts(map, 1) - 1 AS i FROM an),
+mp AS (SELECT pl.model, pl.ref_id, pl.r, t, e, pl.i, v.j, iou, ex.score FROM pl LEFT JOIN v ON {on("pl", "v", probe)} AND pl.i = v.i AND pl.j = v.j LEFT JOIN ex ON {on("pl", "ex", probe)} AND pl.j = ex.place),
+mm AS (SELECT {p}, match, i, CASE WHEN iou >= match THEN j END AS j, CASE WHEN iou >= match THEN score END AS score FROM mp, (VALUES {m}) m(match)),
+ws AS (SELECT {p}, match, count(*) FILTER (WHERE j IS NULL) AS missing, max(score) FILTER (WHERE i = 0) AS winner, max(j) FILTER (WHERE i = 0) AS wj,
+  min(CASE WHEN i > 0 THEN score END) AS least_other, list(j) FILTER (WHERE j IS NOT NULL) AS used, list(score ORDER BY i) AS scores FROM mm GROUP BY ALL),
+ee AS (SELECT a.model, a.ref_id, a.r, a.place AS j, b.place AS q, {i} / ({s} - {i}) AS iou FROM ex a JOIN ex b ON a.model = b.model AND a.ref_id = b.ref_id AND a.r = b.r AND a.place <> b.place),
+cd AS (SELECT w.model, w.ref_id, w.r, w.t, w.e, match, ex.place AS q, max(ee.iou) AS near FROM ws w JOIN ex ON {on("w", "ex", probe)} AND ex.place < w.e AND ex.score >= w.winner AND NOT list_contains(used, ex.place)
+  JOIN ee ON {on("ee", "ex", probe)} AND ee.q = ex.place AND list_contains(used, ee.j) WHERE wj IS NOT NULL GROUP BY ALL),
+bt AS (SELECT {p}, match, birth, count(*) AS births FROM cd, (VALUES {b}) b(birth) WHERE near < birth GROUP BY ALL),
+oc AS (SELECT *, CASE WHEN missing = 0 AND births = 0 AND culprit IS NULL THEN 'stable' WHEN wj IS NULL THEN 'winner_missing' WHEN missing > 0 THEN 'competitor_missing'
+    WHEN births > 0 THEN 'threatening_birth' ELSE 'ranking_reversal' END AS failure, (missing = 0 AND births = 0)::INT AS coverage FROM (
+  SELECT w.model, w.ref_id, w.r, w.t, w.e, w.match, b.birth, w.missing, w.wj, coalesce(x.births, 0) AS births,
+    CASE WHEN w.missing = 0 AND coalesce(x.births, 0) = 0 AND winner - list_max(scores[2:]) <= 0 THEN list_position(list_transform(scores[2:], lambda z: winner - z), winner - list_max(scores[2:])) END AS culprit
+  FROM ws w CROSS JOIN (VALUES {b}) b(birth) LEFT JOIN bt x ON {on("w", "x")} AND w.match = x.match AND b.birth = x.birth))"""
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,39 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
 from ..operators import estimands as E
-from ..operators import grid, joins, outcome
+from ..operators import joins
 from ..operators import statistics as S
-from .fixtures import BOXES_SQL, FACTS_SQL, boxes, candidate_lists, facts, probe_pairs
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-BUDGETS = [1, 2, 3]
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    """Doubles to nine digits: the order of sums differs between engines."""
-    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
-
-
-def _add(name: str, query: Query, body: str | None = None, ctes: str = FACTS_SQL, doubles: str = "", ints: str = "") -> None:
-    QUERIES[name] = lambda spark, d: _rounded(query(spark, d))
-    if body:
-        out = ", ".join([*(f"round({c}, 9) AS {c}" for c in doubles.split()), *(f"({c})::BIGINT AS {c}" for c in ints.split())])
-        others = f"* EXCLUDE ({', '.join([*doubles.split(), *ints.split()])})" if out else "*"
-        ORACLES[name] = f"WITH {ctes}, out_ AS ({body}) SELECT {', '.join(x for x in (others, out) if x)} FROM out_"
+from .fixtures import BOXES_SQL, FACTS_SQL, boxes, candidate_lists, facts
+from .registry import ORACLES, QUERIES, add, on_facts
 
+__all__ = ["ORACLES", "QUERIES"]
 
-def _on_facts(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, d: f(facts(spark, d))
-
+BUDGETS = [1, 2, 3]
 
 CNT = "count(*) AS trials, sum(eligible) AS eligible_trials, sum(eligible * coverage) AS covered, sum(eligible * stable) AS stable"
 
@@ -51,46 +31,46 @@ def _pooled_sql(source: str, by: str) -> str:
 
 P_D = "eligibility coverage complete_case eligible_operational full_operational optimism optimism_coverage optimism_eligibility"
 P_I = "trials eligible_trials covered stable"
-_add("pooled_estimands", _on_facts(lambda f: E.pooled(f, ["model"])), _pooled_sql("f", "model"), doubles=P_D, ints=P_I + " model")
-_add("optimism_by_family", _on_facts(lambda f: E.pooled(f, ["model", "family"])), _pooled_sql("f", "model, family"), doubles=P_D, ints=P_I + " model")
-_add("correctness_strata", _on_facts(lambda f: E.strata(f, ["model"])), _pooled_sql("f", "model, correct"), doubles=P_D, ints=P_I + " model correct")
-_add(
+add("pooled_estimands", on_facts(lambda f: E.pooled(f, ["model"])), _pooled_sql("f", "model"), doubles=P_D, ints=P_I + " model")
+add("optimism_by_family", on_facts(lambda f: E.pooled(f, ["model", "family"])), _pooled_sql("f", "model, family"), doubles=P_D, ints=P_I + " model")
+add("correctness_strata", on_facts(lambda f: E.strata(f, ["model"])), _pooled_sql("f", "model, correct"), doubles=P_D, ints=P_I + " model correct")
+add(
     "common_support_composition",
-    _on_facts(lambda f: E.common_support(f, 3)),
+    on_facts(lambda f: E.common_support(f, 3)),
     _pooled_sql("(SELECT * FROM f WHERE ref_id IN (SELECT ref_id FROM (SELECT model, ref_id, max(eligible) e FROM f GROUP BY ALL) WHERE e = 1 GROUP BY ref_id HAVING count(*) = 3))", "model"),
     doubles=P_D,
     ints=P_I + " model",
 )
-_add(
+add(
     "risk_decomposition",
-    _on_facts(lambda f: E.risk_decomposition(f, ["model"])),
+    on_facts(lambda f: E.risk_decomposition(f, ["model"])),
     """SELECT model, 1 - avg(stable) AS risk, 1 - avg(coverage) AS coverage_risk, avg(coverage) * (1 - sum(stable) / sum(coverage)::DOUBLE) AS ranking_risk,
        abs(1 - avg(stable) - (1 - avg(coverage)) - avg(coverage) * (1 - sum(stable) / sum(coverage)::DOUBLE)) AS residual FROM f WHERE eligible = 1 GROUP BY model""",
     doubles="risk coverage_risk ranking_risk residual",
     ints="model",
 )
-_add(
+add(
     "family_risk_share",
-    _on_facts(lambda f: E.family_risk(f, ["model"])),
+    on_facts(lambda f: E.family_risk(f, ["model"])),
     """SELECT model, family, weight, risk, weight * risk AS contribution, weight * risk / sum(weight * risk) OVER (PARTITION BY model) AS share
        FROM (SELECT model, family, count(*) / sum(count(*)) OVER (PARTITION BY model)::DOUBLE AS weight, 1 - avg(stable) AS risk FROM f WHERE eligible = 1 GROUP BY model, family)""",
     doubles="weight risk contribution share",
     ints="model",
 )
 _causes = ", ".join(f"('{x}')" for x in scalars.FAILURES)
-_add(
+add(
     "failure_causes_zero_filled",
-    _on_facts(lambda f: E.failure_causes(f, ["model"])),
+    on_facts(lambda f: E.failure_causes(f, ["model"])),
     f"""SELECT model, failure, n, n / nullif(sum(n) OVER (PARTITION BY model), 0)::DOUBLE AS share FROM (
         SELECT g.model, g.failure, count(f.model) AS n FROM (SELECT DISTINCT model, failure FROM (SELECT model FROM f) CROSS JOIN (VALUES {_causes}) v(failure)) g
         LEFT JOIN (SELECT * FROM f WHERE eligible = 1) f ON f.model = g.model AND f.failure = g.failure GROUP BY g.model, g.failure)""",
     doubles="share",
     ints="model n",
 )
-_add("ranking_culprits", _on_facts(lambda f: E.culprits(f, ["model"])), "SELECT model, culprit + 1 AS culprit_rank, count(*) AS n FROM f WHERE eligible = 1 AND failure = 'ranking_reversal' GROUP BY ALL", ints="model culprit_rank n")
-_add(
+add("ranking_culprits", on_facts(lambda f: E.culprits(f, ["model"])), "SELECT model, culprit + 1 AS culprit_rank, count(*) AS n FROM f WHERE eligible = 1 AND failure = 'ranking_reversal' GROUP BY ALL", ints="model culprit_rank n")
+add(
     "association_quality",
-    _on_facts(lambda f: f.filter("coverage = 1").groupBy("model").agg(F.avg("quality").alias("mean_iou"), F.percentile("quality", F.lit(0.5)).alias("median_iou"), F.min("quality").alias("min_iou"))),
+    on_facts(lambda f: f.filter("coverage = 1").groupBy("model").agg(F.avg("quality").alias("mean_iou"), F.percentile("quality", F.lit(0.5)).alias("median_iou"), F.min("quality").alias("min_iou"))),
     "SELECT model, avg(quality) AS mean_iou, quantile_cont(quality, 0.5) AS median_iou, min(quality) AS min_iou FROM f WHERE coverage = 1 GROUP BY model",
     doubles="mean_iou median_iou min_iou",
     ints="model",
@@ -102,11 +82,11 @@ pr AS (SELECT sm.*, coalesce(diagnostic, 0) AS diagnostic, coalesce(reference, 0
        WHERE eligible = 0 OR (diagnostic IS NOT NULL AND reference IS NOT NULL))"""
 FP = f"{FACTS_SQL}, {PAIRS}"
 METRICS = "count(*) AS n, avg(p - t) AS bias, avg(abs(p - t)) AS mae, sqrt(avg((p - t) * (p - t))) AS rmse, avg(p * p - 2 * p * t + t) AS brier"
-_add("predictive_metrics", _on_facts(lambda f: E.prediction_metrics(E.paired_profiles(f), ["model"])), f"SELECT model, {METRICS} FROM (SELECT model, diagnostic AS p, reference AS t FROM pr) GROUP BY model", FP, "bias mae rmse brier", "model n")
+add("predictive_metrics", on_facts(lambda f: E.prediction_metrics(E.paired_profiles(f), ["model"])), f"SELECT model, {METRICS} FROM (SELECT model, diagnostic AS p, reference AS t FROM pr) GROUP BY model", FP, "bias mae rmse brier", "model n")
 _vals = ", ".join(f"({b})" for b in BUDGETS)
-_add(
+add(
     "budget_metrics",
-    _on_facts(lambda f: E.budget_metrics(f, BUDGETS)),
+    on_facts(lambda f: E.budget_metrics(f, BUDGETS)),
     f"""SELECT model, budget, {METRICS} FROM (SELECT x.model, budget, p, reference AS t FROM
         (SELECT model, ref_id, budget, avg(stable) AS p FROM f, (VALUES {_vals}) b(budget) WHERE eligible = 1 AND split = 'diagnostic' AND ord < budget GROUP BY ALL) x
         JOIN rr ON rr.model = x.model AND rr.ref_id = x.ref_id) GROUP BY model, budget""",
@@ -114,28 +94,28 @@ _add(
     "bias mae rmse brier",
     "model budget n",
 )
-_add(
+add(
     "family_profile_by_budget",
-    _on_facts(lambda f: E.family_by_budget(f, BUDGETS)),
+    on_facts(lambda f: E.family_by_budget(f, BUDGETS)),
     f"SELECT model, budget, family, count(*) AS n, 1 - avg(stable) AS risk FROM f, (VALUES {_vals}) b(budget) WHERE eligible = 1 AND split = 'diagnostic' AND ord < budget GROUP BY ALL",
     doubles="risk",
     ints="model budget n",
 )
 CURVE = """cv AS (SELECT model, diagnostic AS threshold, sum(k) OVER w / sum(k) OVER (PARTITION BY model)::DOUBLE AS retained, sum(r) OVER w / sum(k) OVER w AS risk
 FROM (SELECT model, diagnostic, count(*)::DOUBLE AS k, sum(1 - reference) AS r FROM pr GROUP BY ALL) WINDOW w AS (PARTITION BY model ORDER BY diagnostic DESC ROWS UNBOUNDED PRECEDING))"""
-_add("selective_risk_curve", _on_facts(lambda f: S.risk_curve(E.paired_profiles(f), ["model"])), "SELECT * FROM cv", f"{FP}, {CURVE}", "threshold retained risk", "model")
-_add(
+add("selective_risk_curve", on_facts(lambda f: S.risk_curve(E.paired_profiles(f), ["model"])), "SELECT * FROM cv", f"{FP}, {CURVE}", "threshold retained risk", "model")
+add(
     "selective_risk_aurc",
-    _on_facts(lambda f: S.aurc(E.paired_profiles(f), ["model"])),
+    on_facts(lambda f: S.aurc(E.paired_profiles(f), ["model"])),
     """SELECT model, sum((retained - coalesce(rp, 0)) * (risk + coalesce(kp, risk)) / 2) AS aurc FROM (
        SELECT *, lag(retained) OVER w AS rp, lag(risk) OVER w AS kp FROM cv WINDOW w AS (PARTITION BY model ORDER BY threshold DESC)) GROUP BY model""",
     f"{FP}, {CURVE}",
     "aurc",
     "model",
 )
-_add(
+add(
     "spearman_rank_correlation",
-    _on_facts(lambda f: S.spearman(E.paired_profiles(f), ["model"], "diagnostic", "reference")),
+    on_facts(lambda f: S.spearman(E.paired_profiles(f), ["model"], "diagnostic", "reference")),
     """SELECT model, count(*) AS n, CASE WHEN count(*) >= 3 THEN corr(a, b) END AS spearman FROM (
        SELECT model, rank() OVER (PARTITION BY model ORDER BY diagnostic) + (count(*) OVER (PARTITION BY model, diagnostic) - 1) / 2.0 AS a,
               rank() OVER (PARTITION BY model ORDER BY reference) + (count(*) OVER (PARTITION BY model, reference) - 1) / 2.0 AS b FROM pr) GROUP BY model""",
@@ -143,9 +123,9 @@ _add(
     "spearman",
     "model n",
 )
-_add(
+add(
     "calibration_bins",
-    _on_facts(lambda f: E.calibration(E.paired_profiles(f), ["model"])),
+    on_facts(lambda f: E.calibration(E.paired_profiles(f), ["model"])),
     "SELECT model, least(trunc(diagnostic * 10), 9) AS bin, count(*) AS n, avg(diagnostic) AS predicted, avg(reference) AS observed FROM pr GROUP BY ALL",
     FP,
     "predicted observed",
@@ -160,38 +140,38 @@ STRENGTH = "least(1.0::DOUBLE, greatest(0.0::DOUBLE, CASE family " + " ".join(
         _st("brightness", "abs(severity - 1.0::DOUBLE) / (1.3::DOUBLE - 1.0::DOUBLE)"),
     ]
 ) + " END))"
-_add(
+add(
     "severity_curve_points",
-    _on_facts(lambda f: E.severity_curve(f, ["model"])),
+    on_facts(lambda f: E.severity_curve(f, ["model"])),
     f"SELECT model, family, least(4, floor({STRENGTH} * 5)) AS bin, {CNT}, sum(eligible * stable) / count(*)::DOUBLE AS full_operational FROM f GROUP BY ALL",
     doubles="full_operational",
     ints=P_I + " model bin",
 )
-_add(
+add(
     "full_manifest_failure_risk",
-    _on_facts(lambda f: E.full_failure_risk(f, ["model"])),
+    on_facts(lambda f: E.full_failure_risk(f, ["model"])),
     "SELECT model, CASE WHEN eligible = 0 THEN 'ineligible' ELSE failure END AS outcome, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY model)::DOUBLE AS share FROM f GROUP BY 1, 2",
     doubles="share",
     ints="model n",
 )
-_add(
+add(
     "mixture_gap_summary",
-    _on_facts(E.mixture_gaps),
+    on_facts(E.mixture_gaps),
     """SELECT a.model AS model_a, b.model AS model_b, avg(a.t - b.t) AS equal_weight_gap, min(a.t - b.t) AS min_gap, max(a.t - b.t) AS max_gap
        FROM (SELECT model, family, sum(eligible * stable) / count(*)::DOUBLE AS t FROM f GROUP BY ALL) a
        JOIN (SELECT model, family, sum(eligible * stable) / count(*)::DOUBLE AS t FROM f GROUP BY ALL) b ON a.family = b.family AND a.model < b.model GROUP BY ALL""",
     doubles="equal_weight_gap min_gap max_gap",
     ints="model_a model_b",
 )
-_add(
+add(
     "failure_transitions",
-    _on_facts(E.transitions),
+    on_facts(E.transitions),
     "SELECT a.failure AS old, b.failure AS new, count(*) AS n FROM f a JOIN f b ON a.model = b.model AND a.ref_id = b.ref_id AND a.ord = b.ord AND a.split = 'diagnostic' AND b.split = 'reference' GROUP BY ALL",
     ints="n",
 )
-_add(
+add(
     "family_transfer_cosine",
-    _on_facts(E.family_transfer),
+    on_facts(E.family_transfer),
     """SELECT s.model, sum(s.r * t.r) / sqrt(sum(s.r * s.r) * sum(t.r * t.r)) AS cosine, avg(abs(s.r - t.r)) AS mean_abs_shift
        FROM (SELECT model, family, 1 - avg(stable) AS r FROM f WHERE eligible = 1 AND split = 'diagnostic' GROUP BY ALL) s
        JOIN (SELECT model, family, 1 - avg(stable) AS r FROM f WHERE eligible = 1 AND split = 'reference' GROUP BY ALL) t ON s.model = t.model AND s.family = t.family GROUP BY s.model""",
@@ -199,9 +179,9 @@ _add(
     ints="model",
 )
 STATS = "st AS (SELECT model, ref_id, count(*) AS n, sum(coverage) AS c, sum(stable) AS s FROM f WHERE eligible = 1 AND split = 'reference' GROUP BY ALL)"
-_add(
+add(
     "transfer_estimands",
-    _on_facts(E.transfer),
+    on_facts(E.transfer),
     """SELECT sm.model, count(*) AS samples, avg(eligible) AS eligibility, avg(c / n::DOUBLE) AS coverage, avg(s / n::DOUBLE) AS eligible_operational, avg(coalesce(s / n::DOUBLE, 0)) AS full_operational
        FROM sm LEFT JOIN st USING (model, ref_id) GROUP BY sm.model""",
     f"{FP}, {STATS}",
@@ -216,9 +196,9 @@ def _components(f: DataFrame) -> DataFrame:
     return S.variance_components(E.sample_stats(f).filter("split = 'reference'"), ["model"])
 
 
-_add(
+add(
     "variance_components",
-    _on_facts(_components),
+    on_facts(_components),
     """SELECT model, units, theta, within, between_raw, between_ AS "between", between_ / (between_ + within) AS icc, 1 + (mr - 1) * between_ / (between_ + within) AS design_effect,
        units * mr / (1 + (mr - 1) * between_ / (between_ + within)) AS effective_trials, within / mr / (between_ + within / mr) AS probe_share,
        CASE WHEN between_ > 0 THEN within / between_ ELSE 'infinity'::DOUBLE END AS crossover, sqrt(ln(4 / 0.05) / 2 / units) + sqrt(ln(4 / 0.05) / 2 / (units * mr)) AS hoeffding_radius FROM c0""",
@@ -226,29 +206,29 @@ _add(
     'theta within between_raw "between" icc design_effect effective_trials probe_share crossover hoeffding_radius',
     "model units",
 )
-_add(
+add(
     "variance_budget_lag",
-    _on_facts(lambda f: S.variance_budgets(_components(f), ["model"], [5, 10, 20, 40, 80])),
+    on_facts(lambda f: S.variance_budgets(_components(f), ["model"], [5, 10, 20, 40, 80])),
     "SELECT model, probes, variance, 1 - variance / lag(variance) OVER (PARTITION BY model ORDER BY probes) AS reduction FROM (SELECT model, probes, between_ / units + within / (units * probes) AS variance FROM c0, (VALUES (5), (10), (20), (40), (80)) b(probes))",
     f"{FACTS_SQL}, {COMP}",
     "variance reduction",
     "model probes",
 )
-_add(
+add(
     "sample_size_planning",
-    _on_facts(lambda f: S.planning(_components(f), ["model"], [0.01, 0.02, 0.05], [5, 10, 80])),
+    on_facts(lambda f: S.planning(_components(f), ["model"], [0.01, 0.02, 0.05], [5, 10, 80])),
     "SELECT model, half_width::DOUBLE AS half_width, probes, greatest(1, ceil(1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE * (between_ + within / probes) / (half_width::DOUBLE * half_width::DOUBLE))) AS units_needed FROM c0, (VALUES (0.01), (0.02), (0.05)) h(half_width), (VALUES (5), (10), (80)) b(probes)",
     f"{FACTS_SQL}, {COMP}",
     "half_width",
     "model probes units_needed",
 )
-_add("probe_allocation", _on_facts(lambda f: S.allocation(_components(f), ["model"], [1, 2, 5, 10, 50, 100])))
-_add(
+add("probe_allocation", on_facts(lambda f: S.allocation(_components(f), ["model"], [1, 2, 5, 10, 50, 100])))
+add(
     "interval_width_quantiles",
-    _on_facts(lambda f: S.with_intervals(E.sample_stats(f).filter("split = 'reference'"), "n_stable", "n").withColumn("w", F.col("upper") - F.col("lower")).groupBy("model").agg(F.avg("w").alias("mean"), F.percentile("w", F.lit(0.5)).alias("median"), F.percentile("w", F.lit(0.9)).alias("p90"), F.max("w").alias("max"))),
+    on_facts(lambda f: S.with_intervals(E.sample_stats(f).filter("split = 'reference'"), "n_stable", "n").withColumn("w", F.col("upper") - F.col("lower")).groupBy("model").agg(F.avg("w").alias("mean"), F.percentile("w", F.lit(0.5)).alias("median"), F.percentile("w", F.lit(0.9)).alias("p90"), F.max("w").alias("max"))),
 )
-_add("bootstrap_full_operational", _on_facts(lambda f: S.bootstrap_means(E.paired_profiles(f), ["model"], "reference", seed=7)))
-_add(
+add("bootstrap_full_operational", on_facts(lambda f: S.bootstrap_means(E.paired_profiles(f), ["model"], "reference", seed=7)))
+add(
     "latest_trace_record",
     lambda s, d: joins.latest(
         facts(s, d).select("model", "ref_id", "split", "stable", "quality", (F.col("ord") * 1000 + F.col("l_linenumber")).alias("line_no")), ["model", "ref_id", "split"], "line_no"
@@ -256,9 +236,9 @@ _add(
     "SELECT model, ref_id, split, max(ord * 1000 + l_linenumber) AS line_no FROM (SELECT (l_suppkey % 3)::INT AS model, l_orderkey AS ref_id, CASE WHEN l_linenumber % 3 = 0 THEN 'diagnostic' ELSE 'reference' END AS split, l_linenumber, row_number() OVER (PARTITION BY l_suppkey % 3, l_orderkey, CASE WHEN l_linenumber % 3 = 0 THEN 'diagnostic' ELSE 'reference' END ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity::INT, l_extendedprice::DOUBLE) - 1 AS ord FROM lineitem) GROUP BY ALL",
     ints="model ref_id line_no",
 )
-_add(
+add(
     "shared_probe_violations",
-    _on_facts(lambda f: joins.shared_probe_violations(f, ["ref_id", "ord", "split"], ["family", "severity"])),
+    on_facts(lambda f: joins.shared_probe_violations(f, ["ref_id", "ord", "split"], ["family", "severity"])),
     "SELECT ref_id, ord, split FROM f GROUP BY ALL HAVING count(DISTINCT (family, severity)) > 1",
     ints="ref_id ord",
 )
@@ -268,14 +248,14 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/orders.parquet")
 
 
-_add(
+add(
     "key_set_violations",
     lambda s, d: joins.missing_keys(_orders(s, d).select(F.col("o_orderkey").alias("ref_id")), boxes(s, d), ["ref_id"]),
     "SELECT o_orderkey AS ref_id, 'left' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey, 'right' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)",
     BOXES_SQL,
     ints="ref_id",
 )
-_add(
+add(
     "resume_pending",
     lambda s, d: joins.pending(
         _orders(s, d).select(F.col("o_orderkey").alias("ref_id")), facts(s, d).filter("split = 'reference'").select("ref_id"), facts(s, d).filter("split = 'diagnostic'").select("ref_id"), ["ref_id"]
@@ -283,21 +263,21 @@ _add(
     "SELECT o_orderkey AS ref_id FROM orders WHERE o_orderkey NOT IN (SELECT ref_id FROM f WHERE split = 'reference' INTERSECT SELECT ref_id FROM f WHERE split = 'diagnostic')",
     ints="ref_id",
 )
-_add(
+add(
     "exclusion_antijoin",
     lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("image_id")).join(_orders(s, d).select(F.col("o_custkey").alias("image_id")), "image_id", "left_anti"),
     "SELECT c_custkey AS image_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     BOXES_SQL,
     ints="image_id",
 )
-_add(
+add(
     "dense_category_ids",
     lambda s, d: joins.dense_ids(s.read.parquet(f"{d}/part.parquet"), "p_brand"),
     "SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) AS dense_id FROM (SELECT DISTINCT p_brand FROM part)",
     BOXES_SQL,
     ints="dense_id",
 )
-_add(
+add(
     "manifest_strata",
     lambda s, d: _orders(s, d).select(scalars.length_bin(F.col("o_orderkey") % 40 + 3).alias("length_bin"), scalars.scale_stratum(((F.col("o_custkey") % 120) * (F.col("o_custkey") % 120)).cast("double")).alias("scale")).groupBy("length_bin", "scale").agg(F.count(F.lit(1)).alias("n")),
     """SELECT CASE WHEN o_orderkey % 40 + 3 <= 18 THEN 'short' WHEN o_orderkey % 40 + 3 <= 29 THEN 'medium' ELSE 'long' END AS length_bin,
@@ -315,7 +295,7 @@ def _iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.select("ref_id", "p.a", "p.b", "p.iou")
 
 
-_add("iou_pairs", _iou_pairs, "SELECT ref_id, a, b, CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END AS iou FROM pi", f"{BOXES_SQL}, {PAIR_SQL}", "iou", "ref_id a b")
+add("iou_pairs", _iou_pairs, "SELECT ref_id, a, b, CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END AS iou FROM pi", f"{BOXES_SQL}, {PAIR_SQL}", "iou", "ref_id a b")
 # Greedy suppression in SQL: candidates in order, each against the kept ones so far, a step for each place.
 NMS_SQL = f"""{BOXES_SQL}, {PAIR_SQL}, bad AS (SELECT ref_id, a, b FROM pi WHERE CASE WHEN s - i > 0 THEN i / (s - i) ELSE 0 END >= 0.7),
 hit AS (SELECT ref_id, b, list(a) AS against FROM bad GROUP BY ALL),
@@ -329,9 +309,9 @@ def _nms(spark: SparkSession, d: str) -> DataFrame:
     return candidate_lists(spark, d).select("ref_id", geometry.spatially_distinct(F.col("clean_candidates"), 5, 0.7).alias("t"))
 
 
-_add("nms_tracked", lambda s, d: _nms(s, d).select("ref_id", F.explode("t").alias("t")).select("ref_id", "t.ord"), "SELECT ref_id, unnest(held) AS ord FROM fin", f"RECURSIVE {NMS_SQL}", ints="ref_id ord")
-_add("clean_eligibility", lambda s, d: _nms(s, d).select("ref_id", F.size("t").alias("tracked"), (F.size("t") >= 2).cast("int").alias("eligible")), "SELECT ref_id, len(held) AS tracked, (len(held) >= 2)::INT AS eligible FROM fin", f"RECURSIVE {NMS_SQL}", ints="ref_id tracked eligible")
-_add("top_k_candidates", lambda s, d: candidate_lists(s, d).select("ref_id", F.explode(geometry.top_k(F.col("clean_candidates"), 3)).alias("c")).select("ref_id", "c.ord", "c.score"), "SELECT ref_id, ord, score FROM bx WHERE ord < 3", BOXES_SQL, "score", "ref_id ord")
+add("nms_tracked", lambda s, d: _nms(s, d).select("ref_id", F.explode("t").alias("t")).select("ref_id", "t.ord"), "SELECT ref_id, unnest(held) AS ord FROM fin", f"RECURSIVE {NMS_SQL}", ints="ref_id ord")
+add("clean_eligibility", lambda s, d: _nms(s, d).select("ref_id", F.size("t").alias("tracked"), (F.size("t") >= 2).cast("int").alias("eligible")), "SELECT ref_id, len(held) AS tracked, (len(held) >= 2)::INT AS eligible FROM fin", f"RECURSIVE {NMS_SQL}", ints="ref_id tracked eligible")
+add("top_k_candidates", lambda s, d: candidate_lists(s, d).select("ref_id", F.explode(geometry.top_k(F.col("clean_candidates"), 3)).alias("c")).select("ref_id", "c.ord", "c.score"), "SELECT ref_id, ord, score FROM bx WHERE ord < 3", BOXES_SQL, "score", "ref_id ord")
 
 
 def _top1(spark: SparkSession, d: str) -> DataFrame:
@@ -340,7 +320,7 @@ def _top1(spark: SparkSession, d: str) -> DataFrame:
     return candidate_lists(spark, d).select("ref_id", flag.alias("correct"), best.alias("best_iou"))
 
 
-_add(
+add(
     "top1_correct",
     _top1,
     """SELECT ref_id, CASE WHEN i / (s - i) >= 0.5 THEN 1 ELSE 0 END AS correct, i / (s - i) AS best_iou FROM (
@@ -351,101 +331,50 @@ _add(
 )
 
 
-def probe_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    e = outcome.evaluated(probe_pairs(spark, d))
-    return e.select("ref_id", "r", "clean_eligible", F.size("exposed").alias("exposed"), "outcome.coverage", "outcome.rank_stable", "outcome.operational_stable", "outcome.primary_failure", "outcome.culprit_clean_index")
-
-
-_add("probe_outcomes", probe_outcomes)
-
-
-def _grid(spark: SparkSession, d: str) -> DataFrame:
-    return grid.settings(grid.replay(probe_pairs(spark, d, 1), [2, 5], [10, 20], [0.1, 0.25], [0.5, 0.85]))
-
-
-_add("contract_grid", _grid)
-
-
-def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Settings without geometry: stability by model if quality below a threshold counts as missing."""
-    t = F.explode(F.array(*[F.struct(F.lit(k).alias("setting_index"), F.lit(q).alias("q")) for k, q in enumerate((0.5, 0.6, 0.7, 0.8, 0.9))])).alias("s")
-    return facts(spark, d).select("model", "eligible", "stable", "quality", t).groupBy("model", "s.setting_index").agg(F.avg((F.col("eligible") * F.col("stable") * (F.col("quality") >= F.col("s.q")).cast("int")).cast("double")).alias("theta"))
-
-
-GRID_SQL = f"{FACTS_SQL}, gv AS (SELECT model, setting_index, avg(eligible * stable * (quality >= q::DOUBLE)::INT) AS theta FROM f, (VALUES (0, 0.5), (1, 0.6), (2, 0.7), (3, 0.8), (4, 0.9)) s(setting_index, q) GROUP BY ALL)"
-_add(
-    "contract_grid_envelope",
-    lambda s, d: grid.envelope(_indexed(s, d), ["model"], default=2),
-    """SELECT model, min(theta) AS minimum, max(theta) AS maximum, max(theta) - min(theta) AS width, greatest(abs(max(theta) - max(theta) FILTER (WHERE setting_index = 2)), abs(min(theta) - max(theta) FILTER (WHERE setting_index = 2))) AS max_departure,
-       min(setting_index) FILTER (WHERE lo) AS minimum_index, min(setting_index) FILTER (WHERE hi) AS maximum_index
-       FROM (SELECT *, theta = min(theta) OVER (PARTITION BY model) AS lo, theta = max(theta) OVER (PARTITION BY model) AS hi FROM gv) GROUP BY model""",
-    GRID_SQL,
-    "minimum maximum width max_departure",
-    "model minimum_index maximum_index",
-)
-_add(
-    "model_pair_min_gap",
-    lambda s, d: grid.pair_gaps(_indexed(s, d)),
-    """SELECT *, min_gap > 0 OR max_gap < 0 AS invariant, strong_gap > 0 AS strong FROM (SELECT a.model AS model_a, b.model AS model_b, min(a.theta - b.theta) AS min_gap, max(a.theta - b.theta) AS max_gap, min(a.theta) - max(b.theta) AS strong_gap
-       FROM gv a JOIN gv b ON a.setting_index = b.setting_index AND a.model < b.model GROUP BY ALL)""",
-    GRID_SQL,
-    "min_gap max_gap strong_gap",
-    "model_a model_b",
-)
-_add(
-    "one_factor_range",
-    lambda s, d: grid.ranges(_indexed(s, d), ["model"], "setting_index", {}),
-    "SELECT model, 'setting_index' AS factor, count(*) AS levels, max(theta) - min(theta) AS range FROM gv GROUP BY model",
-    GRID_SQL,
-    "range",
-    "model levels",
-)
-
-
 def probe_registry(spark: SparkSession, d: str) -> DataFrame:
     keys = _orders(spark, d).select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("ref_id"))
     return S.probe_registry(keys, 2, 2026, scalars.PROBE_LAW)
 
 
-_add("probe_registry", probe_registry)
+add("probe_registry", probe_registry)
 
 
-_add(
+add(
     "cap_truncation",
-    _on_facts(lambda f: E.cap_truncation(f, "q", 45)),
+    on_facts(lambda f: E.cap_truncation(f, "q", 45)),
     """SELECT model, avg((l_quantity::INT >= 45)::INT) AS cap_fraction, avg(eligible * stable) AS theta, avg(eligible * stable * (l_quantity::INT < 45)::INT) AS pessimistic,
        avg(eligible * stable) - avg(eligible * stable * (l_quantity::INT < 45)::INT) AS correction FROM f GROUP BY model""",
     FACTS_SQL.replace("FROM f0)", ", l_quantity FROM f0)"),
     "cap_fraction theta pessimistic correction",
     "model",
 )
-_add(
+add(
     "exposure_deltas",
-    _on_facts(lambda f: E.exposure_deltas(f, "q", [20, 30, 40, 50])),
+    on_facts(lambda f: E.exposure_deltas(f, "q", [20, 30, 40, 50])),
     """SELECT model, exposure, avg(n - o) AS delta, sum((o = 0 AND n = 1)::INT) AS fail_to_stable, sum((o = 1 AND n = 0)::INT) AS stable_to_fail, avg((o = n)::INT) AS agreement
        FROM (SELECT model, exposure, stable * (l_quantity::INT <= 20)::INT AS o, stable * (l_quantity::INT <= exposure)::INT AS n FROM f, (VALUES (20), (30), (40), (50)) e(exposure) WHERE eligible = 1) GROUP BY ALL""",
     FACTS_SQL.replace("FROM f0)", ", l_quantity FROM f0)"),
     "delta agreement",
     "model exposure fail_to_stable stable_to_fail",
 )
-_add(
+add(
     "strata_estimands",
-    _on_facts(lambda f: E.pooled(f.withColumn("stratum", scalars.length_bin(F.col("ref_id") % 40 + 3)), ["model", "stratum"])),
+    on_facts(lambda f: E.pooled(f.withColumn("stratum", scalars.length_bin(F.col("ref_id") % 40 + 3)), ["model", "stratum"])),
     _pooled_sql("(SELECT *, CASE WHEN ref_id % 40 + 3 <= 18 THEN 'short' WHEN ref_id % 40 + 3 <= 29 THEN 'medium' ELSE 'long' END AS stratum FROM f)", "model, stratum"),
     doubles=P_D,
     ints=P_I + " model",
 )
-_add(
+add(
     "sample_profiles",
-    _on_facts(lambda f: E.profiles(f).select("model", "ref_id", "split", "probes", "coverage", "conditional", "operational", "coverage_risk", "ranking_risk", F.coalesce(F.element_at("failures", F.lit("winner_missing")), F.lit(0)).alias("winner_missing"), F.size(F.coalesce("culprits", F.create_map().cast("map<string,bigint>"))).alias("culprit_kinds"))),
+    on_facts(lambda f: E.profiles(f).select("model", "ref_id", "split", "probes", "coverage", "conditional", "operational", "coverage_risk", "ranking_risk", F.coalesce(F.element_at("failures", F.lit("winner_missing")), F.lit(0)).alias("winner_missing"), F.size(F.coalesce("culprits", F.create_map().cast("map<string,bigint>"))).alias("culprit_kinds"))),
     """SELECT model, ref_id, split, count(*) AS probes, avg(coverage) AS coverage, sum(stable) / nullif(sum(coverage), 0)::DOUBLE AS conditional, avg(stable) AS operational, 1 - avg(coverage) AS coverage_risk,
        avg(coverage) * (1 - coalesce(sum(stable) / nullif(sum(coverage), 0)::DOUBLE, 0)) AS ranking_risk, count(*) FILTER (WHERE failure = 'winner_missing') AS winner_missing, count(DISTINCT culprit) AS culprit_kinds
        FROM f WHERE eligible = 1 GROUP BY ALL""",
     doubles="coverage conditional operational coverage_risk ranking_risk",
     ints="model ref_id probes winner_missing culprit_kinds",
 )
-_add("bootstrap_ratio_coverage", _on_facts(lambda f: S.bootstrap_ratios(E.sample_stats(f).filter("split = 'reference'"), ["model"], "n_stable", "n_covered", ["ref_id"], seed=11)))
-_add("bootstrap_model_deltas", _on_facts(lambda f: S.bootstrap_deltas(E.paired_profiles(f), "model", "reference", ["ref_id"], seed=5)))
+add("bootstrap_ratio_coverage", on_facts(lambda f: S.bootstrap_ratios(E.sample_stats(f).filter("split = 'reference'"), ["model"], "n_stable", "n_covered", ["ref_id"], seed=11)))
+add("bootstrap_model_deltas", on_facts(lambda f: S.bootstrap_deltas(E.paired_profiles(f), "model", "reference", ["ref_id"], seed=5)))
 
 
 def _grid_values(spark: SparkSession, d: str) -> DataFrame:
@@ -454,5 +383,8 @@ def _grid_values(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("model", "ref_id", "s.setting_index").agg(F.avg((F.col("eligible") * F.col("stable") * (F.col("quality") >= F.col("s.q")).cast("int")).cast("double")).alias("v"))
 
 
-_add("bootstrap_minimum_gap", lambda s, d: S.bootstrap_minimum_gaps(_grid_values(s, d), "model", "setting_index", "v", ["ref_id"], seed=5))
-_add("split_half_metrics", _on_facts(lambda f: E.prediction_metrics(S.split_halves(f), ["model"], "half_a", "half_b")))
+add("bootstrap_minimum_gap", lambda s, d: S.bootstrap_minimum_gaps(_grid_values(s, d), "model", "setting_index", "v", ["ref_id"], seed=5))
+add("split_half_metrics", on_facts(lambda f: E.prediction_metrics(S.split_halves(f), ["model"], "half_a", "half_b")))
+
+# The other tables register themselves.
+from . import replays  # noqa: E402, F401
