@@ -519,9 +519,12 @@ def test_all_pairs_at_a_similarity_of_four_fifths_are_linked(spark, docs):
 
     rnd = random.Random(3)
     texts = [t for _, t in awkward()]
-    for n in (9, 30, 90, 400):
+    shared = [f"s{k}" for k in range(200)]  # in all large texts
+    for n in (9, 30, 90, 400, 1300, 3000):
         for edits in (1, 2, 3, n // 90 + 1, n // 60 + 1, n // 45 + 1, n // 30 + 1):
             base = [f"w{rnd.randrange(3000)}" for _ in range(n)]
+            if n > 1000:
+                base[n // 2 : n // 2 + 200] = shared
             other = list(base)
             for at in rnd.sample(range(n), edits):
                 other[at] = f"x{rnd.random()}"
