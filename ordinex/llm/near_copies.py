@@ -19,12 +19,10 @@ part of the input hold is told there: of it no more than ``HOT`` + 1 entries a p
 
 Equal sets are one node, so copies add nothing. From each list its least member is
 compared with all others first, if they meet often; of what is then linked, only pairs of
-different components are left to compare. Sizes and a bitmap of parities (its differing bits
-are no more than the differing shingles) tell most apart. Sets too large for the bitmap are
-told apart by count filtering: below a hash that both prefixes reach, all shared shingles are
-tallied by the lists, and what the sets hold there beyond them differs. All that is left,
-SimHash's candidates as well, is verified by sets, which go to one task for each pivot and
-salt. Lists too long for one task are compared in blocks.
+different components are left to compare. Sizes and a bitmap of parities, as long as its
+set is large (its differing bits are no more than the differing shingles), tell most apart.
+All that is left, SimHash's candidates as well, is verified by sets, which go to one task for
+each pivot and salt. Lists too long for one task are compared in blocks.
 
 Defined results: texts with fewer words than a shingle are one shingle; null texts
 and those without words are copies of one another; shingles are compared by XXH64.
@@ -47,16 +45,11 @@ from pyspark.sql import functions as F
 from .common import materialize, small
 from .simhash import components, digests, links, majority
 
-#: Bits of a bitmap of parities; members that a list may have; the rank of shingles that more hold.
-PARITIES, HOT, LAST = 512, 4096, 1 << 62
-#: Shingles in a part of the input, rows of a block of a long list, sets verified in a task with their pivot's, rows sent at once.
-PART, BLOCK, SALTED, ROWS = 4_000_000, 4096, 1000, 500
-#: Sets beyond this are told apart by counts; counts of shingles below each of so many hashes, in steps of 2 to this power;
+#: Least bits of a bitmap of parities; members that a list may have; the rank of shingles that more hold.
+PARITIES, HOT, LAST = 256, 4096, 1 << 62
+#: Shingles in a part of the input, rows of a block of a long list, sets verified in a task with their pivot's, rows sent at once;
 #: a pair that meets in fewer lists than this part of its sizes is not verified before components are known.
-LARGE, RANKS, STEP, SELDOM = 1024, 16, 58, 32
-
-
-STEPS = np.arange(1, RANKS + 1, dtype=np.uint64) << np.uint64(STEP)
+PART, BLOCK, SALTED, ROWS, SELDOM = 4_000_000, 4096, 1000, 500, 32
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -68,6 +61,22 @@ def _numbers(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, ">u8").astype(np.uint64)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each residue of the hashes occurs an odd number of times, as words of bits; three quarters as many residues as hashes at least."""
+    size = PARITIES
+    while 4 * size < 3 * len(own):
+        size *= 2
+    return np.packbits(np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1, bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, length: int) -> np.ndarray:
+    """Parities (rows) as of fewer residues."""
+    while words.shape[-1] > length:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sets have a Jaccard similarity of 4/5 or more."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -99,25 +108,22 @@ def _sketches(rows: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 b = batch.slice(k, ROWS)
-                nodes, sizes, bits, fps, heads, ranks, last = [], [], [], [], [], [], []
+                nodes, sizes, bits, fps, heads = [], [], [], [], []
                 for x in b.column(4).to_pylist():
                     raw = digests(x, size)
                     own = np.unique(_numbers(raw))
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), 42))
                     sizes.append(len(own))
-                    bits.append(np.packbits(np.bincount((own % PARITIES).astype(np.int64), minlength=PARITIES) & 1).tobytes())
+                    bits.append(parities(own).tobytes())
                     fps.append(majority(raw))
                     heads.append(own[: len(own) // 5 + 1])
-                    large = len(own) > LARGE
-                    ranks.append(np.searchsorted(own, STEPS).astype(np.int32).tobytes() if large else None)
-                    last.append(int(heads[-1][-1]) >> STEP if large else None)
                 digest, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in heads])])
                 prefix = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.concatenate(heads).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], digest, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(ranks, pa.binary()), pa.array(last, pa.int32()), fp, prefix], names=["ox_file", "ox_pos", "id", "hash", "node", "n", "bits", "ranks", "steps", "fp", "prefix"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], digest, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), fp, prefix], names=["ox_file", "ox_pos", "id", "hash", "node", "n", "bits", "fp", "prefix"])
 
     kind = sent.schema["id"].dataType.simpleString()
-    return materialize(sent.mapInArrow(run, f"ox_file long, ox_pos long, id {kind}, hash long, node long, n int, bits binary, ranks binary, steps int, fp long, prefix array<long>"), "near-sketches")
+    return materialize(sent.mapInArrow(run, f"ox_file long, ox_pos long, id {kind}, hash long, node long, n int, bits binary, fp long, prefix array<long>"), "near-sketches")
 
 
 def _parts(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
@@ -203,20 +209,18 @@ def _plain(batches: Iterator[pa.RecordBatch], rest: list[pa.RecordBatch]) -> Ite
 
 
 def _near_places(n: np.ndarray, i: np.ndarray, m: np.ndarray | int, j: np.ndarray | int) -> np.ndarray:
-    """Whether sets of these sizes may have the similarity if the first shingle they share is at these places; of a
-    large set the places are not asked."""
-    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & ((9 * (i + j) <= n + m) | (np.maximum(n, m) > LARGE))
+    """Whether sets of these sizes may have the similarity if the first shingle they share is at these places."""
+    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * (i + j) <= n + m)
 
 
 def _short(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
-    """Of (h, node, at) in order: the members of lists that have a partner (of large sets: one of such a size, as all lists
-    count), with their list's pivot (or themselves, where it is none); and as (null, node, null) those of a shingle that more
-    than ``hot`` nodes hold. ``at``: size, then place."""
+    """Of (h, node, at) in order: the members of lists that have a partner, with their list's pivot (or themselves, where it
+    is none) and ``at``; and as (null, node, null, null) those of a shingle that more than ``hot`` nodes hold. ``at``: size, then place."""
     rest: list[pa.RecordBatch] = []
 
     def told(node: np.ndarray) -> pa.RecordBatch:
         none = pa.nulls(len(node), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(node), none], names=["h", "node", "pivot"])
+        return pa.RecordBatch.from_arrays([none, pa.array(node), none, none], names=["h", "node", "pivot", "at"])
 
     for (h, node, at), long in _runs(_plain(batches, rest), hot):
         if long:
@@ -243,8 +247,8 @@ def _short(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBat
             kept[least] = linked.any()
             pivot[own][linked] = node[least]
             for x in np.flatnonzero(~kept[own]):
-                kept[s + x] = _near_places(n[own], place[own], n[s + x], place[s + x]).sum() > int(9 * place[s + x] <= n[s + x] or n[s + x] > LARGE)
-        yield pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(node[kept]), pa.array(pivot[kept])], names=["h", "node", "pivot"])
+                kept[s + x] = _near_places(n[own], place[own], n[s + x], place[s + x]).sum() > int(9 * place[s + x] <= n[s + x])
+        yield pa.RecordBatch.from_arrays([pa.array(h[kept]), pa.array(node[kept]), pa.array(pivot[kept]), pa.array(at[kept])], names=["h", "node", "pivot", "at"])
     for b in chain(rest, batches):
         yield told(b.column(0).to_numpy())
 
@@ -290,7 +294,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lists(sketches: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, size: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
     """The lists (h, node, pivot) of up to ``hot`` members, and those of the second index, of any length; two nodes of
     the similarity have one in common. None: no shingle is as frequent."""
-    found = materialize(_gathered(sketches.select("node", "n", "prefix").mapInArrow(_heads, "h long, node long, at long"), hot).mapInArrow(lambda b: _short(b, hot), "h long, node long, pivot long"), "near-lists")
+    found = materialize(_gathered(sketches.select("node", "n", "prefix").mapInArrow(_heads, "h long, node long, at long"), hot).mapInArrow(lambda b: _short(b, hot), "h long, node long, pivot long, at long"), "near-lists")
     short, busy = found.filter("h IS NOT NULL"), found.filter("h IS NULL").select("node")
     if not busy.limit(1).count():
         return short, None
@@ -313,65 +317,74 @@ def _lists(sketches: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str
     return short, index.join(least, "h").select("h", "node", F.when(5 * F.col("least") >= 4 * F.col("n"), F.col("pivot")).otherwise(F.col("node")).alias("pivot"))
 
 
-def _plausible(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sizes and parities (rows of words of bits) allow the similarity."""
-    near = 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
-    near[near] = 9 * np.bitwise_count((a ^ b)[near]).sum(axis=1, dtype=np.int64) <= (n + m)[near]
-    return near
+def _words(bits: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Parities by their length in words: places and rows of words."""
+    by: dict[int, list[int]] = {}
+    for k, x in enumerate(bits):
+        by.setdefault(len(x) // 8, []).append(k)
+    return {w: (np.array(at), np.frombuffer(b"".join([bits[k] for k in at]), np.uint64).reshape(len(at), w)) for w, at in by.items()}
 
 
-def _words(bits: list[bytes | None]) -> np.ndarray:
-    return np.frombuffer(b"".join([x if x is not None else bytes(PARITIES // 8) for x in bits]), np.uint64).reshape(len(bits), -1)
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (h, label, node, at) in order: the members of lists that have a partner of another label, as their places and sizes go."""
+    for (h, label, node, at), _ in _runs(batches):
+        n, place = at >> 32, at & 0xFFFFFFFF
+        kept = np.zeros(len(h), bool)
+        starts, sizes = _bounds(h)
+        two = starts[sizes == 2]
+        near = (label[two] != label[two + 1]) & _near_places(n[two], place[two], n[two + 1], place[two + 1])
+        kept[two[near]] = kept[two[near] + 1] = True
+        for s, size in zip(starts[sizes > 2], sizes[sizes > 2]):
+            own = slice(s, s + size)
+            if label[s] != label[s + size - 1]:
+                for x in range(s, s + size):
+                    kept[x] = (_near_places(n[own], place[own], n[x], place[x]) & (label[own] != label[x])).any()
+        yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (h, label, node)], names=["h", "label", "node"])
 
 
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list whose labels differ, and whose sizes and parities allow the similarity. Rows: h, label, node, n, bits
-    (null for large sets, of which all pairs of such sizes count), tallied (whether the list is one of those)."""
-    for (h, label, node, n, bits, tallied), _ in _runs(batches):
+    """Pairs of a list whose labels differ, and whose sizes and parities allow the similarity. Rows: h, label, node, n, bits."""
+    for (h, label, node, n, bits), _ in _runs(batches):
         for s, size in zip(*_bounds(h)):
             starts, sizes = _bounds(label[s : s + size])
             if len(sizes) < 2:
                 continue
-            ids, ns, parity = node[s : s + size], n[s : s + size].astype(np.int64), _words(list(bits[s : s + size]))
             # The largest component last, so that its members are not compared among themselves one by one.
             by_size = np.argsort(sizes, kind="stable")
-            order = np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in by_size])
+            order = s + np.concatenate([np.arange(starts[k], starts[k] + sizes[k]) for k in by_size])
             ends = np.repeat(np.cumsum(sizes[by_size])[:-1], sizes[by_size][:-1])
-            ids, ns, parity = ids[order], ns[order], parity[order]
+            ids, ns, own = node[order], n[order].astype(np.int64), [bits[k] for k in order]
+            words = _words(own)
+            short = {(w, v): folded(rows, v) for w, (_, rows) in words.items() for v in words if v <= w}
             for x, end in enumerate(ends):
-                rest = ns[end:]
-                if ns[x] > LARGE:
-                    near = 5 * np.minimum(rest, ns[x]) >= 4 * np.maximum(rest, ns[x])
-                else:
-                    near = _plausible(np.where(rest > LARGE, 2 * rest, rest), np.full(len(rest), ns[x]), parity[end:], parity[x]) | ((rest > LARGE) & (4 * rest <= 5 * ns[x]))
-                if near.any():
-                    other = ids[end:][near]
-                    large = (rest[near] > LARGE) | (ns[x] > LARGE)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[x])), pa.array(np.maximum(other, ids[x])), pa.array(large & bool(tallied[s]))], names=["a", "b", "tallied"])
-
-
-def _sifted(pairs: DataFrame, nodes: DataFrame, seldom: bool) -> DataFrame:
-    """Of pairs (a, b, c, tallied) that met in ``c`` lists, (a, b) of those that may have the similarity: by sizes, parities and,
-    where all their lists were tallied, by counts. ``seldom``: without those that meet seldom, which are asked again later."""
+                mine = np.frombuffer(own[x], np.uint64)
+                for w, (at, rows) in words.items():
+                    v = min(w, len(mine))
+                    rest = at[at >= end]
+                    some = 5 * np.minimum(ns[rest], ns[x]) >= 4 * np.maximum(ns[rest], ns[x])
+                    if some.any():
+                        rest = rest[some]
+                        differ = np.bitwise_count(short[w, v][np.searchsorted(at, rest)] ^ folded(mine, v)).sum(axis=1, dtype=np.int64)
+                        other = ids[rest[9 * differ <= ns[rest] + ns[x]]]
+                        if len(other):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[x])), pa.array(np.maximum(other, ids[x]))], names=["a", "b"])
+
+
+def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (a, b, c) that met in ``c`` lists, (a, b) of those that meet often and may have the similarity by sizes and parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            c, n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 4, 5))
-            if not len(c):
-                continue
-            near = _plausible(n, m, *(_words(b.column(k).to_pylist()) for k in (6, 7)))
-            if seldom:
-                near &= c >= np.minimum(n, m) // SELDOM
-            tallied = b.column(3).to_numpy(zero_copy_only=False) & (n > LARGE) & (m > LARGE)
-            for x in np.flatnonzero(near & tallied):
-                k = min(b.column(10)[x].as_py(), b.column(11)[x].as_py(), RANKS)
-                if k:
-                    held = sum(int.from_bytes(b.column(q)[x].as_py()[4 * k - 4 : 4 * k], "little") for q in (8, 9))
-                    near[x] = 9 * (held - 2 * c[x]) <= n[x] + m[x]
-            yield b.select(["a", "b"]).filter(pa.array(near))
-
-    one, two = (nodes.select(F.col("node").alias(x), *[F.col(c).alias(c + x) for c in ("n", "bits", "ranks", "steps")]) for x in "ab")
-    known = pairs.join(one, "a").join(two, "b").select("a", "b", "c", "tallied", "na", "nb", "bitsa", "bitsb", "ranksa", "ranksb", "stepsa", "stepsb")
+            c, n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3, 4))
+            near = (c >= np.minimum(n, m) // SELDOM) & (5 * np.minimum(n, m) >= 4 * np.maximum(n, m))
+            for k in np.flatnonzero(near):
+                x, y = (np.frombuffer(b.column(q)[k].as_py(), np.uint64) for q in (5, 6))
+                v = min(len(x), len(y))
+                near[k] = 9 * int(np.bitwise_count(folded(x, v) ^ folded(y, v)).sum(dtype=np.int64)) <= n[k] + m[k]
+            yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
+    known = pairs.join(one, "a").join(two, "b").select("a", "b", "c", "na", "nb", "bitsa", "bitsb")
     return materialize(known.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
@@ -419,27 +432,27 @@ def survivors(docs: DataFrame, shingle: int = 5, k: int = 3, id_col: str = "doc_
     ``hot``: the members that a list may have; neither changes the result."""
     rows = _addressed(docs)
     sketches = _sketches(rows, shingle, id_col, text_col)
-    first = F.min(F.struct("ox_file", "ox_pos", "n", "bits", "ranks", "steps")).alias("x")
+    first = F.min(F.struct("ox_file", "ox_pos", "n", "bits")).alias("x")
     nodes = materialize(sketches.groupBy("node").agg(first).select("node", "x.*"), "near-nodes")
     short, long = _lists(sketches, nodes, rows, text_col, shingle, hot)
     star = [x.filter("pivot <> node").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"), F.lit(1).alias("c")) for x in (short, long) if x is not None]
     hashed = _by_fingerprint(sketches.select("node", "fp").distinct(), k).filter("a <> b").withColumn("c", F.lit(1 << 30))
-    met = reduce(DataFrame.union, [*star, hashed]).groupBy("a", "b").agg(F.sum("c").alias("c")).withColumn("tallied", F.lit(False))
-    edges = _verified(_sifted(met, nodes, True), nodes, rows, text_col, shingle)
+    met = reduce(DataFrame.union, [*star, hashed]).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    edges = _verified(_sifted(met, nodes), nodes, rows, text_col, shingle)
     labels = components(edges)
-    named = lambda x: x.join(small(labels.withColumnRenamed("node", "at")), F.col("node") == F.col("at"), "left")
-    dealt = named(short.select("h", "node")).select("h", F.coalesce("label", "node").alias("label"), "node", F.lit(True).alias("tallied"))
+    named = lambda x: x.join(small(labels.withColumnRenamed("node", "at_node")), F.col("node") == F.col("at_node"), "left")
+    told = named(short).select("h", F.coalesce("label", "node").alias("label"), "node", "at")
+    dealt = told.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_cross, "h long, label long, node long")
     if long is not None:
         sizes = long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         blocks = named(long.select("h", "node")).join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        key = F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other"))
-        dealt = dealt.union(blocks.select(key.alias("h"), F.coalesce("label", "node").alias("label"), "node", F.lit(False)))
-    bits = F.when(F.col("n") <= LARGE, F.col("bits")).alias("bits")
-    dealt = dealt.join(nodes.select("node", "n", bits), "node").select("h", "label", "node", "n", "bits", "tallied")
-    more = dealt.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_left, "a long, b long, tallied boolean")
-    met = more.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("tallied").alias("tallied"))
-    labels = components(edges.union(_verified(_sifted(met, nodes, False), nodes, rows, text_col, shingle)))
+        key = F.when(F.col("blocks") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
+        dealt = dealt.union(blocks.select(key.alias("h"), F.coalesce("label", "node").alias("label"), "node"))
+    dealt = dealt.join(nodes.select("node", "n", "bits"), "node").select("h", "label", "node", "n", "bits")
+    more = dealt.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_left, "a long, b long")
+    near = materialize(more.distinct(), "near-pairs")
+    labels = components(edges.union(_verified(near, nodes, rows, text_col, shingle)))
     # An order of whole rows: rows that share an id are told apart by their text's hash, and copies by their place.
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"), F.col("ox_file"), F.col("ox_pos"))
     kept = named(sketches).withColumn("label", F.coalesce("label", "node")).groupBy("label").agg(F.min(order).alias("o")).select("o.ox_file", "o.ox_pos")
