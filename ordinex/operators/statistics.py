@@ -1,4 +1,4 @@
-"""Rank correlation, risk curves, exact intervals, variance components and seeded resampling."""
+"""Rank correlation, risk curves, exact intervals, variance components, adequacy and probe registries."""
 
 from __future__ import annotations
 
@@ -7,27 +7,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import crossover, design_effect, effective_trials, hoeffding_radius, intraclass, optimal_probes, probe_share, probes_for_share, required_units, variance_of_mean
+from .joins import one_to_one
 
 
-def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Rank correlation with average ranks; null below three rows or where a side is constant.
+def spearman(df: DataFrame, by: list[str], a: str, b: str, units: str | None = None) -> DataFrame:
+    """Rank correlation with average ranks; null below three rows or where a side is constant. ``units``: how many
+    rows a row stands for.
 
-    Ranks come from counts by value, so equal values meet in an aggregation and the
-    running sum is over distinct values alone.
+    Rows are first counted by their pair of values, so equal values meet in an aggregation; running
+    sums and joins are over distinct values and pairs alone.
     """
+    k = F.col(units) if units else F.lit(1)
+    cells = df.select(*by, F.col(a).alias("ox_a"), F.col(b).alias("ox_b"), k.alias("k")).groupBy(*by, "ox_a", "ox_b").agg(F.sum("k").alias("k"))
 
     def ranks(c: str) -> DataFrame:
-        n = df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("k"))
-        return n.select(*by, c, (F.sum("k").over(W.partitionBy(*by).orderBy(c)) - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
-
-    j = df.select(*by, a, b).join(ranks(a), [*by, a]).join(ranks(b), [*by, b])
-    x, y = f"rank_{a}", f"rank_{b}"
-    g = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("cov"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("scale"))
+        n = cells.groupBy(*by, c).agg(F.sum("k").alias("m"))
+        w = W.partitionBy(*by)
+        total = F.sum("m").over(w)
+        return n.select(*by, c, (F.sum("m").over(w.orderBy(c)) - (F.col("m") - 1) / 2 - (total + 1) / 2).alias(f"r{c}"))  # less the mean rank
+
+    j = cells.join(ranks("ox_a"), [*by, "ox_a"]).join(ranks("ox_b"), [*by, "ox_b"])
+    x, y, n = F.col("rox_a"), F.col("rox_b"), F.col("k")
+    g = j.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(n * x * y).alias("cov"), F.sqrt(F.sum(n * x * x) * F.sum(n * y * y)).alias("scale"))
     return g.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("scale") > 0), F.col("cov") / F.col("scale")).alias("spearman"))
 
 
@@ -47,38 +53,64 @@ def aurc(df: DataFrame, by: list[str], score: str = "diagnostic", target: str =
     return c.withColumn("step", step).groupBy(*by).agg(F.sum("step").alias("aurc"))
 
 
-def _tail(k: int, n: int, p: float) -> float:
-    """P(X >= k) of a binomial."""
-    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+def beta_cdf(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_cdf(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    value = d
+    for m in range(1, 100_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + step * d
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = 1 + step / c
+            c = c if abs(c) > tiny else tiny
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * value
 
 
 def clopper_pearson(k: int, n: int, confidence: float = 0.95) -> tuple[float, float]:
+    """The exact interval of ``k`` successes in ``n`` trials, for any ``n``: quantiles of beta distributions by halving."""
     if not 0 < n or not 0 <= k <= n or not 0 < confidence < 1:
         raise ValueError("0 <= k <= n, n > 0 and a confidence between 0 and 1")
     alpha = (1 - confidence) / 2
 
-    def root(f) -> float:  # noqa: ANN001
+    def quantile(p: float, a: float, b: float) -> float:
         lo, hi = 0.0, 1.0
-        for _ in range(60):
+        while hi - lo > 1e-15 and hi - lo > 1e-13 * hi:
             mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+            lo, hi = (mid, hi) if beta_cdf(mid, a, b) < p else (lo, mid)
         return (lo + hi) / 2
 
-    lower = 0.0 if k == 0 else root(lambda p: _tail(k, n, p) - alpha)
-    upper = 1.0 if k == n else root(lambda p: alpha - (1 - _tail(k + 1, n, p)))
+    # Closed at the ends.
+    lower = 0.0 if k == 0 else alpha ** (1 / n) if k == n else quantile(alpha, k, n - k + 1)
+    upper = 1.0 if k == n else 1 - alpha ** (1 / n) if k == 0 else quantile(1 - alpha, k + 1, n - k)
     return lower, upper
 
 
-def with_intervals(df: DataFrame, k: str, n: str, confidence: float = 0.95) -> DataFrame:
-    """``df`` with ``lower, upper``: exact intervals, worked out once for each distinct (k, n) on the executors."""
+def wilson_width(k: Column, n: Column, z: float = 1.959963984540054) -> Column:
+    """Width of the score interval; null without trials."""
+    p, zz = k / n, z * z
+    return F.when(n > 0, 2 * z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n)) / (1 + zz / n))
+
+
+def with_intervals(df: DataFrame, k: str, n: str, confidence: float = 0.95, lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """``df`` with ``lower, upper``: exact intervals, worked out once for each distinct (k, n) on the executors; null without trials."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             lo_hi = [clopper_pearson(int(a), int(b), confidence) for a, b in zip(f["ox_k"], f["ox_n"])]
-            yield f.assign(lower=[x[0] for x in lo_hi], upper=[x[1] for x in lo_hi])
+            yield f.assign(ox_lower=[x[0] for x in lo_hi], ox_upper=[x[1] for x in lo_hi])
 
-    pairs = df.select(F.col(k).cast("int").alias("ox_k"), F.col(n).cast("int").alias("ox_n")).distinct().mapInPandas(run, "ox_k int, ox_n int, lower double, upper double")
-    return df.join(pairs, (df[k] == pairs["ox_k"]) & (df[n] == pairs["ox_n"]), "left").drop("ox_k", "ox_n")
+    pairs = df.filter(F.col(n) > 0).select(F.col(k).cast("int").alias("ox_k"), F.col(n).cast("int").alias("ox_n")).distinct().mapInPandas(run, "ox_k int, ox_n int, ox_lower double, ox_upper double")
+    both = df.join(pairs, (F.col(k) == F.col("ox_k")) & (F.col(n) == F.col("ox_n")), "left")
+    return both.select(*[df[c] for c in df.columns], F.col("ox_lower").alias(lower), F.col("ox_upper").alias(upper))
 
 
 def variance_components(stats: DataFrame, by: list[str], probes: str = "n", successes: str = "n_stable") -> DataFrame:
@@ -91,7 +123,8 @@ def variance_components(stats: DataFrame, by: list[str], probes: str = "n", succ
     g = u.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.avg("p").alias("theta"), F.avg("v").alias("within"), F.var_samp("p").alias("mean_variance"), F.avg(F.col("v") / F.col("r")).alias("noise"), F.avg("r").alias("mean_probes"))
     g = g.withColumn("between_raw", F.col("mean_variance") - F.col("noise")).withColumn("between", F.greatest(F.lit(0.0), F.col("between_raw")))
     a, b, n, r = (F.col(c) for c in ("between", "within", "units", "mean_probes"))
-    return g.select(*by, "units", "theta", "within", "between_raw", "between", intraclass(a, b).alias("icc"), design_effect(a, b, r).alias("design_effect"), effective_trials(a, b, n, r).alias("effective_trials"), probe_share(a, b, r).alias("probe_share"), crossover(a, b).alias("crossover"), hoeffding_radius(n, r, 0.05).alias("hoeffding_radius"))
+    cluster, naive = F.sqrt(variance_of_mean(a, b, n, r)), F.sqrt(F.col("theta") * (1 - F.col("theta")) / (n * r))
+    return g.select(*by, "units", "theta", "within", "between_raw", "between", cluster.alias("cluster_se"), naive.alias("naive_se"), F.when(naive > 0, cluster / naive).alias("se_ratio"), intraclass(a, b).alias("icc"), design_effect(a, b, r).alias("design_effect"), effective_trials(a, b, n, r).alias("effective_trials"), probe_share(a, b, r).alias("probe_share"), crossover(a, b).alias("crossover"), hoeffding_radius(n, r, 0.05).alias("hoeffding_radius"))
 
 
 def variance_budgets(components: DataFrame, by: list[str], budgets: list[int]) -> DataFrame:
@@ -115,83 +148,113 @@ def allocation(components: DataFrame, by: list[str], cost_ratios: list[float], l
     return a.select(*by, "cost_ratio", optimal_probes(x, y, F.col("cost_ratio"), F.lit(1.0), low, high).alias("probes"), probes_for_share(x, y, 0.1).alias("probes_for_tenth"))
 
 
-def _weighted(units: DataFrame, key: list[str], repetitions: int, seed: int) -> DataFrame:
-    """``units`` with ``rep`` and ``w``, Poisson(1) from a hash of the key, the seed and the repetition.
+def truncation_audit(components: DataFrame, by: list[str]) -> DataFrame:
+    """Where the between-variance was cut at zero, and by how much."""
+    return components.select(*by, "between_raw", "between", (F.col("between_raw") < 0).alias("truncated"), (F.col("between") - F.col("between_raw")).alias("adjustment"))
 
-    Rows of one key have one weight in a repetition, whatever their group: groups that share keys are paired.
-    """
-    u = F.xxhash64(*key, F.lit(seed))
-    a = units.withColumn("ox_u", u).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
-    draw = (F.shiftrightunsigned(F.xxhash64("ox_u", "rep"), 11) + 0.5) / float(1 << 53)
-    # The quantile function of Poisson(1): how many of its cumulative probabilities the draw exceeds.
-    cumulative, term, total = [], math.exp(-1), 0.0
-    for k in range(12):
-        total += term
-        cumulative.append(total)
-        term /= k + 1
-    return a.withColumn("w", sum(((draw > c).cast("int") for c in cumulative), F.lit(0))).drop("ox_u")
 
+def plugin_components(stats: DataFrame, by: list[str], probes: str = "n", successes: str = "n_stable") -> DataFrame:
+    """Plug-in components: the population variance of units' rates and their mean Bernoulli variance."""
+    p = F.col(successes) / F.col(probes)
+    return stats.filter(F.col(probes) > 0).groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.avg(p).alias("theta"), F.var_pop(p).alias("between"), F.avg(p * (1 - p)).alias("within"))
 
-def _intervals(draws: DataFrame, by: list[str], value: str) -> DataFrame:
-    q = F.percentile(value, [0.025, 0.5, 0.975])
-    g = draws.groupBy(*by).agg(q.alias("q"), F.stddev_samp(value).alias("se"))
-    return g.select(*by, F.get("q", F.lit(0)).alias("lower"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("upper"), "se")
 
+def interval_summary(units: DataFrame, by: list[str], lower: str = "lower", upper: str = "upper") -> DataFrame:
+    """Widths of units' intervals: mean, median, 90 and 95 % points, greatest, and the shares up to 0.1 and 0.2."""
+    w = F.col(upper) - F.col(lower)
+    g = units.select(*by, w.alias("w")).groupBy(*by).agg(F.count("w").alias("units"), F.avg("w").alias("mean"), F.percentile("w", [0.5, 0.9, 0.95]).alias("q"), F.max("w").alias("max"), *[F.avg((F.col("w") <= x).cast("double")).alias(n) for x, n in ((0.1, "within_tenth"), (0.2, "within_fifth"))])
+    return g.select(*by, "units", "mean", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("median", "p90", "p95"))], "max", "within_tenth", "within_fifth")
 
-def bootstrap_ratios(units: DataFrame, by: list[str], numerator: str, denominator: str | None = None, key: list[str] | None = None, repetitions: int = 2000, seed: int = 0) -> DataFrame:
-    """Percentile intervals (95 %) of a ratio of sums over units (the mean, without a denominator), by the Poisson bootstrap.
 
-    Results don't depend on how rows are dealt, no task needs all units of a group, and
-    what is shuffled are sums for each repetition. A repetition without weight counts 0 for a ratio.
-    """
-    d = F.lit(1.0) if denominator is None else F.col(denominator).cast("double")
-    a = units.select(*{*by, *(key or [])}, F.col(numerator).cast("double").alias("ox_n"), d.alias("ox_d")) if key else units.withColumns({"ox_n": F.col(numerator).cast("double"), "ox_d": d})
-    r = _weighted(a, key or units.columns, repetitions, seed).groupBy(*by, "rep").agg(F.sum(F.col("w") * F.col("ox_n")).alias("n"), F.sum(F.col("w") * F.col("ox_d")).alias("d"))
-    return _intervals(r.withColumn("m", F.when(F.col("d") > 0, F.col("n") / F.col("d")).otherwise(F.lit(0.0))), by, "m")
+def registry_comparison(metrics: DataFrame, within: DataFrame, by: list[str], probes: tuple[int, int] = (40, 80)) -> DataFrame:
+    """Measures of two independent registries (:func:`ordinex.operators.resampling.paired_metrics` by ``scope``) beside the root mean square
+    difference that sampling alone predicts. ``within``: ``by, within, eligibility``; eligible units alone share the within-variance."""
+    own = F.when(F.col("scope") == "full_manifest", F.col("within")).otherwise(F.col("within") / F.col("eligibility"))
+    predicted = F.sqrt(own * (1 / probes[0] + 1 / probes[1]))
+    j = metrics.join(within, by)
+    return j.select(*metrics.columns, predicted.alias("predicted_rmse"), F.when(predicted > 0, F.col("sample_rmse") / predicted).alias("rmse_ratio"))
+
 
+def adequacy(components: DataFrame, split_halves: DataFrame, intervals: DataFrame, by: list[str], probes: int = 80, share_limit: float = 0.05, split_limit: float = 0.01, rmse_limit: float = 0.05) -> DataFrame:
+    """Whether a number of probes is enough for each group: standard errors at it, at twice it and without probe noise, the
+    eligible samples' error, and the criteria. ``components``: ``units, theta, between, within``; ``split_halves``: ``p95`` of the
+    absolute difference; ``intervals``: ``eligible``, eligible units. Each has one row for a group; a second is an error."""
+    j = one_to_one(one_to_one(components, split_halves.select(*by, "p95"), by), intervals.select(*by, "eligible"), by)
+    a, b, n = F.col("between"), F.col("within"), F.col("units")
+    se, twice, floor = (F.sqrt(x) for x in (variance_of_mean(a, b, n, F.lit(probes)), variance_of_mean(a, b, n, F.lit(2 * probes)), a / n))
+    share, rate = probe_share(a, b, F.lit(probes)), F.col("eligible") / n
+    rmse = F.sqrt(b / (rate * probes))
+    enough, halves = share <= share_limit, F.col("p95") <= split_limit
+    return j.select(
+        *by, "units", "theta", share.alias("probe_share"), probes_for_share(a, b, share_limit).alias("probes_needed"), se.alias("se"), twice.alias("se_twice"), floor.alias("se_floor"),
+        F.when(se > 0, (se - twice) / se).alias("reduction"), F.when(floor > 0, se / floor - 1).alias("excess"), rate.alias("eligibility"), rmse.alias("sample_rmse"), "p95",
+        enough.alias("share_pass"), halves.alias("split_pass"), (rmse <= rmse_limit).alias("sample_pass"), (enough & halves).alias("adequate"),
+    )
 
-def bootstrap_means(units: DataFrame, by: list[str], value: str, repetitions: int = 2000, seed: int = 0) -> DataFrame:
-    return bootstrap_ratios(units, by, value, repetitions=repetitions, seed=seed)
 
+def matrix_violations(trials: DataFrame, by: list[str], unit: str, value: str) -> DataFrame:
+    """What keeps trials from being a binary matrix of units and probes: too few units or probes, units of unequal length, values
+    that are missing, not finite or neither 0 nor 1. A row for each group and rule that is broken, with how often."""
+    v = F.col(value).cast("double")
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    u = trials.groupBy(*by, unit).agg(F.count(F.lit(1)).alias("n"), F.sum(bad.cast("long")).alias("bad"), F.sum((~bad & ~v.isin(0.0, 1.0)).cast("long")).alias("other"))
+    g = u.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("bad").alias("bad"), F.sum("other").alias("other"))
+    rules = {"fewer_than_two_units": (F.col("units") < 2).cast("long"), "fewer_than_two_probes": (F.col("least") < 2).cast("long"), "unequal_units": (F.col("least") != F.col("most")).cast("long"), "not_finite": F.col("bad"), "not_binary": F.col("other")}
+    return g.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), x.alias("n")) for k, x in rules.items()])).alias("r")).select(*by, "r.rule", "r.n").filter("n > 0")
 
-def bootstrap_deltas(units: DataFrame, group: str, value: str, key: list[str], repetitions: int = 2000, seed: int = 0) -> DataFrame:
-    """Intervals of the difference of means for each pair of groups. Groups with common keys are paired; without, independent."""
-    m = _weighted(units.select(group, value, *key), key, repetitions, seed).groupBy(group, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    a, b = m.select(F.col(group).alias("group_a"), "rep", F.col("m").alias("ma")), m.select(F.col(group).alias("group_b"), "rep", F.col("m").alias("mb"))
-    return _intervals(a.join(b, "rep").filter("group_a < group_b").withColumn("gap", F.col("ma") - F.col("mb")), ["group_a", "group_b"], "gap")
 
+Law = list[tuple[str, float, float, float]]
 
-def bootstrap_minimum_gaps(values: DataFrame, group: str, setting: str, value: str, key: list[str], repetitions: int = 2000, seed: int = 0) -> DataFrame:
-    """Intervals of the least gap over all settings, taken inside each repetition, for each pair of groups."""
-    m = _weighted(values.select(group, setting, value, *key), key, repetitions, seed).groupBy(group, setting, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
-    a, b = m.select(F.col(group).alias("group_a"), setting, "rep", F.col("m").alias("ma")), m.select(F.col(group).alias("group_b"), setting, "rep", F.col("m").alias("mb"))
-    least = a.join(b, [setting, "rep"]).filter("group_a < group_b").groupBy("group_a", "group_b", "rep").agg(F.min(F.col("ma") - F.col("mb")).alias("gap"))
-    return _intervals(least, ["group_a", "group_b"], "gap")
 
+def checked_law(law: Law) -> Law:
+    """The law, or an error: no family, a weight below zero, no weight at all, an interval that ends before it begins."""
+    if not law or any(w < 0 for _, w, _, _ in law) or sum(w for _, w, _, _ in law) <= 0:
+        raise ValueError("families with weights of zero or more, not all zero")
+    for family, _, low, high in law:
+        if low > high:
+            raise ValueError(f"{family}: the interval of severities is empty")
+    return law
 
-def split_halves(facts: DataFrame, seed: int = 0) -> DataFrame:
-    """``model, ref_id, half_a, half_b``: stability over two halves of a sample's eligible probes, balanced by
-    family: each family's probes alternate in the order of a hash."""
-    order = F.row_number().over(W.partitionBy("model", "ref_id", "family").orderBy(F.xxhash64("ref_id", "split", "ord", F.lit(seed)), "split", "ord"))
-    a = facts.filter("eligible = 1").withColumn("half", order % 2)
-    return a.groupBy("model", "ref_id").agg(F.avg(F.when(F.col("half") == 1, F.col("stable"))).alias("half_a"), F.avg(F.when(F.col("half") == 0, F.col("stable"))).alias("half_b")).filter("half_a IS NOT NULL AND half_b IS NOT NULL")
 
+def balanced_budgets(budgets: list[int], diagnostic: int, families: int) -> list[int]:
+    """Budgets that are whole blocks of families and no more than there are diagnostic probes, or an error."""
+    if not budgets or max(budgets) > diagnostic or any(b <= 0 or b % families for b in budgets):
+        raise ValueError("budgets are multiples of the number of families, up to the number of diagnostic probes")
+    return budgets
 
-def stratified_probes(base_seed: int, image_id: int, ref_id: int, per_family: int, law: list[tuple[str, float, float, float]]) -> list[tuple[str, float, int]]:
-    """A registry of probes for a sample: every run of as many probes as families holds each once. The same for all models."""
-    if per_family < 1 or not law:
+
+def generator(base_seed: int, image_id: int, ref_id: int) -> np.random.Generator:
+    """One stream of draws for a sample, the same for all models."""
+    return np.random.default_rng(np.random.SeedSequence([base_seed, image_id, ref_id]))
+
+
+def mixture_probe(rng: np.random.Generator, law: Law) -> tuple[str, float, int]:
+    """One probe of the mixture: a family by weight, a severity in its interval, a seed."""
+    weights = np.array([w for _, w, _, _ in checked_law(law)], dtype=float)
+    family, _, low, high = law[int(rng.choice(len(law), p=weights / weights.sum()))]
+    return family, float(rng.uniform(low, high)), int(rng.integers(0, 2**31 - 1))
+
+
+def stratified_probes(rng: np.random.Generator, per_family: int, law: Law) -> list[tuple[str, float, int]]:
+    """A registry of probes for a sample: every run of as many probes as families holds each once."""
+    if per_family < 1:
         raise ValueError("a probe of each family at least")
-    rng = np.random.default_rng(np.random.SeedSequence([base_seed, image_id, ref_id]))
+    checked_law(law)
     drawn = {f: [(f, float(rng.uniform(lo, hi)), int(rng.integers(0, 2**31 - 1))) for _ in range(per_family)] for f, _, lo, hi in law}
     return [drawn[law[k][0]][b] for b in range(per_family) for k in rng.permutation(len(law))]
 
 
-def probe_registry(keys: DataFrame, per_family: int, base_seed: int, law: list[tuple[str, float, float, float]]) -> DataFrame:
-    """``image_id, ref_id, ord, family, severity, seed`` for each key; narrow, in Arrow batches."""
+def probe_registry(keys: DataFrame, diagnostic: int, reference: int, base_seed: int, law: Law) -> DataFrame:
+    """``image_id, ref_id, split, ord, family, severity, seed`` for each key: diagnostic probes first, then reference probes
+    of the same stream, as many of each family as asked. Narrow, in Arrow batches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(i, r, k, *p) for i, r in zip(f["image_id"], f["ref_id"]) for k, p in enumerate(stratified_probes(base_seed, int(i), int(r), per_family, law))]
-            yield pd.DataFrame(rows, columns=["image_id", "ref_id", "ord", "family", "severity", "seed"])
-
-    return keys.select("image_id", "ref_id").mapInPandas(run, "image_id long, ref_id long, ord int, family string, severity double, seed int")
+            rows = []
+            for i, r in zip(f["image_id"], f["ref_id"]):
+                rng = generator(base_seed, int(i), int(r))
+                for split, n in (("diagnostic", diagnostic), ("reference", reference)):
+                    rows += [(i, r, split, k, *p) for k, p in enumerate(stratified_probes(rng, n, law))]
+            yield pd.DataFrame(rows, columns=["image_id", "ref_id", "split", "ord", "family", "severity", "seed"])
+
+    return keys.select("image_id", "ref_id").mapInPandas(run, "image_id long, ref_id long, split string, ord int, family string, severity double, seed int")

@@ -15,21 +15,27 @@ from .registry import ORACLES, QUERIES, add, on_facts
 __all__ = ["ORACLES", "QUERIES"]
 
 BUDGETS = [1, 2, 3]
+#: Probes, half-widths and cost ratios of the planning tables.
+BUDGET_GRID, HALF_WIDTHS, COST_RATIOS = [1, 2, 5, 10, 20, 40, 80], [0.01, 0.02, 0.03, 0.05], [5, 10, 25, 50, 100, 250, 500, 1000]
 
 CNT = "count(*) AS trials, sum(eligible) AS eligible_trials, sum(eligible * coverage) AS covered, sum(eligible * stable) AS stable"
 
 
+def optimism_sql(body: str) -> str:
+    """Optimism, its parts and residuals behind the columns of ``body``."""
+    return f"""SELECT *, abs(optimism - complete_case * (1 - eligibility * coverage)) AS residual, abs(optimism_coverage - complete_case * (1 - coverage)) AS residual_coverage,
+      abs(optimism_eligibility - (1 - eligibility) * coverage * complete_case) AS residual_eligibility FROM (SELECT *, complete_case - full_operational AS optimism, complete_case - eligible_operational AS optimism_coverage,
+      eligible_operational - full_operational AS optimism_eligibility FROM ({body}))"""
+
+
 def _pooled_sql(source: str, by: str) -> str:
-    return f"""SELECT {by}, trials, eligible_trials, covered, stable, eligible_trials / trials::DOUBLE AS eligibility,
+    return optimism_sql(f"""SELECT {by}, trials, eligible_trials, covered, stable, eligible_trials / trials::DOUBLE AS eligibility,
       covered / nullif(eligible_trials, 0)::DOUBLE AS coverage, stable / nullif(covered, 0)::DOUBLE AS complete_case,
-      stable / nullif(eligible_trials, 0)::DOUBLE AS eligible_operational, stable / trials::DOUBLE AS full_operational,
-      stable / nullif(covered, 0)::DOUBLE - stable / trials::DOUBLE AS optimism,
-      stable / nullif(covered, 0)::DOUBLE * (1 - covered / nullif(eligible_trials, 0)::DOUBLE) AS optimism_coverage,
-      stable / nullif(eligible_trials, 0)::DOUBLE * (1 - eligible_trials / trials::DOUBLE) AS optimism_eligibility
-      FROM (SELECT {by}, {CNT} FROM {source} GROUP BY {by})"""
+      stable / nullif(eligible_trials, 0)::DOUBLE AS eligible_operational, stable / trials::DOUBLE AS full_operational
+      FROM (SELECT {by}, {CNT} FROM {source} GROUP BY {by})""")
 
 
-P_D = "eligibility coverage complete_case eligible_operational full_operational optimism optimism_coverage optimism_eligibility"
+P_D = "eligibility coverage complete_case eligible_operational full_operational optimism optimism_coverage optimism_eligibility residual residual_coverage residual_eligibility"
 P_I = "trials eligible_trials covered stable"
 add("pooled_estimands", on_facts(lambda f: E.pooled(f, ["model"])), _pooled_sql("f", "model"), doubles=P_D, ints=P_I + " model")
 add("optimism_by_family", on_facts(lambda f: E.pooled(f, ["model", "family"])), _pooled_sql("f", "model, family"), doubles=P_D, ints=P_I + " model")
@@ -67,7 +73,7 @@ add(
     doubles="share",
     ints="model n",
 )
-add("ranking_culprits", on_facts(lambda f: E.culprits(f, ["model"])), "SELECT model, culprit + 1 AS culprit_rank, count(*) AS n FROM f WHERE eligible = 1 AND failure = 'ranking_reversal' GROUP BY ALL", ints="model culprit_rank n")
+add("ranking_culprits", on_facts(lambda f: E.culprits(f, ["model"])), "SELECT model, culprit + 1 AS culprit_rank, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY model)::DOUBLE AS share FROM f WHERE eligible = 1 AND failure = 'ranking_reversal' GROUP BY model, culprit", doubles="share", ints="model culprit_rank n")
 add(
     "association_quality",
     on_facts(lambda f: f.filter("coverage = 1").groupBy("model").agg(F.avg("quality").alias("mean_iou"), F.percentile("quality", F.lit(0.5)).alias("median_iou"), F.min("quality").alias("min_iou"))),
@@ -169,14 +175,15 @@ add(
     "SELECT a.failure AS old, b.failure AS new, count(*) AS n FROM f a JOIN f b ON a.model = b.model AND a.ref_id = b.ref_id AND a.ord = b.ord AND a.split = 'diagnostic' AND b.split = 'reference' GROUP BY ALL",
     ints="n",
 )
+_share = lambda split: f"(SELECT model, family, coalesce(w / nullif(sum(w) OVER (PARTITION BY model), 0), 0) AS s FROM (SELECT model, family, sum(1 - stable)::DOUBLE AS w FROM f WHERE eligible = 1 AND split = '{split}' GROUP BY ALL))"
 add(
     "family_transfer_cosine",
     on_facts(E.family_transfer),
-    """SELECT s.model, sum(s.r * t.r) / sqrt(sum(s.r * s.r) * sum(t.r * t.r)) AS cosine, avg(abs(s.r - t.r)) AS mean_abs_shift
-       FROM (SELECT model, family, 1 - avg(stable) AS r FROM f WHERE eligible = 1 AND split = 'diagnostic' GROUP BY ALL) s
-       JOIN (SELECT model, family, 1 - avg(stable) AS r FROM f WHERE eligible = 1 AND split = 'reference' GROUP BY ALL) t ON s.model = t.model AND s.family = t.family GROUP BY s.model""",
-    doubles="cosine mean_abs_shift",
-    ints="model",
+    f"""SELECT model, count(*) AS families, sum(a * b) / sqrt(sum(a * a) * sum(b * b)) AS cosine, avg(abs(a - b)) AS mean_abs_shift, CASE WHEN count(*) >= 3 THEN corr(ra, rb) END AS spearman FROM (
+        SELECT *, rank() OVER (PARTITION BY model ORDER BY a) + (count(*) OVER (PARTITION BY model, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY model ORDER BY b) + (count(*) OVER (PARTITION BY model, b) - 1) / 2.0 AS rb
+        FROM (SELECT x.model, x.s AS a, y.s AS b FROM {_share("diagnostic")} x JOIN {_share("reference")} y ON x.model = y.model AND x.family = y.family)) GROUP BY model""",
+    doubles="cosine mean_abs_shift spearman",
+    ints="model families",
 )
 STATS = "st AS (SELECT model, ref_id, count(*) AS n, sum(coverage) AS c, sum(stable) AS s FROM f WHERE eligible = 1 AND split = 'reference' GROUP BY ALL)"
 add(
@@ -199,35 +206,41 @@ def _components(f: DataFrame) -> DataFrame:
 add(
     "variance_components",
     on_facts(_components),
-    """SELECT model, units, theta, within, between_raw, between_ AS "between", between_ / (between_ + within) AS icc, 1 + (mr - 1) * between_ / (between_ + within) AS design_effect,
+    """SELECT model, units, theta, within, between_raw, between_ AS "between", sqrt(between_ / units + within / (units * mr)) AS cluster_se, sqrt(theta * (1 - theta) / (units * mr)) AS naive_se,
+       sqrt(between_ / units + within / (units * mr)) / sqrt(theta * (1 - theta) / (units * mr)) AS se_ratio, between_ / (between_ + within) AS icc, 1 + (mr - 1) * between_ / (between_ + within) AS design_effect,
        units * mr / (1 + (mr - 1) * between_ / (between_ + within)) AS effective_trials, within / mr / (between_ + within / mr) AS probe_share,
        CASE WHEN between_ > 0 THEN within / between_ ELSE 'infinity'::DOUBLE END AS crossover, sqrt(ln(4 / 0.05) / 2 / units) + sqrt(ln(4 / 0.05) / 2 / (units * mr)) AS hoeffding_radius FROM c0""",
     f"{FACTS_SQL}, {COMP}",
-    'theta within between_raw "between" icc design_effect effective_trials probe_share crossover hoeffding_radius',
+    'theta within between_raw "between" cluster_se naive_se se_ratio icc design_effect effective_trials probe_share crossover hoeffding_radius',
     "model units",
 )
 add(
     "variance_budget_lag",
-    on_facts(lambda f: S.variance_budgets(_components(f), ["model"], [5, 10, 20, 40, 80])),
-    "SELECT model, probes, variance, 1 - variance / lag(variance) OVER (PARTITION BY model ORDER BY probes) AS reduction FROM (SELECT model, probes, between_ / units + within / (units * probes) AS variance FROM c0, (VALUES (5), (10), (20), (40), (80)) b(probes))",
+    on_facts(lambda f: S.variance_budgets(_components(f), ["model"], BUDGET_GRID)),
+    "SELECT model, probes, variance, 1 - variance / lag(variance) OVER (PARTITION BY model ORDER BY probes) AS reduction FROM (SELECT model, probes, between_ / units + within / (units * probes) AS variance FROM c0, (VALUES (1), (2), (5), (10), (20), (40), (80)) b(probes))",
     f"{FACTS_SQL}, {COMP}",
     "variance reduction",
     "model probes",
 )
 add(
     "sample_size_planning",
-    on_facts(lambda f: S.planning(_components(f), ["model"], [0.01, 0.02, 0.05], [5, 10, 80])),
-    "SELECT model, half_width::DOUBLE AS half_width, probes, greatest(1, ceil(1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE * (between_ + within / probes) / (half_width::DOUBLE * half_width::DOUBLE))) AS units_needed FROM c0, (VALUES (0.01), (0.02), (0.05)) h(half_width), (VALUES (5), (10), (80)) b(probes)",
+    on_facts(lambda f: S.planning(_components(f), ["model"], HALF_WIDTHS, BUDGET_GRID)),
+    "SELECT model, half_width::DOUBLE AS half_width, probes, greatest(1, ceil(1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE * (between_ + within / probes) / (half_width::DOUBLE * half_width::DOUBLE))) AS units_needed FROM c0, (VALUES (0.01), (0.02), (0.03), (0.05)) h(half_width), (VALUES (1), (2), (5), (10), (20), (40), (80)) b(probes)",
     f"{FACTS_SQL}, {COMP}",
     "half_width",
     "model probes units_needed",
 )
-add("probe_allocation", on_facts(lambda f: S.allocation(_components(f), ["model"], [1, 2, 5, 10, 50, 100])))
+_costs = ", ".join(f"({x}::DOUBLE)" for x in COST_RATIOS)
 add(
-    "interval_width_quantiles",
-    on_facts(lambda f: S.with_intervals(E.sample_stats(f).filter("split = 'reference'"), "n_stable", "n").withColumn("w", F.col("upper") - F.col("lower")).groupBy("model").agg(F.avg("w").alias("mean"), F.percentile("w", F.lit(0.5)).alias("median"), F.percentile("w", F.lit(0.9)).alias("p90"), F.max("w").alias("max"))),
+    "probe_allocation",
+    on_facts(lambda f: S.allocation(_components(f), ["model"], COST_RATIOS)),
+    f"""SELECT model, cost_ratio, CASE WHEN between_ = 0 THEN 80 ELSE arg_min(r, {{'v': (cost_ratio + r) * (between_ + within / r), 'r': r}}) END AS probes,
+        CASE WHEN within = 0 THEN 1 WHEN between_ = 0 THEN 'infinity'::DOUBLE ELSE greatest(1, ceil(round(within * 0.9 / (between_ * 0.1), 9))) END AS probes_for_tenth
+        FROM c0, (VALUES {_costs}) q(cost_ratio), range(1, 81) p(r) GROUP BY model, cost_ratio, between_, within""",
+    f"{FACTS_SQL}, {COMP}",
+    "cost_ratio probes_for_tenth",
+    "model probes",
 )
-add("bootstrap_full_operational", on_facts(lambda f: S.bootstrap_means(E.paired_profiles(f), ["model"], "reference", seed=7)))
 add(
     "latest_trace_record",
     lambda s, d: joins.latest(
@@ -265,8 +278,8 @@ add(
 )
 add(
     "exclusion_antijoin",
-    lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("image_id")).join(_orders(s, d).select(F.col("o_custkey").alias("image_id")), "image_id", "left_anti"),
-    "SELECT c_custkey AS image_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    lambda s, d: s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("image_id")).join(_orders(s, d).filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("image_id")), "image_id", "left_anti"),
+    "SELECT c_custkey AS image_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0)",
     BOXES_SQL,
     ints="image_id",
 )
@@ -333,7 +346,7 @@ add(
 
 def probe_registry(spark: SparkSession, d: str) -> DataFrame:
     keys = _orders(spark, d).select(F.col("o_custkey").alias("image_id"), F.col("o_orderkey").alias("ref_id"))
-    return S.probe_registry(keys, 2, 2026, scalars.PROBE_LAW)
+    return S.probe_registry(keys, 1, 2, 2026, scalars.PROBE_LAW)
 
 
 add("probe_registry", probe_registry)
@@ -348,15 +361,6 @@ add(
     "cap_fraction theta pessimistic correction",
     "model",
 )
-add(
-    "exposure_deltas",
-    on_facts(lambda f: E.exposure_deltas(f, "q", [20, 30, 40, 50])),
-    """SELECT model, exposure, avg(n - o) AS delta, sum((o = 0 AND n = 1)::INT) AS fail_to_stable, sum((o = 1 AND n = 0)::INT) AS stable_to_fail, avg((o = n)::INT) AS agreement
-       FROM (SELECT model, exposure, stable * (l_quantity::INT <= 20)::INT AS o, stable * (l_quantity::INT <= exposure)::INT AS n FROM f, (VALUES (20), (30), (40), (50)) e(exposure) WHERE eligible = 1) GROUP BY ALL""",
-    FACTS_SQL.replace("FROM f0)", ", l_quantity FROM f0)"),
-    "delta agreement",
-    "model exposure fail_to_stable stable_to_fail",
-)
 add(
     "strata_estimands",
     on_facts(lambda f: E.pooled(f.withColumn("stratum", scalars.length_bin(F.col("ref_id") % 40 + 3)), ["model", "stratum"])),
@@ -364,27 +368,5 @@ add(
     doubles=P_D,
     ints=P_I + " model",
 )
-add(
-    "sample_profiles",
-    on_facts(lambda f: E.profiles(f).select("model", "ref_id", "split", "probes", "coverage", "conditional", "operational", "coverage_risk", "ranking_risk", F.coalesce(F.element_at("failures", F.lit("winner_missing")), F.lit(0)).alias("winner_missing"), F.size(F.coalesce("culprits", F.create_map().cast("map<string,bigint>"))).alias("culprit_kinds"))),
-    """SELECT model, ref_id, split, count(*) AS probes, avg(coverage) AS coverage, sum(stable) / nullif(sum(coverage), 0)::DOUBLE AS conditional, avg(stable) AS operational, 1 - avg(coverage) AS coverage_risk,
-       avg(coverage) * (1 - coalesce(sum(stable) / nullif(sum(coverage), 0)::DOUBLE, 0)) AS ranking_risk, count(*) FILTER (WHERE failure = 'winner_missing') AS winner_missing, count(DISTINCT culprit) AS culprit_kinds
-       FROM f WHERE eligible = 1 GROUP BY ALL""",
-    doubles="coverage conditional operational coverage_risk ranking_risk",
-    ints="model ref_id probes winner_missing culprit_kinds",
-)
-add("bootstrap_ratio_coverage", on_facts(lambda f: S.bootstrap_ratios(E.sample_stats(f).filter("split = 'reference'"), ["model"], "n_stable", "n_covered", ["ref_id"], seed=11)))
-add("bootstrap_model_deltas", on_facts(lambda f: S.bootstrap_deltas(E.paired_profiles(f), "model", "reference", ["ref_id"], seed=5)))
-
-
-def _grid_values(spark: SparkSession, d: str) -> DataFrame:
-    t = F.explode(F.array(*[F.struct(F.lit(k).alias("setting_index"), F.lit(q).alias("q")) for k, q in enumerate((0.5, 0.7, 0.9))])).alias("s")
-    a = facts(spark, d).select("model", "ref_id", "eligible", "stable", "quality", t)
-    return a.groupBy("model", "ref_id", "s.setting_index").agg(F.avg((F.col("eligible") * F.col("stable") * (F.col("quality") >= F.col("s.q")).cast("int")).cast("double")).alias("v"))
-
-
-add("bootstrap_minimum_gap", lambda s, d: S.bootstrap_minimum_gaps(_grid_values(s, d), "model", "setting_index", "v", ["ref_id"], seed=5))
-add("split_half_metrics", on_facts(lambda f: E.prediction_metrics(S.split_halves(f), ["model"], "half_a", "half_b")))
-
 # The other tables register themselves.
-from . import replays  # noqa: E402, F401
+from . import replays, tables  # noqa: E402, F401

@@ -37,12 +37,17 @@ def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-def test_bootstraps_run_all_repetitions(spark, monkeypatch):
-    from ordinex.operators import statistics
+def test_bootstraps_run_the_repetitions_that_are_said(spark, monkeypatch):
+    from ordinex.operators import resampling
+    from ordinex.plans import tables
 
-    asked, own = [], statistics._weighted
-    monkeypatch.setattr(statistics, "_weighted", lambda units, key, repetitions, seed: asked.append(repetitions) or own(units, key, repetitions, seed))
-    names = [n for n in QUERIES if n.startswith("bootstrap_")]
-    for name in names:
+    asked, own = [], resampling.resampled
+    monkeypatch.setattr(resampling, "resampled", lambda *a, **k: asked.append(a[6]) or own(*a, **k))
+    for name in (n for n in QUERIES if n.startswith("bootstrap_")):
         QUERIES[name](spark, SF)
-    assert len(names) == 4 and asked == [2000] * 4
+    assert (tables.UNITS_DRAWN, tables.TRIALS_DRAWN) == (2000, 200) and set(asked) == {2000, 200} and asked.count(2000) == 4
+
+
+def test_no_query_is_empty(spark, duck):
+    for name in ("exclusion_antijoin", "outcome_violations", "registry_violations", "matrix_violations", "set_overlaps"):
+        assert duck.sql(ORACLES[name]).fetchall()
