@@ -28,7 +28,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import texts, worker_cache
 
 #: Unicode white space as the rank files' regular expressions see it.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -208,14 +208,12 @@ def _as_bytes(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-_coders: dict[tuple[str, str], ByteBpe] = {}
-
-
 def coder(path: str, pattern: str) -> ByteBpe:
     """One for each worker process and file."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = ByteBpe(path, pattern)
-    return _coders[path, pattern]
+    own = worker_cache("byte_bpe")
+    if (path, pattern) not in own:
+        own[path, pattern] = ByteBpe(path, pattern)
+    return own[path, pattern]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -42,6 +42,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict[str, dict] = {}
+
+
+def worker_cache(operator: str) -> dict:
+    """What an operator keeps in a Python worker between batches and tasks. A worker that turns to another operator
+    drops what it kept for the one before, so that a run of several operators needs no more memory than one."""
+    for name in list(_kept):
+        if name != operator:
+            del _kept[name]
+    return _kept.setdefault(operator, {})
+
+
 def small(written: DataFrame, rows: int = 400_000) -> DataFrame:
     """A written table, marked for broadcast if it has ``rows`` rows at most; else as it is, for a join by shuffle."""
     return F.broadcast(written) if written.limit(rows + 1).count() <= rows else written

@@ -42,7 +42,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, worker_cache
 from .simhash import components, digests, links, majority
 
 #: Least bits of a bitmap of parities; members that a list may have; the rank of shingles that more hold.
@@ -105,6 +105,7 @@ def _sketches(rows: DataFrame, size: int, id_col: str, text_col: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        worker_cache("near_copies")
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 b = batch.slice(k, ROWS)
@@ -402,10 +403,11 @@ def _verified(near: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str,
         at, own = None, np.empty(0, np.uint64)
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for a, salt, member, b, s in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(batch.num_rows):
+                a, salt, member, b = (batch.column(c)[k].as_py() for c in range(4))
                 if not member:
-                    at, own = (a, salt), np.frombuffer(s, np.uint64)
-                elif at == (a, salt) and alike(own, np.frombuffer(s, np.uint64)):
+                    at, own = (a, salt), np.frombuffer(batch.column(4)[k].as_py(), np.uint64)
+                elif at == (a, salt) and alike(own, np.frombuffer(batch.column(4)[k].as_buffer(), np.uint64)):
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 

@@ -19,7 +19,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WORD, texts
+from .common import WORD, texts, worker_cache
 from .unigram import SPACE, Vocabulary, vocabulary
 
 WORDS = re.compile(WORD)
@@ -118,15 +118,15 @@ class TokenCounter:
         return out
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of each document. Nothing is shuffled."""
     t = texts(docs)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = _counters.setdefault(vocabulary_path, TokenCounter(vocabulary(vocabulary_path)))
+        own = worker_cache("token_counts")
+        if vocabulary_path not in own:
+            own[vocabulary_path] = TokenCounter(vocabulary(vocabulary_path))
+        c = own[vocabulary_path]
         for b in batches:
             for k in range(0, b.num_rows, 2000):
                 rows = b.slice(k, 2000)

@@ -15,6 +15,8 @@ import re
 import sys
 from collections.abc import Iterable
 
+from .common import worker_cache
+
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Python's split() takes these for white space as well; the library does not.
 SEPARATORS = re.compile(r"[\x1c-\x1f]")
@@ -30,8 +32,6 @@ AT_ONCE = 500_000
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_NAMES = {b: chr(b) for b in _OWN} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in _OWN)}
 
-_encoders: dict[str, ChunkEncoder] = {}
-
 
 class ChunkEncoder:
     """Encodes texts to bytes of little-endian unsigned 32-bit ids.
@@ -167,6 +167,7 @@ def as_bytes(ids: list[int]) -> bytes:
 
 def encoder(path: str) -> ChunkEncoder:
     """One for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    own = worker_cache("word_bpe")
+    if path not in own:
+        own[path] = ChunkEncoder(path)
+    return own[path]
