@@ -238,7 +238,7 @@ def score(docs: DataFrame, vocabulary_path: str, prior: float = 1.0, rounds: int
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, set[bytes]] = {}
         for b in batches:
-            for block, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for block, text in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
                 sets.setdefault(block, set()).update(words_of(text))
         for block, some in sets.items():
             lot = list(some)
@@ -246,30 +246,34 @@ def score(docs: DataFrame, vocabulary_path: str, prior: float = 1.0, rounds: int
                 part = lot[k : k + ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), _strings(part)], names=["block", "word"])
 
-    asks = blocked.select("block", "text").mapInArrow(asked, "block int, word binary")
+    # All columns are asked for, as the scoring does: so texts are shuffled once for both.
+    asks = blocked.mapInArrow(asked, "block int, word binary")
     answers = asks.join(scored, "word").select("block", "word", "c", "lp")
     end_base = math.log10((ends + 1) / (n + v + 1))
     denominator = math.log10(n + v + 1)
     ten = math.log(10)
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("word").to_pylist(), zip(right.column("c").to_pylist(), right.column("lp").to_pylist())))
-        rows: list[tuple] = []
-        for text in left.column("text").to_pylist():
-            got = [known[w] for w in words_of(text)]
-            base = math.fsum([math.log10(c + 1) for c, _ in got]) - len(got) * denominator + end_base
-            lp = (math.fsum([x for _, x in got]) + end) / ten
-            rows.append((len(got) + 1, sum([c > 0 for c, _ in got]) + (ends > 0), base, lp))
-        cols = list(zip(*rows)) or [(), (), (), ()]
+        place = dict(zip(right.column("word").to_pylist(), range(right.num_rows))).__getitem__
+        c = right.column("c").to_numpy()
+        # Of each word: the logarithm of its count and one, whether it is known, its marginal.
+        log_c, known, lp = np.log10(c + 1.0), c > 0, right.column("lp").to_numpy()
+        sizes = np.zeros(left.num_rows, np.int64)
+        sums = np.zeros((left.num_rows, 3))
+        for k, text in enumerate(left.column("text").to_pylist()):
+            words = words_of(text)
+            at = np.fromiter(map(place, words), np.intp, len(words))
+            sizes[k] = len(at)
+            sums[k] = log_c[at].sum(), known[at].sum(), lp[at].sum()
         return pa.table(
             {
                 "doc_id": left.column("doc_id"),
                 "held_out": left.column("held"),
-                "n_tokens": pa.array(cols[0], pa.int64()),
-                "n_known": pa.array(cols[1], pa.int64()),
-                "train_tokens": pa.array([n] * len(rows), pa.int64()),
-                "base_score": pa.array(cols[2], pa.float64()),
-                "score": pa.array(cols[3], pa.float64()),
+                "n_tokens": pa.array(sizes + 1),
+                "n_known": pa.array(sums[:, 1].astype(np.int64) + (ends > 0)),
+                "train_tokens": pa.array(np.full(left.num_rows, n, np.int64)),
+                "base_score": pa.array(sums[:, 0] - sizes * denominator + end_base),
+                "score": pa.array((sums[:, 2] + end) / ten),
             }
         )
 

@@ -335,6 +335,31 @@ def test_scores(spark, docs, odd, empty):
     assert lm_score.score(odd, path).count() == 7 and lm_score.score(empty, path).count() == 0
 
 
+def test_scores_against_all_segmentations(spark):
+    """The fitted model, worked out from every segmentation of every word of a small corpus."""
+    path = P.path("piece_bpe_32k.model")
+    v = unigram.vocabulary(path)
+    texts = ["the thin hat", "that at the the", "Hat, or hut? é", "\u07f7 nothing", "", "at that hut", "thin thin the", "or at", "hut or hat"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    words = {i: lm_score.words_of(t) for i, t in enumerate(texts)}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in words}
+    assert any(held.values())
+    ends = sum(not h for h in held.values())
+    n = np.zeros(v.size)
+    n[v.kept] = np.exp(np.array(v.log_p)[v.kept]) * len(v.kept)
+    for i, ws in words.items():
+        for w in ws if not held[i] else []:
+            cuts = list(segmentations(v, "▁" + w.decode()))
+            p = [math.exp(sum(v.log_p[k] for k in c)) for c in cuts]
+            for c, q in zip(cuts, p):
+                for k in c:
+                    n[k] += q / sum(p)
+    total = n.sum() + ends
+    marginal = lambda w: sum(math.prod(n[k] / total for k in c) for c in segmentations(v, "▁" + w))
+    got = {r["doc_id"]: r["score"] for r in lm_score.score(df, path).collect()}
+    assert got == pytest.approx({i: sum(math.log10(marginal(w.decode())) for w in ws) + math.log10(ends / total) for i, ws in words.items()})
+
+
 def test_token_counts_are_the_best_segmentations(spark, docs, empty):
     path = P.path("piece_bpe_32k.model")
     v = unigram.vocabulary(path)
@@ -346,9 +371,27 @@ def test_token_counts_are_the_best_segmentations(spark, docs, empty):
     trie.insert("the")
     assert len(trie.best) == nodes
     got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in token_counts.token_counts(docs, path).collect()}
+
+    def plain(word):
+        """The fewest tokens of a best segmentation, by a table of ends."""
+        s = "▁" + word
+        best = [(0.0, 0)] + [(math.inf, 0)] * len(s)
+        for i in range(1, len(s) + 1):
+            steps = [(j, v.log_p[v.index[s[j:i]]], 1) for j in range(max(0, i - v.longest), i) if s[j:i] in v.index]
+            if s[i - 1] not in v.index:
+                raw = s[i - 1].encode()
+                steps.append((i - 1, sum(v.log_p[v.bytes[b]] for b in raw), len(raw)))
+            costs = [(best[j][0] - x, best[j][1] + k) for j, x, k in steps]
+            low = min(c for c, _ in costs)
+            best[i] = min((c, k) for c, k in costs if c <= low + 1e-9)
+        return best[-1][1]
+
     for i, t in awkward():
         ws = WORD.findall(t or "")
-        assert got[i] == (len(ws), sum(token_counts.CountTrie(v).insert(w) for w in ws))
+        if len(t or "") < 20_000:
+            assert got[i] == (len(ws), sum(map(plain, ws)))
+    odd_rows = spark.createDataFrame([(None, "two words"), (None, None), (5, "two words"), (5, "two words")], "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in token_counts.token_counts(odd_rows, path).collect()) == sorted(str((i, *((2, 2 * 1) if t else (0, 0)))) for i, t in [(None, 1), (None, 0), (5, 1), (5, 1)])
     assert token_counts.token_counts(empty, path).count() == 0
 
 
