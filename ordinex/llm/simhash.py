@@ -1,13 +1,13 @@
 """SimHash near-duplicates by an inverted index of byte positions with count filtering.
 
 Two fingerprints of eight bytes that differ in at most ``k`` = 3 bits share at least
-8 - 3 = 5 bytes at their positions. Lists of single positional bytes hold a 256th of all
-fingerprints each, and tallying pairs over them grows with the square of the corpus,
-so the index's terms are the guaranteed minimum itself: each choice of five
-positions with their bytes (56 to a fingerprint). Every pair that reaches the minimum
-meets under a term; there its shared positional bytes are tallied, pairs below the
+8 - 3 = 5 bytes at their positions, the guaranteed minimum. Lists of single positional
+bytes hold a 256th of all fingerprints each, and tallying pairs over them grows with the
+square of the corpus, so a term of the index is a choice of four positions with their
+bytes (70 to a fingerprint), one fewer than the minimum: every pair that reaches it
+meets under a term. There the shared positional bytes of pairs are tallied, pairs below the
 minimum dropped, and the others verified by their differing bits. Other ``k`` up to 7
-work alike, with 8 - k positions in a term.
+work alike, with 7 - k positions in a term (one for the last two).
 
 Equal fingerprints are one node, so copies add nothing. A list is searched breadth
 first: what is linked leaves the members yet to be reached, so a dense group is left
@@ -97,6 +97,13 @@ def linked(values: np.ndarray, k: int = BITS) -> list[tuple[int, int]]:
     return _searched(values, k) if n <= SEARCHED or n < 2 * lookups else _looked_up(values, k, bits)
 
 
+def _near(diff: np.ndarray, k: int) -> np.ndarray:
+    """Shared positional bytes are tallied first; then the bits of those that have enough are verified."""
+    near = (np.ascontiguousarray(diff).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - k
+    near[near] = np.bitwise_count(diff[near]) <= k
+    return near
+
+
 def _searched(values: np.ndarray, k: int) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     rest = np.arange(len(values))
@@ -104,10 +111,7 @@ def _searched(values: np.ndarray, k: int) -> list[tuple[int, int]]:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            diff = values[rest] ^ values[x]
-            # Tally shared positional bytes first, then verify the bits of those that have enough.
-            near = (diff.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) >= 8 - k
-            near[near] = np.bitwise_count(diff[near]) <= k
+            near = _near(values[rest] ^ values[x], k)
             hits = rest[near]
             out += [(int(x), int(h)) for h in hits]
             queue.extend(hits)
@@ -140,7 +144,7 @@ def links(nodes: DataFrame, k: int = BITS) -> DataFrame:
     """``(a, b)`` that span all links between distinct fingerprints ``fp`` of ``nodes``."""
     if not 0 < k < 8:
         raise ValueError("k from 1 to 7: a pair must share a byte")
-    masks = [sum(0xFF << _byte(p) for p in t) for t in combinations(range(8), 8 - k)]
+    masks = [sum(0xFF << _byte(p) for p in t) for t in combinations(range(8), max(1, 7 - k))]
     signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")) for m in masks])).alias("term", "part"))
     lists = keyed.repartition("term", "part").sortWithinPartitions("term", "part")
@@ -156,7 +160,7 @@ def links(nodes: DataFrame, k: int = BITS) -> DataFrame:
             # Lists of two, most of all that aren't single, are told at once.
             two = new[sizes == 2]
             x, y = fp[two], fp[two + 1]
-            near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= k
+            near = _near(x.view(np.uint64) ^ y.view(np.uint64), k)
             a.append(x[near])
             b.append(y[near])
             for s, n in zip(new[sizes > 2], sizes[sizes > 2]):
