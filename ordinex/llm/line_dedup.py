@@ -11,8 +11,9 @@ ids, the keeper of a fresh key is the largest id that holds it.
 
 Defined results: a null or empty text is one empty line; a null id ranks below all
 ids and counts as one id; rows that repeat an id count as one document towards
-``min_docs``, and all rows of the keeping id keep their lines; an empty table gives
-an empty result; columns other than id and text are not looked at.
+``min_docs``, and all rows of the keeping id keep their lines; ids may be of any type
+that has an order; an empty table gives an empty result; columns other than id and
+text are not looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACES, lower_ascii, materialize, texts, wide_hash
 
@@ -83,6 +85,34 @@ class LineRuns:
         return self._merged(self.runs()) if self.runs() else None
 
 
+def _edges(lines: DataFrame, batches: int) -> set:
+    """Ids that cut ``lines`` into about equal ranges; of ids that aren't numbers, one drawn by hash cuts them."""
+    if batches < 2:
+        return set()
+    kind = lines.schema["doc_id"].dataType
+    if isinstance(kind, T.NumericType):
+        cuts = lines.select(F.percentile_approx(F.col("doc_id"), [i / batches for i in range(1, batches)], 1000)).first()[0]
+        return set(cuts or [])
+    # Any cuts do: batches only have to descend.
+    return {lines.select(F.min_by("doc_id", F.xxhash64("doc_id"))).first()[0]} - {None}
+
+
+#: Beyond so many keys to drop from a text, they are looked up in as many parts.
+PARTS = 64
+
+
+def _without(lines: Column, drops: Column, min_chars: int) -> Column:
+    """The lines whose key is none of ``drops``. Many drops are dealt to parts by their hash, so a line meets a few of them."""
+    some = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(drops, _hashed(x, min_chars)), F.lit(False)))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda p: F.filter(drops, lambda d: F.pmod(d["h1"], F.lit(PARTS)) == p))
+    many = F.transform(F.array(parts), lambda p: F.filter(lines, lambda x: ~F.coalesce(_in_part(p, _hashed(x, min_chars)), F.lit(False))))
+    return F.when(F.size(drops) <= PARTS, some).otherwise(F.get(many, F.lit(0)))
+
+
+def _in_part(parts: Column, key: Column) -> Column:
+    return F.array_contains(F.get(parts, F.pmod(key["h1"], F.lit(PARTS)).cast("int")), key)
+
+
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 3, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, the text without its repeated lines, and
     ``ox_n_lines``, ``ox_n_dropped``.
@@ -94,12 +124,11 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     """
     spark = docs.sparkSession
     t = texts(docs, id_col, text_col)
-    keys = F.array_distinct(F.filter(F.transform(split_lines(F.col("text")), lambda x: _hashed(x, min_chars)), lambda x: x.isNotNull()))
+    keys = F.filter(F.transform(split_lines(F.col("text")), lambda x: _hashed(x, min_chars)), lambda x: x.isNotNull())
     lines = materialize(t.select("doc_id", F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2").distinct(), "line-hashes")
     store = LineRuns(spark, fanout)
     # Descending ranges of ids; a null id, and all rows of one id, are in one batch.
-    cuts = lines.select(F.percentile_approx(F.col("doc_id"), [i / batches for i in range(batches - 1, 0, -1)], 1000)).first()[0] if batches > 1 else []
-    edges = sorted({c for c in cuts or []}, reverse=True)
+    edges = sorted(_edges(lines, batches), reverse=True)
     for k in range(len(edges) + 1):
         c = F.col("doc_id")
         low = F.lit(True) if k == len(edges) else c > F.lit(edges[k])
@@ -111,9 +140,8 @@ def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches:
     drops = hits.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("ox_drops")).select(F.col("doc_id").alias("ox_drop_id"), "ox_drops")
     joined = docs.join(drops, docs[id_col].eqNullSafe(drops["ox_drop_id"]), "left")
     split = split_lines(F.coalesce(docs[text_col], F.lit("")))
-    left = F.filter(split, lambda x: ~F.coalesce(F.array_contains(F.col("ox_drops"), _hashed(x, min_chars)), F.lit(False)))
     lines_in = F.size(split)
-    kept = F.when(F.col("ox_drops").isNull(), split).otherwise(left)
+    kept = F.when(F.col("ox_drops").isNull(), split).otherwise(_without(split, F.col("ox_drops"), min_chars))
     out = joined.withColumn("ox_kept", kept)
     rest = [F.array_join(F.col("ox_kept"), "\n").alias(text_col) if c == text_col else docs[c] for c in docs.columns]
     return out.select(*rest, lines_in.cast("long").alias("ox_n_lines"), (lines_in - F.size("ox_kept")).cast("long").alias("ox_n_dropped"))
