@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import hex64, materialize, texts, wide_hash
 
@@ -87,14 +88,18 @@ def with_next(docs: DataFrame, rows_per_range: int = 1000) -> DataFrame:
     t = texts(docs)
     spark = docs.sparkSession
     parts = max(1, min(MAX_RANGES, t.count() // rows_per_range))
-    cuts = t.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
+    kind = t.schema["doc_id"].dataType
+    if isinstance(kind, T.NumericType):
+        cuts = t.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
+    else:  # other ids are cut at some of themselves, those of the least hashes
+        cuts = [r[0] for r in t.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id")).limit(parts - 1).collect()] if parts > 1 else []
     b = t.withColumn("range", _below(F.col("doc_id"), sorted(set(cuts or []))))
     # Of each range, the id that comes first in descending order: a row for each range.
     tops = b.groupBy("range").agg(F.max("doc_id").alias("top")).orderBy(F.desc("range")).collect()
     if not tops:
         return t.select("doc_id", "text", F.col("text").alias("next_text"))
     before = [(r["range"], r["top"], tops[k - 1]["range"]) for k, r in enumerate(tops)]
-    heads = spark.createDataFrame(before, "range int, top bigint, before int")
+    heads = spark.createDataFrame(before, T.StructType([T.StructField("range", T.IntegerType()), T.StructField("top", kind), T.StructField("before", T.IntegerType())]))
     # The first row of a range among equal ids: the least text.
     firsts = b.join(F.broadcast(heads), "range").filter(F.col("doc_id").eqNullSafe(F.col("top")))
     ghosts = firsts.groupBy("before").agg(F.min("text").alias("text")).select(F.lit(None).cast(t.schema["doc_id"].dataType).alias("doc_id"), "text", F.col("before").alias("range"), F.lit(1).alias("ghost"))
@@ -117,7 +122,9 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     replaced by the start of the next document) and likeness to the next document.
 
     Buckets of documents are resolved by their bytes among all documents. An edited
-    text is compared with its own document byte by byte in the row that holds both.
+    text is compared byte by byte with its own document, in the row that holds both: that is
+    the likeness asked for. It is not held against other documents' edited texts, so equal
+    fingerprints of two edited texts say that 128 bits are equal.
     """
     named = texts(docs).withColumn("canon", canonical(F.col("text"))).select(digest(F.col("canon")).alias("digest"), "canon")
     collided = materialize(collisions(named), "collisions")
