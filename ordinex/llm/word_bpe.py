@@ -4,7 +4,8 @@ The library's pre-tokenizer never lets a token cross white space, and its normal
 (canonical composition, case) never looks across ASCII white space. So a text's ids
 are those of its white-space-free chunks, one after another, and each distinct chunk
 needs the library but once. Letters followed by punctuation are two pre-tokens, so
-such a chunk's ids are those of its two parts.
+such a chunk's ids are those of its two parts. Settings are the library's own: the string
+of an added token in a text is that token.
 """
 
 from __future__ import annotations
@@ -46,10 +47,21 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The library takes an added token's string in a text for that token; a chunk that holds one goes to it as it stands.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def chunks(self, text: str) -> list[str]:
+        """The white-space-free chunks, in lower case where that is all the library would do to a letter, and where it makes no
+        added token's string of another one's."""
+        if text.isascii() or not BEYOND_LATIN.search(text):
+            low = text.lower()
+            if self.added is None or not self.added.search(low):
+                text = low
+        return CHUNK.findall(text) if SEPARATORS.search(text) else text.split()
+
     def _library(self, chunks: Iterable[str], into: dict[str, bytes]) -> None:
         """Ask the library. For plain lower-case Latin letters, normalizer and pre-tokenizer
         change nothing but the bytes' names, so its model is asked directly."""
@@ -119,7 +131,7 @@ class ChunkEncoder:
             missing.clear()
 
         for t in texts:
-            chunks = chunks_of(t or "")
+            chunks = self.chunks(t or "")
             ids = list(map(self.young.get, chunks))
             places = nones(ids)
             if places:
@@ -152,12 +164,6 @@ def _stay_letters(core: str) -> bool:
     return core.isalpha() and (core.isascii() or not BEYOND_LATIN.search(core) and core.lower().isalpha())
 
 
-def chunks_of(text: str) -> list[str]:
-    if text.isascii() or not BEYOND_LATIN.search(text):
-        text = text.lower()
-    return CHUNK.findall(text) if SEPARATORS.search(text) else text.split()
-
-
 def as_bytes(ids: list[int]) -> bytes:
     a = array.array("I", ids)
     if sys.byteorder == "big":

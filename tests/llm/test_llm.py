@@ -15,6 +15,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ordinex.llm import byte_bpe, fingerprint, line_dedup, lm_score, near_copies, packing, quality, simhash, token_counts, token_files, unigram, url_filter, word_bpe
 from ordinex.llm.queries import ORACLES, QUERIES, URL_RULES
@@ -82,6 +83,17 @@ def test_line_dedup(spark, docs, batches):
     assert got[19]["ox_n_dropped"] == 0 and got[18]["ox_n_dropped"] == 1
 
 
+def test_line_dedup_of_many_and_repeated_lines(spark):
+    """Time in proportion to lines, also where most are dropped or repeated."""
+    many = [LINE % k for k in range(3000)]
+    rows = [(i, "\n".join(many[: 3000 - 100 * i] + [LINE % 5000] * 2000)) for i in range(6)]
+    for ids in (lambda i: i, lambda i: f"id{i}"):
+        df = spark.createDataFrame([(ids(i), t) for i, t in rows])
+        got = {r["_1"]: r["_2"] for r in line_dedup.drop_lines(df, id_col="_1", text_col="_2").collect()}
+        want = deduped(rows)
+        assert got == {ids(i): t for i, t in want.items()}
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     assert line_dedup.drop_lines(odd, min_docs=2).count() == 7
     assert line_dedup.drop_lines(empty).count() == 0
@@ -132,7 +144,7 @@ def test_least_squares_against_a_grid():
 
 def test_packed_documents(docs, odd, empty):
     path = P.path("word_bpe_49k.json")
-    enc = word_bpe.ChunkEncoder(path).tokenizer
+    enc = Tokenizer.from_file(path)
     rows = packing.pack_documents(docs, path, 512).collect()
     want = {}
     for i, t in awkward():
@@ -311,6 +323,17 @@ def test_lattice_sums_all_segmentations():
     assert sum(math.exp(v.log_p[k]) for k in v.kept) == pytest.approx(1)
 
 
+def test_operators_take_odd_rows(spark, odd, empty):
+    """Null and repeated ids, repeated rows, empty tables, where no other test holds them."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(odd, path, P.PATTERN)
+    assert sorted(bytes(r["decoded"]).decode() for r in byte_bpe.decode(ids, path, P.PATTERN).collect()) == sorted(r["text"] or "" for r in odd.collect())
+    assert byte_bpe.encode(empty, path, P.PATTERN).count() == 0 and quality.judged(odd).count() == 7
+    pages = spark.createDataFrame([(None, "http://a.net/de/1"), (1, None), (1, "http://a.net/de/1"), (1, "http://a.net/de/1"), (2, "h" * 50_000)], "page_id long, url string")
+    got = url_filter.judge(pages, URL_RULES).collect()
+    assert sorted((r["page_id"] or 0, r["rule"]) for r in got if r["rule"]) == [(0, "net/de/"), (1, "net/de/"), (1, "net/de/")] and len(got) == 5
+
+
 def test_scores(spark, docs, odd, empty):
     path = P.path("piece_bpe_32k.model")
     for df, rows in ((docs, awkward()), (spark.read.parquet(f"{SF}/documents.parquet"), whole(spark))):
@@ -429,9 +452,11 @@ def test_unequal_bytes_in_a_bucket_get_ordinals(spark):
     assert {r["f"] for r in fingerprint.resolved(df, "digest", "canon", "f", c).collect()} == {"d", "d-1", "e"}
 
 
-def test_next_documents_over_many_ranges(spark):
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_next_documents_over_many_ranges(spark, kind):
     ids = random.Random(2).sample(range(10**6), 500)
-    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    ids = ids if kind == "long" else [f"d{i}" for i in ids]
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], f"doc_id {kind}, text string")
     got = {r["text"]: r["next_text"] for r in fingerprint.with_next(df, rows_per_range=7).collect()}
     ids.sort(reverse=True)
     assert got == {f"t{a}": f"t{b}" for a, b in zip(ids, [*ids[1:], ids[0]])}
@@ -472,7 +497,7 @@ def test_trees_learn(spark):
 
 def test_token_files(spark, docs, odd, empty, tmp_path):
     path = P.path("word_bpe_49k.json")
-    tok = word_bpe.ChunkEncoder(path).tokenizer
+    tok = Tokenizer.from_file(path)
     out = str(tmp_path / "t")
     token_files.write_tokens(docs, out, path)
     got = {r["doc_id"]: r for r in token_files.checksums(token_files.read_tokens(spark, out)).collect()}
@@ -490,11 +515,13 @@ def test_token_files(spark, docs, odd, empty, tmp_path):
 
 
 def test_word_ids_equal_the_library(spark):
-    e = word_bpe.ChunkEncoder(P.path("word_bpe_49k.json"))
+    e, library = word_bpe.ChunkEncoder(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
     rnd = random.Random(8)
     texts = [t or "" for _, t in awkward() + whole(spark)] + ["".join(rnd.choice("aB'sé́İ.,1 \n\x1d\x85ʒ*") for _ in range(60)) for _ in range(300)]
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|>", " ", "a", "É", "ß,", "日本", "\n", "İ", "x."]
+    texts += ["".join(rnd.choice(pieces) for _ in range(12)) for _ in range(600)]
     for t, ids in zip(texts, e.encode_all(texts)):
-        assert ids == word_bpe.as_bytes(e.tokenizer.encode(t, add_special_tokens=False).ids)
+        assert ids == word_bpe.as_bytes(library.encode(t, add_special_tokens=False).ids)
 
 
 # Queries and the pipeline
