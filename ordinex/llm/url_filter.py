@@ -3,9 +3,11 @@
 Rules judge the urls they fit, and those urls with the rules' verdicts are the labelled
 urls that the trees learn from: length, depth, digit ratio, entropy, counts of
 parameters, and statistics of the host's suffix (its last label) over all labelled
-urls. Trees are fitted on a bounded sample of labelled urls, chosen by hash
-(``sample`` rows, a parameter); suffix statistics are taken from all of them, by an
-aggregation and a join; every url is judged.
+urls. A labelled url's own statistics are those of the other folds of urls, so the trees
+don't read its label; equal urls are in one fold. Trees are fitted on a bounded sample of
+labelled urls, chosen by hash (``sample`` rows, a parameter), of which numbers alone go to
+the driver; suffix statistics are taken from all of them; every url is judged where
+it lies.
 
 Defined results: a null url or one without ``://`` has empty host and path and fits no
 rule; ties of rules of equal length go to the alphabetically first; repeated rows are
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialize, small
 
 #: Verdict, host, path.
 Rule = tuple[str, str, str]
 SAMPLE, TREES, DEPTH, RATE, BINS, LEAST = 20_000, 60, 3, 0.2, 64, 20
 #: Pseudo-counts of the suffix statistics.
 SMOOTH = 2.0
+#: Folds of urls.
+FOLDS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -144,37 +148,69 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return Trees(start, np.array(features), np.array(thresholds), np.array(values))
 
 
-def judge(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """``page_id, host, path, rule, verdict, blocked_score`` of every url."""
+def _features(pages: DataFrame, rules: list[Rule], id_col: str, url_col: str) -> DataFrame:
+    """Of every url: ``page_id, host, path, rule, ruled, suffix, fold, o`` (its place in the draw) and the features of the url alone, written."""
     a = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     a = a.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    a = a.withColumns({"rule": rule, "ruled": verdict, "suffix": suffix_of(F.col("host"))})
-    labelled = a.filter(F.col("rule").isNotNull())
-    overall = labelled.agg(F.avg((F.col("ruled") == "block").cast("double"))).first()[0]
-    overall = 0.0 if overall is None else overall
-    suffixes = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("s_n"), F.sum((F.col("ruled") == "block").cast("long")).alias("s_block"))
-    b = a.join(suffixes, "suffix", "left").select(
-        "page_id",
-        "url",
-        "host",
-        "path",
-        "rule",
-        "ruled",
-        ((F.coalesce("s_block", F.lit(0)) + SMOOTH * overall) / (F.coalesce("s_n", F.lit(0)) + SMOOTH)).alias("rate"),
-        F.log1p(F.coalesce("s_n", F.lit(0))).alias("n"),
-    )
-    drawn = b.filter(F.col("rule").isNotNull()).select("url", "host", "path", "rate", "n", "ruled", F.xxhash64("page_id", "url").alias("o")).orderBy("o", "url").limit(sample).collect()
-    x = np.array([[*lexical(r["url"], r["host"], r["path"]), r["rate"], r["n"]] for r in drawn]).reshape(-1, len(FEATURES))
-    trees = fit_trees(x, np.array([float(r["ruled"] == "block") for r in drawn]))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).cast("int")
+    a = a.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), suffix_of(F.col("host")).alias("suffix"), fold.alias("fold"), F.xxhash64("page_id", "url").alias("o"), "url")
+    kind = a.schema["page_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [lexical(u or "", h, p) for u, h, p in zip(*(b.column(k).to_pylist() for k in ("url", "host", "path")))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:8], pa.array(x, pa.list_(pa.float64()))], names=[*b.schema.names[:8], "x"])
+
+    return materialize(a.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, ruled string, suffix string, fold int, o long, x array<double>"), "url-features")
+
+
+def _with_suffixes(features: DataFrame, learnt: DataFrame) -> tuple[DataFrame, float]:
+    """``features`` with ``rate`` and ``n`` of their suffix over the labelled urls ``learnt``, and the share of blocked ones. Urls with a
+    label have those of the other folds. Suffixes are aggregated, and joined without moving urls where they are few."""
+    blocked = (F.col("ruled") == "block").cast("long")
+    overall = learnt.agg(F.avg(blocked.cast("double"))).first()[0] or 0.0
+    each = learnt.groupBy("suffix", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(blocked).alias("b"))
+    own = each.groupBy("suffix").agg(F.sum("n").alias("s_n"), F.sum("b").alias("s_b"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "b")))).alias("folds"))
+    own = small(materialize(own.withColumnRenamed("suffix", "of"), "url-suffixes"))
+    j = features.join(own, F.col("suffix") == F.col("of"), "left")
+    fold = F.when(F.col("rule").isNotNull(), F.element_at("folds", F.col("fold")))
+    left = lambda total, part: (F.coalesce(F.col(total), F.lit(0)) - F.coalesce(fold[part], F.lit(0))).cast("double")
+    n, b = left("s_n", "n"), left("s_b", "b")
+    return j.select(*features.columns, ((b + SMOOTH * overall) / (n + SMOOTH)).alias("rate"), F.log1p(n).alias("n")), overall
+
+
+def _drawn(labelled: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the first ``sample`` rows by hash: numbers alone."""
+    rows = labelled.select(F.concat("x", F.array("rate", "n")).alias("x"), (F.col("ruled") == "block").cast("double").alias("y"), "o").orderBy("o", "x").limit(sample).collect()
+    return np.array([r["x"] for r in rows]).reshape(-1, len(FEATURES)), np.array([r["y"] for r in rows])
+
+
+def judge(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """``page_id, host, path, rule, verdict, blocked_score`` of every url."""
+    features = _features(pages, rules, id_col, url_col)
+    b, _ = _with_suffixes(features, features.filter(F.col("rule").isNotNull()))
+    trees = fit_trees(*_drawn(b.filter(F.col("rule").isNotNull()), sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            page, url, host, path, rule, ruled, rate, n = r.columns
-            x = np.array([lexical(u or "", h, p) for u, h, p in zip(url.to_pylist(), host.to_pylist(), path.to_pylist())]).reshape(-1, len(FEATURES) - 2)
-            s = trees.decision(np.column_stack([x, rate.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False)]))
+            page, host, path, rule, ruled, x, rate, n = r.columns
+            own = np.array(x.to_pylist()).reshape(-1, len(FEATURES) - 2)
+            s = trees.decision(np.column_stack([own, rate.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False)]))
             verdict = [v if v is not None else ("block" if k >= 0 else "allow") for v, k in zip(ruled.to_pylist(), s)]
             yield pa.RecordBatch.from_arrays([page, host, path, rule, pa.array(verdict, pa.string()), pa.array(1 / (1 + np.exp(-s)))], names=["page_id", "host", "path", "rule", "verdict", "blocked_score"])
 
-    kind = a.schema["page_id"].dataType.simpleString()
-    return b.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, blocked_score double")
+    kind = features.schema["page_id"].dataType.simpleString()
+    return b.select("page_id", "host", "path", "rule", "ruled", "x", "rate", "n").mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, blocked_score double")
+
+
+def held_out_accuracy(pages: DataFrame, rules: list[Rule], sample: int = SAMPLE, id_col: str = "page_id", url_col: str = "url") -> tuple[float, float]:
+    """How often the trees find the label of urls of a fold that neither they nor the suffix statistics have seen, and how often the
+    commoner label is right there. For reports: the fold's numbers, ``sample`` rows at most, go to the driver."""
+    features = _features(pages, rules, id_col, url_col)
+    labelled = F.col("rule").isNotNull()
+    seen = features.filter(labelled & (F.col("fold") != 0))
+    b, _ = _with_suffixes(features, seen)
+    trees = fit_trees(*_drawn(b.filter(labelled & (F.col("fold") != 0)), sample))
+    x, y = _drawn(b.filter(labelled & (F.col("fold") == 0)), sample)
+    return float(((trees.decision(x) >= 0) == y).mean()), float(max(y.mean(), 1 - y.mean()))

@@ -492,6 +492,25 @@ def test_trees_learn(spark):
     assert ((t.decision(x[2000:]) >= 0) == y[2000:]).mean() > 0.95
 
 
+def test_trees_find_the_labels_of_unseen_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found, commoner = url_filter.held_out_accuracy(pages, URL_RULES)
+    assert found > commoner + 0.05 and found > 0.8
+
+
+def test_a_label_is_no_part_of_its_own_statistics(spark):
+    urls = ["http://a.com/en/1", "http://b.com/en/2", "http://example.com/en/7", "http://x.zz/"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls * 2)], "page_id long, url string")
+    f = url_filter._features(pages, URL_RULES, "page_id", "url")
+    b, overall = url_filter._with_suffixes(f, f.filter("rule IS NOT NULL"))
+    rows = b.collect()
+    assert overall == pytest.approx(4 / 6)
+    for r in rows:
+        rest = [q for q in rows if q["rule"] and q["suffix"] == r["suffix"] and (r["rule"] is None or q["fold"] != r["fold"])]
+        blocked = sum(q["ruled"] == "block" for q in rest)
+        assert (r["rate"], r["n"]) == (pytest.approx((blocked + 2 * overall) / (len(rest) + 2)), pytest.approx(math.log1p(len(rest))))
+
+
 # 10. Token files
 
 
