@@ -32,7 +32,7 @@ the text); rows that repeat an id are told apart by their place. An empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain
 
@@ -269,9 +269,9 @@ def _shared(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([b.column(1), b.column(0), pa.array(np.full(b.num_rows, LAST))], names=["h", "node", "df"])
 
 
-def _gathered(entries: DataFrame, hot: int) -> DataFrame:
-    """Entries (h, node, at) by shingle, in order, what is frequent by node behind them."""
-    return entries.mapInArrow(lambda b: _parts(b, hot), "k long, v long, at long, frequent byte").repartition("k").sortWithinPartitions("frequent", "k", "v")
+def _gathered(rows: DataFrame, entries: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], hot: int) -> DataFrame:
+    """The ``entries`` (h, node, at) of rows by shingle, in order, what is frequent by node behind them. One worker makes and parts them."""
+    return rows.mapInArrow(lambda b: _parts(entries(b), hot), "k long, v long, at long, frequent byte").repartition("k").sortWithinPartitions("frequent", "k", "v")
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +295,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lists(sketches: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str, size: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
     """The lists (h, node, pivot) of up to ``hot`` members, and those of the second index, of any length; two nodes of
     the similarity have one in common. None: no shingle is as frequent."""
-    found = materialize(_gathered(sketches.select("node", "n", "prefix").mapInArrow(_heads, "h long, node long, at long"), hot).mapInArrow(lambda b: _short(b, hot), "h long, node long, pivot long, at long"), "near-lists")
+    found = materialize(_gathered(sketches.select("node", "n", "prefix"), _heads, hot).mapInArrow(lambda b: _short(b, hot), "h long, node long, pivot long, at long"), "near-lists")
     short, busy = found.filter("h IS NOT NULL"), found.filter("h IS NULL").select("node")
     if not busy.limit(1).count():
         return short, None
@@ -308,7 +308,7 @@ def _lists(sketches: DataFrame, nodes: DataFrame, rows: DataFrame, text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), node)), pa.array(np.zeros(len(own), np.int64))], names=["h", "node", "at"])
 
     whole = _texts(rows, text_col).join(small(busy.drop("n")), ["ox_file", "ox_pos"]).select("node", "text")
-    counted = _gathered(whole.mapInArrow(emit, "h long, node long, at long"), hot).mapInArrow(lambda b: _shared(b, hot), "h long, node long, df long")
+    counted = _gathered(whole, emit, hot).mapInArrow(lambda b: _shared(b, hot), "h long, node long, df long")
     ranked = counted.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("s"))
     # The prefix, without the shingles that no other of these sets holds: these come first.
     length = F.floor(F.col("n") / 5).cast("int") + 1 - (F.col("n") - F.size("s"))

@@ -671,7 +671,7 @@ def test_frequent_shingles_are_told_apart(spark):
     df = spark.createDataFrame([(*x, 0) for x in held], "h long, node long, at long").repartition(4)
     n = Counter(h for h, _ in held)
     for hot in (20, 64, 5000):
-        counted = near_copies._gathered(df, hot).mapInArrow(lambda b, hot=hot: near_copies._shared(b, hot), "h long, node long, df long")
+        counted = near_copies._gathered(df, lambda b: b, hot).mapInArrow(lambda b, hot=hot: near_copies._shared(b, hot), "h long, node long, df long")
         got = {(r["h"], r["node"]): r["df"] for r in counted.collect()}
         assert got == {(h, x): n[h] if n[h] <= hot else near_copies.LAST for h, x in held if n[h] > 1}
 
