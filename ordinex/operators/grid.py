@@ -31,45 +31,47 @@ def _of_length(values: list, length: Column, cut: Column) -> Column:
 
 
 def replay(pairs: DataFrame, tracked: list[int], exposed: list[int], match: list[float], birth: list[float], duplicate: float = 0.7, keys: tuple[str, ...] = ("ref_id", "r")) -> DataFrame:
-    """``keys``, the setting's columns and ``setting_index``, and the outcome under each setting: ``eligible, coverage,
-    rank_stable, stable, failure`` (null where not eligible), and ``exposed``, the exposed candidates at the largest count."""
-    a = pairs.withColumn("all_tracked", spatially_distinct(F.col("clean_candidates"), max(tracked), duplicate))
+    """``keys``, the setting's columns and ``setting_index``, and the outcome under each setting: ``eligible, coverage, rank_stable,
+    stable, failure`` (null where not eligible), ``exposed``, the exposed candidates at the largest count, and ``weight``, a probe's share
+    of its sample: all keys but the last name a sample."""
+    each = pairs.groupBy(*keys[:-1]).agg((1 / F.count(F.lit(1))).alias("weight"))
+    a = pairs.join(each, list(keys[:-1])).withColumn("all_tracked", spatially_distinct(F.col("clean_candidates"), max(tracked), duplicate))
     a = a.withColumn("all_exposed", spatially_distinct(F.col("perturbed_candidates"), max(exposed), duplicate))
     a = a.withColumn("n_t", F.size("all_tracked")).withColumn("n_e", F.size("all_exposed"))
     a = a.withColumn("lt", _each(tracked, F.col("n_t"))).withColumn("le", _each(exposed, F.col("n_e")))
     a = a.withColumn("tracked", F.slice("all_tracked", F.lit(1), F.col("lt"))).withColumn("exposed", F.slice("all_exposed", F.lit(1), F.col("le")))
-    a = associated(a.select(*keys, "n_t", "n_e", "lt", "le", "tracked", "exposed"), least_match=min(match))
+    a = associated(a.select(*keys, "weight", "n_t", "n_e", "lt", "le", "tracked", "exposed"), least_match=min(match))
     thresholds = [F.struct(F.lit(i * len(birth) + j).alias("at"), F.lit(m).alias("match"), F.lit(b).alias("birth")) for i, m in enumerate(match) for j, b in enumerate(birth)]
     a = a.withColumn("s", F.explode(F.array(*thresholds)))
     o = outcome(F.col("tracked"), F.col("exposed"), F.col("assignment"), F.col("assignment_iou"), F.col("s.match"), F.col("s.birth"))
     # Generated, not projected: each of the four columns would else work the outcome out by itself.
     kept = F.struct(*[o[c].alias(c) for c in ("coverage", "rank_stable", "operational_stable", "primary_failure")])
-    a = a.select(*keys, "n_t", "n_e", "lt", "le", "s", F.explode(F.array(F.when(F.col("n_t") >= 2, kept))).alias("o"))
+    a = a.select(*keys, "weight", "n_t", "n_e", "lt", "le", "s", F.explode(F.array(F.when(F.col("n_t") >= 2, kept))).alias("o"))
     a = a.withColumn("t", _of_length(tracked, F.col("n_t"), F.col("lt"))).withColumn("e", _of_length(exposed, F.col("n_e"), F.col("le")))
     index = (F.col("t.at") * len(exposed) + F.col("e.at")) * len(thresholds) + F.col("s.at")
     eligible = (F.col("n_t") >= 2).cast("int")
     return a.select(
         *keys, index.alias("setting_index"), F.col("t.k").alias("kt"), F.col("e.k").alias("ke"), "s.match", "s.birth", eligible.alias("eligible"),
-        F.coalesce("o.coverage", F.lit(0)).alias("coverage"), "o.rank_stable", F.coalesce("o.operational_stable", F.lit(0)).alias("stable"), F.col("o.primary_failure").alias("failure"), F.col("n_e").alias("exposed"),
+        F.coalesce("o.coverage", F.lit(0)).alias("coverage"), "o.rank_stable", F.coalesce("o.operational_stable", F.lit(0)).alias("stable"), F.col("o.primary_failure").alias("failure"), F.col("n_e").alias("exposed"), "weight",
     )
 
 
-def settings(replayed: DataFrame, by: list[str] | None = None, sample: tuple[str, ...] = ("ref_id",)) -> DataFrame:
+def settings(replayed: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Each setting's table row: samples, eligibility, probes of eligible samples, coverage, conditional order, stability over all
-    and over eligible samples (means of samples' means, 0 for the ineligible), and the shares of failure classes."""
+    and over eligible samples (means of samples' means, 0 for the ineligible), and the shares of failure classes. One aggregation: a
+    sample's probes carry their shares of it."""
     by, keys = by or [], ["setting_index", *FACTORS]
-    e = F.col("eligible")
+    e, w = F.col("eligible"), F.col("weight")
     causes = [F.sum(e * (F.col("failure") == c).cast("int")).alias(c) for c in FAILURES]
-    s = replayed.groupBy(*by, *sample, *keys).agg(F.max("eligible").alias("eligible_"), F.sum("eligible").alias("probes"), F.sum(e * F.col("coverage")).alias("covered"), F.sum(e * F.col("stable")).alias("stable_"), *causes)
-    mean = F.coalesce(ratio(F.col("stable_"), F.col("probes")), F.lit(0.0))
-    g = s.groupBy(*by, *keys).agg(
-        F.count(F.lit(1)).alias("samples"), F.sum("eligible_").alias("eligible"), F.sum("probes").alias("probes"), F.sum("covered").alias("covered"), F.sum("stable_").alias("stable"), F.avg(mean).alias("theta"), F.sum(mean).alias("total"), *[F.sum(c).alias(c) for c in FAILURES]
-    )
+    g = replayed.groupBy(*by, *keys).agg(
+        F.round(F.sum(w)).cast("long").alias("samples"), F.round(F.sum(w * e)).cast("long").alias("eligible"), F.sum(e).alias("probes"), F.sum(e * F.col("coverage")).alias("covered"),
+        F.sum(e * F.col("stable")).alias("stable"), F.sum(w * e * F.col("stable")).alias("total"), *causes,
+    )
     failures = sum((F.col(c) for c in FAILURES), F.lit(0))
     return g.select(
         *by, *keys, "samples", "eligible", (F.col("eligible") / F.col("samples")).alias("eligibility"), "probes",
         F.coalesce(ratio(F.col("covered"), F.col("probes")), F.lit(0.0)).alias("coverage"), ratio(F.col("stable"), F.col("covered")).alias("conditional"),
-        "theta", F.coalesce(ratio(F.col("total"), F.col("eligible")), F.lit(0.0)).alias("eligible_theta"),
+        (F.col("total") / F.col("samples")).alias("theta"), F.coalesce(ratio(F.col("total"), F.col("eligible")), F.lit(0.0)).alias("eligible_theta"),
         *[F.coalesce(ratio(F.col(c), failures), F.lit(0.0)).alias(f"{c}_share") for c in FAILURES],
     )
 

@@ -13,6 +13,8 @@ counts, in which "none" comes last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,45 +112,61 @@ def _box(c: Column) -> Column:
     return F.when(c.isNotNull(), F.array(c["x1"], c["y1"], c["x2"], c["y2"]))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def outcome(tracked: Column, exposed: Column, assignment: Column, ious: Column, match: Column, birth: Column) -> Column:
     """The outcome of one probe as a struct; null-safe for empty exposed lists."""
     mapping = F.zip_with(assignment, ious, lambda j, x: F.when((j >= 0) & (x >= match), j))
-    places = F.sequence(F.lit(0), F.size(tracked) - 1)
-    missing = F.filter(places, lambda i: F.get(mapping, i).isNull())
-    matched = F.filter(mapping, lambda j: j.isNotNull())
-    winner = F.get(exposed, F.get(mapping, F.lit(0)))
-    everywhere = F.transform(exposed, lambda p, j: F.struct(j.cast("int").alias("j"), p.alias("p")))
-    births = F.when(
-        winner.isNotNull(),
-        F.filter(everywhere, lambda x: ~F.array_contains(matched, x["j"]) & (x["p"]["score"] >= winner["score"]) & F.forall(matched, lambda t: iou(F.get(exposed, t), x["p"]) < birth)),
-    ).otherwise(F.filter(everywhere, lambda x: F.lit(False)))
-    scores = F.transform(mapping, lambda j: F.get(exposed, j)["score"])
-    covered = (F.size(missing) == 0) & (F.size(births) == 0)
-    gaps = F.when(covered, F.transform(F.slice(scores, F.lit(2), F.size(scores)), lambda s: F.get(scores, F.lit(0)) - s))
-    ordered = F.forall(gaps, lambda g: g > 0)
-    failure = (
-        F.when(covered & ordered, "stable")
-        .when(F.get(mapping, F.lit(0)).isNull(), "winner_missing")
-        .when(F.size(missing) > 0, "competitor_missing")
-        .when(F.size(births) > 0, "threatening_birth")
-        .otherwise("ranking_reversal")
-    )
-    return F.struct(
-        covered.cast("int").alias("coverage"),
-        F.when(covered, ordered.cast("int")).alias("rank_stable"),
-        (covered & F.coalesce(ordered, F.lit(False))).cast("int").alias("operational_stable"),
-        failure.alias("primary_failure"),
-        F.when(covered & ~ordered, F.array_position(gaps, F.array_min(gaps)).cast("int")).alias("culprit_clean_index"),
-        mapping.alias("mapping"),
-        F.zip_with(mapping, ious, lambda j, x: F.when(j.isNotNull(), x)).alias("matched_ious"),
-        scores.alias("matched_scores"),
-        F.transform(mapping, lambda j: _box(F.get(exposed, j))).alias("matched_boxes"),
-        gaps.alias("gaps"),
-        missing.alias("missing_clean_indices"),
-        F.transform(births, lambda x: x["j"]).alias("threatening_birth_indices"),
-        F.transform(births, lambda x: x["p"]["score"]).alias("threatening_birth_scores"),
-        F.size(exposed).alias("perturbed_candidate_count"),
-    )
+
+    def found(m: Column) -> Column:
+        at = F.transform(m, lambda j: F.get(exposed, j))
+        return F.struct(m.alias("m"), at.alias("at"), F.filter(m, lambda j: j.isNotNull()).alias("used"), F.filter(F.sequence(F.lit(0), F.size(tracked) - 1), lambda i: F.get(m, i).isNull()).alias("missing"))
+
+    def births(f: Column) -> Column:
+        winner = F.get(f["at"], F.lit(0))
+        # Candidates by score first: most are told by it alone.
+        places = F.filter(F.sequence(F.lit(0), F.size(exposed) - 1), lambda j: (F.get(exposed, j)["score"] >= winner["score"]) & ~F.array_contains(f["used"], j))
+        near = lambda j: F.exists(f["at"], lambda t: t.isNotNull() & (iou(t, F.get(exposed, j)) >= birth))
+        none = F.array().cast("array<int>")
+        new = F.when(winner.isNotNull() & (F.size(exposed) > 0), F.filter(places, lambda j: ~near(j))).otherwise(none)
+        return F.struct(*[f[c].alias(c) for c in ("m", "at", "missing")], new.alias("births"))
+
+    def ordered(f: Column) -> Column:
+        covered = (F.size(f["missing"]) == 0) & (F.size(f["births"]) == 0)
+        first = F.get(f["at"], F.lit(0))["score"]
+        gaps = F.when(covered, F.transform(F.slice(f["at"], F.lit(2), F.size(f["at"])), lambda c: first - c["score"]))
+        return F.struct(*[f[c].alias(c) for c in ("m", "at", "missing", "births")], gaps.alias("gaps"), F.array_min(gaps).alias("least"))
+
+    def named(f: Column) -> Column:
+        covered, stable = f["gaps"].isNotNull(), F.coalesce(f["least"] > 0, F.lit(False))
+        failure = (
+            F.when(covered & stable, "stable")
+            .when(F.get(f["m"], F.lit(0)).isNull(), "winner_missing")
+            .when(F.size(f["missing"]) > 0, "competitor_missing")
+            .when(F.size(f["births"]) > 0, "threatening_birth")
+            .otherwise("ranking_reversal")
+        )
+        return F.struct(
+            covered.cast("int").alias("coverage"),
+            F.when(covered, stable.cast("int")).alias("rank_stable"),
+            (covered & stable).cast("int").alias("operational_stable"),
+            failure.alias("primary_failure"),
+            F.when(covered & ~stable, F.array_position(f["gaps"], f["least"]).cast("int")).alias("culprit_clean_index"),
+            f["m"].alias("mapping"),
+            F.zip_with(f["m"], ious, lambda j, x: F.when(j.isNotNull(), x)).alias("matched_ious"),
+            F.transform(f["at"], lambda c: c["score"]).alias("matched_scores"),
+            F.transform(f["at"], _box).alias("matched_boxes"),
+            f["gaps"].alias("gaps"),
+            f["missing"].alias("missing_clean_indices"),
+            f["births"].alias("threatening_birth_indices"),
+            F.transform(f["births"], lambda j: F.get(exposed, j)["score"]).alias("threatening_birth_scores"),
+            F.size(exposed).alias("perturbed_candidate_count"),
+        )
+
+    return _let(mapping, lambda m: _let(found(m), lambda f: _let(births(f), lambda g: _let(ordered(g), named))))
 
 
 def evaluated(pairs: DataFrame, contract: OutputContract | None = None, clean: str = "clean_candidates", perturbed: str = "perturbed_candidates") -> DataFrame:
