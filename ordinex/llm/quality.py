@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD
 
-#: Phrases of boilerplate lines, in lower case.
+#: Phrases of boilerplate lines in lower case, of English, German, French and Spanish pages.
 BOILERPLATE = (
     "all rights reserved",
     "licensed under",
@@ -32,6 +32,15 @@ BOILERPLATE = (
     "enable javascript",
     "lorem ipsum",
     "copyright ©",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos de uso",
 )
 #: The limits of the line rules.
 SYMBOLS_PER_WORD = 0.5

@@ -85,7 +85,7 @@ WITH w AS (
          OR (len(words) >= 30 AND NOT regexp_matches(line, '[.,;:!?]'))
          OR len(regexp_extract_all(line, '[|»›]')) >= greatest(2.0, 0.2 * len(words))
          OR (len(words) >= 12 AND len(list_distinct(words)) < 0.25 * len(words))
-         OR (length(line) <= 200 AND regexp_matches(lower(line), 'all rights reserved|licensed under|released under|terms of use|terms of service|privacy policy|cookie policy|uses cookies|enable javascript|lorem ipsum|copyright ©')) AS fails
+         OR (length(line) <= 200 AND regexp_matches(lower(line), 'PHRASES')) AS fails
   FROM lw
 ), good AS (
   SELECT doc_id, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM lf WHERE NOT fails GROUP BY doc_id
@@ -100,7 +100,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND chars >= 0.5 * word_chars AS kept
 FROM b
-"""
+""".replace("PHRASES", "|".join(quality.BOILERPLATE).replace("'", "''"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
