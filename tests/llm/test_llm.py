@@ -188,10 +188,10 @@ def test_quality_counts(docs, empty):
 def test_line_rules(spark):
     clean = "Of all the lines here, this one is plain prose and ends as it should."
     bad = ["Home | News | About | Contact", "All rights reserved.", "Alle Rechte vorbehalten.", "© Tous Droits Réservés", "Política de Privacidad", "word*** other### thing%%% more$$$", "NOW!! BUY!! THIS!!", "go " * 20, " ".join(f"w{k}" for k in range(40))]
-    df = spark.createDataFrame([(0, clean)] + [(k + 1, clean + "\n" + b) for k, b in enumerate(bad)] + [(9, "\n".join(bad))], "doc_id int, text string")
+    df = spark.createDataFrame([(0, clean)] + [(k + 1, clean + "\n" + b) for k, b in enumerate(bad)] + [(99, "\n".join(bad))], "doc_id int, text string")
     got = {r["doc_id"]: r for r in quality.judged(df).collect()}
     assert all(got[k]["ox_text"] == clean for k in range(len(bad) + 1)) and got[0]["ox_kept"]
-    assert got[9]["ox_text"] == "" and not got[9]["ox_kept"]
+    assert got[99]["ox_text"] == "" and not got[99]["ox_kept"]
     assert quality.judged(df).filter("ox_kept").select("doc_id").count() >= 4
 
 
