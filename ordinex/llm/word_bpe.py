@@ -74,9 +74,13 @@ class ChunkEncoder:
 
         tokenize, named = self.tokenizer.model.tokenize, BYTE_NAMES.__getitem__
         for c in chunks:
-            if c.isalpha() and c.islower() and not BEYOND_LATIN.search(c) and c == c.lower():
-                into[c] = as_bytes([t.id for t in tokenize(c if c.isascii() else "".join(map(named, c.encode())))])
-                continue
+            if c.isalpha() and c.islower():
+                if c.isascii():
+                    into[c] = as_bytes([t.id for t in tokenize(c)])
+                    continue
+                if not BEYOND_LATIN.search(c) and c == c.lower():
+                    into[c] = as_bytes([t.id for t in tokenize("".join(map(named, c.encode())))])
+                    continue
             lot.append(c)
             size += len(c)
             if size >= AT_ONCE or len(lot) == 20_000:
@@ -96,10 +100,11 @@ class ChunkEncoder:
                 found[c] = ids
                 continue
             core = c.rstrip(PUNCTUATION)
-            if len(core) == len(c) or not _stay_letters(core):
+            n = len(core)
+            if n == len(c) or not core.isalpha() or not (core.isascii() or _stay_letters(core)):
                 ask.add(c)
                 continue
-            rest = c[len(core) :]
+            rest = c[n:]
             parts.append((c, core, rest))
             for x in (core, rest):
                 if x not in found:
@@ -112,7 +117,7 @@ class ChunkEncoder:
             found[c] = found[core] + found[rest]
         if len(young) + len(found) > KEPT:
             self.old, self.young = young, {}
-        self.young.update(found if all(len(c) <= KEPT_CHARS for c in found) else {c: ids for c, ids in found.items() if len(c) <= KEPT_CHARS})
+        self.young.update(found if max(map(len, found), default=0) <= KEPT_CHARS else {c: ids for c, ids in found.items() if len(c) <= KEPT_CHARS})
         return found
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
@@ -160,8 +165,8 @@ def nones(x: list) -> list[int]:
 
 
 def _stay_letters(core: str) -> bool:
-    """Whether all are letters and remain so when normalized: some beyond ASCII become a letter and a mark."""
-    return core.isalpha() and (core.isascii() or not BEYOND_LATIN.search(core) and core.lower().isalpha())
+    """Whether letters remain so when normalized: some beyond ASCII become a letter and a mark."""
+    return not BEYOND_LATIN.search(core) and core.lower().isalpha()
 
 
 def as_bytes(ids: list[int]) -> bytes:
