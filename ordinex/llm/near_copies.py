@@ -18,8 +18,9 @@ reaches the similarity meets; nothing is sampled, capped or estimated. What many
 part of the input hold is told there: of it no more than ``HOT`` + 1 entries a part are sent.
 
 Equal sets are one node, so copies add nothing. From each list its least member is
-compared with all others first, if they meet often; of what is then linked, only pairs of
-different components are left to compare. Sizes and a bitmap of parities, as long as its
+compared with all others first, if they meet often; then each member with the nearest one
+of another component; of what is then linked, only pairs of different components are left to
+compare. Sizes and a bitmap of parities, as long as its
 set is large (its differing bits are no more than the differing shingles), tell most apart.
 All that is left, SimHash's candidates as well, is verified by sets, which go to one task for
 each pivot and salt. Lists too long for one task are compared in blocks.
@@ -46,7 +47,7 @@ from .common import materialize, small, worker_cache
 from .simhash import components, digests, links, majority
 
 #: Least bits of a bitmap of parities; members that a list may have; the rank of shingles that more hold.
-PARITIES, HOT, LAST = 256, 4096, 1 << 62
+PARITIES, HOT, LAST = 1024, 4096, 1 << 62
 #: Shingles in a part of the input, rows of a block of a long list, sets verified in a task with their pivot's, rows sent at once;
 #: a pair that meets in fewer lists than this part of its sizes is not verified before components are known.
 PART, BLOCK, SALTED, ROWS, SELDOM = 4_000_000, 4096, 1000, 500, 32
@@ -343,8 +344,9 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (h, label, node)], names=["h", "label", "node"])
 
 
-def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list whose labels differ, and whose sizes and parities allow the similarity. Rows: h, label, node, n, bits."""
+def _left(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a list whose labels differ, and whose sizes and parities allow the similarity; with ``nearest``, of each member
+    outside the largest component the one of fewest differing bits. Rows: h, label, node, n, bits."""
     for (h, label, node, n, bits), _ in _runs(batches):
         for s, size in zip(*_bounds(h)):
             starts, sizes = _bounds(label[s : s + size])
@@ -357,8 +359,10 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, ns, own = node[order], n[order].astype(np.int64), [bits[k] for k in order]
             words = _words(own)
             short = {(w, v): folded(rows, v) for w, (_, rows) in words.items() for v in words if v <= w}
+            a, b = [], []
             for x, end in enumerate(ends):
                 mine = np.frombuffer(own[x], np.uint64)
+                found, spare = [], []
                 for w, (at, rows) in words.items():
                     v = min(w, len(mine))
                     rest = at[at >= end]
@@ -366,9 +370,15 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if some.any():
                         rest = rest[some]
                         differ = np.bitwise_count(short[w, v][np.searchsorted(at, rest)] ^ folded(mine, v)).sum(axis=1, dtype=np.int64)
-                        other = ids[rest[9 * differ <= ns[rest] + ns[x]]]
-                        if len(other):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[x])), pa.array(np.maximum(other, ids[x]))], names=["a", "b"])
+                        left = ns[rest] + ns[x] - 9 * differ
+                        found.append(rest[left >= 0])
+                        spare.append(left[left >= 0] / (ns[found[-1]] + ns[x]))
+                if found and (other := np.concatenate(found)).size:
+                    other = other[[np.concatenate(spare).argmax()]] if nearest else other
+                    a.append(np.minimum(ids[other], ids[x]))
+                    b.append(np.maximum(ids[other], ids[x]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def _sifted(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -441,22 +451,25 @@ def survivors(docs: DataFrame, shingle: int = 5, k: int = 3, id_col: str = "doc_
     hashed = _by_fingerprint(sketches.select("node", "fp").distinct(), k).filter("a <> b").withColumn("c", F.lit(1 << 30))
     met = reduce(DataFrame.union, [*star, hashed]).groupBy("a", "b").agg(F.sum("c").alias("c"))
     edges = _verified(_sifted(met, nodes), nodes, rows, text_col, shingle)
+    named = lambda x, labels: x.join(small(labels.withColumnRenamed("node", "at_node")), F.col("node") == F.col("at_node"), "left")
+    # Each member's nearest first: what it links needs no further pairs. Then all that is left.
+    for nearest in (True, False):
+        labels = components(edges)
+        told = named(short, labels).select("h", F.coalesce("label", "node").alias("label"), "node", "at")
+        dealt = told.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_cross, "h long, label long, node long")
+        if long is not None:
+            sizes = long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+            own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+            blocks = named(long.select("h", "node"), labels).join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            key = F.when(F.col("blocks") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
+            dealt = dealt.union(blocks.select(key.alias("h"), F.coalesce("label", "node").alias("label"), "node"))
+        dealt = dealt.join(nodes.select("node", "n", "bits"), "node").select("h", "label", "node", "n", "bits")
+        more = dealt.repartition("h").sortWithinPartitions("h", "label").mapInArrow(lambda b, nearest=nearest: _left(b, nearest), "a long, b long")
+        near = materialize(more.distinct(), "near-pairs")
+        edges = edges.union(_verified(near, nodes, rows, text_col, shingle))
     labels = components(edges)
-    named = lambda x: x.join(small(labels.withColumnRenamed("node", "at_node")), F.col("node") == F.col("at_node"), "left")
-    told = named(short).select("h", F.coalesce("label", "node").alias("label"), "node", "at")
-    dealt = told.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_cross, "h long, label long, node long")
-    if long is not None:
-        sizes = long.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        blocks = named(long.select("h", "node")).join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        key = F.when(F.col("blocks") == 1, F.col("h")).otherwise(F.xxhash64("h", F.least("own", "other"), F.greatest("own", "other")))
-        dealt = dealt.union(blocks.select(key.alias("h"), F.coalesce("label", "node").alias("label"), "node"))
-    dealt = dealt.join(nodes.select("node", "n", "bits"), "node").select("h", "label", "node", "n", "bits")
-    more = dealt.repartition("h").sortWithinPartitions("h", "label").mapInArrow(_left, "a long, b long")
-    near = materialize(more.distinct(), "near-pairs")
-    labels = components(edges.union(_verified(near, nodes, rows, text_col, shingle)))
     # An order of whole rows: rows that share an id are told apart by their text's hash, and copies by their place.
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("hash"), F.col("ox_file"), F.col("ox_pos"))
-    kept = named(sketches).withColumn("label", F.coalesce("label", "node")).groupBy("label").agg(F.min(order).alias("o")).select("o.ox_file", "o.ox_pos")
+    kept = named(sketches, labels).withColumn("label", F.coalesce("label", "node")).groupBy("label").agg(F.min(order).alias("o")).select("o.ox_file", "o.ox_pos")
     gone = materialize(sketches.select("ox_file", "ox_pos").join(kept, ["ox_file", "ox_pos"], "left_anti"), "near-gone")
     return rows.join(small(gone), ["ox_file", "ox_pos"], "left_anti").select(*docs.columns)
