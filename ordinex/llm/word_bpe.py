@@ -24,8 +24,8 @@ SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Below this, lower() works on each character by itself, as the library does, and nothing is composed.
 BEYOND_LATIN = re.compile(r"[^\x00-ɏ]")
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Chunks in a generation of the cache (there are two), and the longest that is kept: some 60 MB each.
-KEPT, KEPT_CHARS = 250_000, 40
+#: Chunks in a generation of the cache (there are two), and the longest that is kept: some 90 MB each.
+KEPT, KEPT_CHARS = 400_000, 40
 #: Characters handed to the library at once.
 AT_ONCE = 500_000
 
