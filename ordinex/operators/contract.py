@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Fixed values, a data contract: the names and defaults of a contract's fields, and the form of a setting's id.
 @dataclass(frozen=True)
 class OutputContract:
     tracked_candidate_count: int = 5

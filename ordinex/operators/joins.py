@@ -15,10 +15,6 @@ def latest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("ox_record")).select(*keys, "ox_record.*")
 
 
-def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-
-
 def missing_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of one side alone, with the side that has them."""
     a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
