@@ -1,58 +1,69 @@
-"""Contract grids: one association for each pair of list lengths, then thresholds.
+"""Contract grids: each probe is judged once for each pair of list lengths, then thresholds.
 
-Suppression is prefix-closed, so lists are reduced once at the largest counts and
-sliced. Counts beyond a list's length give the same lists, so each probe is associated once
-for each distinct pair of lengths; association doesn't depend on the thresholds, so it is
-made before rows are multiplied by them; and counts are multiplied out last.
+Suppression is prefix-closed, so lists are reduced once at the largest counts and sliced. Counts beyond a list's
+length give the same lists, so each probe is associated once for each distinct pair of lengths; association doesn't depend
+on the thresholds. A settings' table never holds rows of probes and settings: tasks count them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import spatially_distinct
 from ..functions.scalars import FAILURES, ratio
-from .outcome import associated, outcome
+from .kernels import CLASSES, NONE, REVERSAL, STABLE, blocks, column, distinct_counts, grouped, outcomes, ranked
 
 #: The factors of a setting, in the order of their nesting.
 FACTORS = ["kt", "ke", "match", "birth"]
+#: The most settings and groups whose counts a task holds.
+HELD = 1 << 17
 
 
-def _each(values: list, length: Column) -> Column:
-    """The distinct lengths that a list of ``length`` is cut to."""
-    return F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, values)), lambda k: F.least(k, length))))
+def _weighted(pairs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``pairs`` with ``weight``, a probe's share of its sample; a table that has the column keeps it."""
+    if "weight" in pairs.columns:
+        return pairs
+    return pairs.join(pairs.groupBy(*keys[:-1]).agg((1 / F.count(F.lit(1))).alias("weight")), list(keys[:-1]))
 
 
-def _of_length(values: list, length: Column, cut: Column) -> Column:
-    """(place, count) of the counts that cut a list of ``length`` to ``cut``."""
-    places = F.transform(F.array(*map(F.lit, values)), lambda k, i: F.struct(i.cast("int").alias("at"), k.alias("k")))
-    return F.explode(F.filter(places, lambda x: F.least(x["k"], length) == cut))
+def _factors(index: Column, tracked: list[int], exposed: list[int], match: list[float], birth: list[float]) -> list[Column]:
+    """``setting_index`` and the four factors of a setting."""
+    values = [F.struct(F.lit(t).alias("kt"), F.lit(e).alias("ke"), F.lit(float(m)).alias("match"), F.lit(float(b)).alias("birth")) for t, e, m, b in product(tracked, exposed, match, birth)]
+    s = F.get(F.array(*values), index)
+    return [index.cast("int").alias("setting_index"), *[s[f].alias(f) for f in FACTORS]]
 
 
 def replay(pairs: DataFrame, tracked: list[int], exposed: list[int], match: list[float], birth: list[float], duplicate: float = 0.7, keys: tuple[str, ...] = ("ref_id", "r")) -> DataFrame:
     """``keys``, the setting's columns and ``setting_index``, and the outcome under each setting: ``eligible, coverage, rank_stable,
     stable, failure`` (null where not eligible), ``exposed``, the exposed candidates at the largest count, and ``weight``, a probe's share
-    of its sample: all keys but the last name a sample."""
-    each = pairs.groupBy(*keys[:-1]).agg((1 / F.count(F.lit(1))).alias("weight"))
-    a = pairs.join(each, list(keys[:-1])).withColumn("all_tracked", spatially_distinct(F.col("clean_candidates"), max(tracked), duplicate))
-    a = a.withColumn("all_exposed", spatially_distinct(F.col("perturbed_candidates"), max(exposed), duplicate))
-    a = a.withColumn("n_t", F.size("all_tracked")).withColumn("n_e", F.size("all_exposed"))
-    a = a.withColumn("lt", _each(tracked, F.col("n_t"))).withColumn("le", _each(exposed, F.col("n_e")))
-    a = a.withColumn("tracked", F.slice("all_tracked", F.lit(1), F.col("lt"))).withColumn("exposed", F.slice("all_exposed", F.lit(1), F.col("le")))
-    a = associated(a.select(*keys, "weight", "n_t", "n_e", "lt", "le", "tracked", "exposed"), least_match=min(match))
-    thresholds = [F.struct(F.lit(i * len(birth) + j).alias("at"), F.lit(m).alias("match"), F.lit(b).alias("birth")) for i, m in enumerate(match) for j, b in enumerate(birth)]
-    a = a.withColumn("s", F.explode(F.array(*thresholds)))
-    o = outcome(F.col("tracked"), F.col("exposed"), F.col("assignment"), F.col("assignment_iou"), F.col("s.match"), F.col("s.birth"))
-    # Generated, not projected: each of the four columns would else work the outcome out by itself.
-    kept = F.struct(*[o[c].alias(c) for c in ("coverage", "rank_stable", "operational_stable", "primary_failure")])
-    a = a.select(*keys, "weight", "n_t", "n_e", "lt", "le", "s", F.explode(F.array(F.when(F.col("n_t") >= 2, kept))).alias("o"))
-    a = a.withColumn("t", _of_length(tracked, F.col("n_t"), F.col("lt"))).withColumn("e", _of_length(exposed, F.col("n_e"), F.col("le")))
-    index = (F.col("t.at") * len(exposed) + F.col("e.at")) * len(thresholds) + F.col("s.at")
-    eligible = (F.col("n_t") >= 2).cast("int")
+    of its sample: all keys but the last name a sample. ``pairs`` may have ``weight`` already."""
+    data = _weighted(pairs, keys).select(*keys, F.col("weight").cast("double").alias("weight"), "clean_candidates", "perturbed_candidates")
+    found = [T.StructField("n_t", T.IntegerType()), T.StructField("n_e", T.IntegerType()), T.StructField("codes", T.ArrayType(T.ByteType()))]
+    kept = [*keys, "weight"]
+    schema = T.StructType([*[data.schema[k] for k in kept], *found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean, perturbed = ranked(column(batch, "clean_candidates")), ranked(column(batch, "perturbed_candidates"))
+            for rows in blocks(clean.n, perturbed.n):
+                codes, _, n_t, n_e = outcomes(clean, perturbed, rows, tracked, exposed, match, birth, duplicate)
+                codes = codes.reshape(-1, len(rows)).T
+                lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * codes.shape[1], codes.ravel())
+                own = [column(batch, k).take(pa.array(rows)) for k in kept]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n_t.astype(np.int32)), pa.array(n_e.astype(np.int32)), lists], names=schema.names)
+
+    a = data.mapInArrow(run, schema).select(*kept, "n_t", "n_e", F.posexplode("codes").alias("at", "code"))
+    code = F.col("code").cast("int")
+    covered = (code == STABLE) | (code == REVERSAL)
     return a.select(
-        *keys, index.alias("setting_index"), F.col("t.k").alias("kt"), F.col("e.k").alias("ke"), "s.match", "s.birth", eligible.alias("eligible"),
-        F.coalesce("o.coverage", F.lit(0)).alias("coverage"), "o.rank_stable", F.coalesce("o.operational_stable", F.lit(0)).alias("stable"), F.col("o.primary_failure").alias("failure"), F.col("n_e").alias("exposed"), "weight",
+        *keys, *_factors(F.col("at"), tracked, exposed, match, birth), (F.col("n_t") >= 2).cast("int").alias("eligible"), covered.cast("int").alias("coverage"), F.when(covered, (code == STABLE).cast("int")).alias("rank_stable"),
+        (code == STABLE).cast("int").alias("stable"), F.when(code != NONE, F.get(F.array(*map(F.lit, CLASSES)), code)).alias("failure"), F.col("n_e").alias("exposed"), "weight",
     )
 
 
@@ -67,26 +78,79 @@ def settings(replayed: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.round(F.sum(w)).cast("long").alias("samples"), F.round(F.sum(w * e)).cast("long").alias("eligible"), F.sum(e).alias("probes"), F.sum(e * F.col("coverage")).alias("covered"),
         F.sum(e * F.col("stable")).alias("stable"), F.sum(w * e * F.col("stable")).alias("total"), *causes,
     )
+    return _rates(g, by)
+
+
+def _rates(sums: DataFrame, by: list[str]) -> DataFrame:
     failures = sum((F.col(c) for c in FAILURES), F.lit(0))
-    return g.select(
-        *by, *keys, "samples", "eligible", (F.col("eligible") / F.col("samples")).alias("eligibility"), "probes",
+    return sums.select(
+        *by, "setting_index", *FACTORS, "samples", "eligible", (F.col("eligible") / F.col("samples")).alias("eligibility"), "probes",
         F.coalesce(ratio(F.col("covered"), F.col("probes")), F.lit(0.0)).alias("coverage"), ratio(F.col("stable"), F.col("covered")).alias("conditional"),
         (F.col("total") / F.col("samples")).alias("theta"), F.coalesce(ratio(F.col("total"), F.col("eligible")), F.lit(0.0)).alias("eligible_theta"),
         *[F.coalesce(ratio(F.col(c), failures), F.lit(0.0)).alias(f"{c}_share") for c in FAILURES],
     )
 
 
+def table(pairs: DataFrame, tracked: list[int], exposed: list[int], match: list[float], birth: list[float], duplicate: float = 0.7, keys: tuple[str, ...] = ("ref_id", "r"), by: list[str] | None = None) -> DataFrame:
+    """:func:`settings` of :func:`replay`, without a row for each probe and setting: a task adds up its probes' outcomes."""
+    by, n = by or [], len(tracked) * len(exposed) * len(match) * len(birth)
+    data = _weighted(pairs, keys).select(*by, F.col("weight").cast("double").alias("weight"), "clean_candidates", "perturbed_candidates")
+    names = ["w", "we", "total", "probes", *CLASSES]
+    schema = T.StructType([*[data.schema[c] for c in by], T.StructField("at", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for group, sums in held.items():
+                same = [pa.array([v] * n, type=t) for v, t in zip(group, types)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, sums)], names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            types = [column(batch, c).type for c in by]
+            values, group = grouped(batch, by)
+            weight = column(batch, "weight").to_numpy(zero_copy_only=False)
+            clean, perturbed = ranked(column(batch, "clean_candidates")), ranked(column(batch, "perturbed_candidates"))
+            for rows in blocks(clean.n, perturbed.n):
+                codes, _, n_t, _ = outcomes(clean, perturbed, rows, tracked, exposed, match, birth, duplicate)
+                codes = codes.reshape(n, len(rows))
+                for g in np.unique(group[rows]).tolist():
+                    at = np.flatnonzero(group[rows] == g)
+                    own, w, e = codes[:, at], weight[rows[at]], n_t[at] >= 2
+                    same = [np.full(n, x) for x in (w.sum(), (w * e).sum())]
+                    counts = [np.count_nonzero(own == k, axis=1).astype(float) for k in range(len(CLASSES))]
+                    total = w[0] * counts[STABLE] if (w == w[0]).all() else (own == STABLE) @ w
+                    sums = np.stack([*same, total, np.full(n, float(e.sum())), *counts])
+                    held[values[g]] = held[values[g]] + sums if values[g] in held else sums
+            if len(held) * n > HELD:
+                yield from out()
+        yield from out()
+
+    long = lambda c: F.round(F.sum(c)).cast("long")
+    g = data.mapInArrow(run, schema).groupBy(*by, "at").agg(
+        long("w").alias("samples"), long("we").alias("eligible"), long("probes").alias("probes"), long(F.col("stable") + F.col("ranking_reversal")).alias("covered"),
+        long("stable").alias("ox_stable"), F.sum("total").alias("total"), *[long(c).alias(f"ox_{c}") for c in FAILURES],
+    )
+    g = g.select(*by, *_factors(F.col("at"), tracked, exposed, match, birth), "samples", "eligible", "probes", "covered", F.col("ox_stable").alias("stable"), "total", *[F.col(f"ox_{c}").alias(c) for c in FAILURES])
+    return _rates(g, by)
+
+
 def saturation(pairs: DataFrame, by: list[str], cap: int = 20, duplicate: float = 0.7) -> DataFrame:
     """How often lists reach the cap: of clean lists as they come, of perturbed ones after suppression, and the median of the latter."""
-    a = pairs.select(*by, (F.size("clean_candidates") >= cap).cast("double").alias("c"), F.size(spatially_distinct(F.col("perturbed_candidates"), cap, duplicate)).alias("n"))
-    return a.groupBy(*by).agg(F.count(F.lit(1)).alias("probes"), F.avg("c").alias("clean_cap_fraction"), F.avg((F.col("n") >= cap).cast("double")).alias("probe_cap_fraction"), F.percentile("n", F.lit(0.5)).alias("median_exposed"))
+    a = distinct_counts(pairs, "perturbed_candidates", cap, [duplicate], by, ("clean_candidates",))
+    n, k = F.get("kept", F.lit(0)), F.col("rows")
+    a = a.select(*by, n.alias("n"), (k * (F.col("n_clean_candidates") >= cap).cast("int")).alias("c"), (k * (n >= cap).cast("int")).alias("p"), k.alias("k"))
+    return a.groupBy(*by).agg(F.sum("k").alias("probes"), (F.sum("c") / F.sum("k")).alias("clean_cap_fraction"), (F.sum("p") / F.sum("k")).alias("probe_cap_fraction"), F.percentile("n", F.lit(0.5), F.col("k")).alias("median_exposed"))
 
 
 def duplicate_eligibility(lists: DataFrame, thresholds: list[float], maximum: int = 5) -> DataFrame:
     """Eligibility and mean number of tracked candidates at each suppression threshold, over clean lists alone."""
-    a = lists.select("clean_candidates", F.explode(F.array(*map(F.lit, thresholds))).alias("duplicate"))
-    n = F.size(spatially_distinct(F.col("clean_candidates"), maximum, F.col("duplicate")))
-    return a.select("duplicate", n.alias("n")).groupBy("duplicate").agg(F.count(F.lit(1)).alias("samples"), F.avg((F.col("n") >= 2).cast("double")).alias("eligibility"), F.avg("n").alias("mean_tracked"))
+    a = distinct_counts(lists, "clean_candidates", maximum, thresholds, [])
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(float(x)) for x in thresholds]).alias("duplicate"), F.col("kept").alias("n"))).alias("x")
+    a = a.select("rows", each).select("x.duplicate", "x.n", F.col("rows").alias("k"))
+    return a.groupBy("duplicate").agg(F.sum("k").alias("samples"), (F.sum(F.col("k") * (F.col("n") >= 2).cast("int")) / F.sum("k")).alias("eligibility"), (F.sum(F.col("k") * F.col("n")) / F.sum("k")).alias("mean_tracked"))
 
 
 def optimism(table: DataFrame, by: list[str]) -> DataFrame:

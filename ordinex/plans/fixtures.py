@@ -7,10 +7,11 @@ columns in use.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.geometry import CANDIDATE
 from ..functions.scalars import PROBE_LAW
 
 TIE = ["l_extendedprice desc", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"]
@@ -51,25 +52,22 @@ def candidate_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probe_pairs(spark: SparkSession, sf_dir: str, probes: int = 2, models: int = 1) -> DataFrame:
-    """``model, ref_id, r, clean_candidates, perturbed_candidates``: each order with jittered copies of its list, other ones for each model."""
-    b = boxes(spark, sf_dir).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(probes - 1)))).withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1))))
-    k, rr = F.col("ord") + F.col("ref_id"), F.col("r") + 100 * F.col("model")
-    dx, dy = (k * 31 + rr * 17) % 5 - 2, (k * 13 + rr * 11) % 5 - 2
-    moved = F.struct(
-        (F.col("x1") + dx).alias("x1"),
-        (F.col("y1") + dy).alias("y1"),
-        (F.col("x2") + dx).alias("x2"),
-        (F.col("y2") + dy).alias("y2"),
-        (F.col("score") + ((k * 13 + rr * 29) % 11 - 5) / 50.0).alias("score"),
-        F.lit("").alias("label"),
-        "ord",
-    )
-    lists = b.groupBy("model", "ref_id", "r").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2", "score", F.lit("").alias("label"), "ord")).alias("clean_candidates"),
-        F.collect_list(F.when((k + rr * 7) % 19 != 0, moved)).alias("jittered"),
-    )
+    """``model, ref_id, r, weight, clean_candidates, perturbed_candidates``: each order with jittered copies of its list, other ones for each model,
+    and a probe's share of its sample. Lists are made once, then jittered where they lie."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    lists = candidate_lists(spark, sf_dir).withColumn("r", each(probes)).withColumn("model", each(models))
+    rr = F.col("r") + 100 * F.col("model")
+
+    def moved(c: Column) -> Column:
+        k = c["ord"] + F.col("ref_id")
+        dx, dy = (k * 31 + rr * 17) % 5 - 2, (k * 13 + rr * 11) % 5 - 2
+        score = c["score"] + ((k * 13 + rr * 29) % 11 - 5) / 50.0
+        return F.struct((c["x1"] + dx).alias("x1"), (c["y1"] + dy).alias("y1"), (c["x2"] + dx).alias("x2"), (c["y2"] + dy).alias("y2"), score.alias("score"), F.lit("").alias("label"), c["ord"].alias("ord"))
+
+    jittered = F.transform(F.filter("clean_candidates", lambda c: (c["ord"] + F.col("ref_id") + rr * 7) % 19 != 0), moved)
     birth = F.struct(*[F.lit(v).alias(n) for v, n in ((200.0, "x1"), (200.0, "y1"), (215.0, "x2"), (215.0, "y2"), (2.0, "score"), ("", "label"), (1000, "ord"))])
-    return lists.select("model", "ref_id", "r", "clean_candidates", F.when((F.col("ref_id") + rr) % 23 == 0, F.concat("jittered", F.array(birth))).otherwise(F.col("jittered")).alias("perturbed_candidates"))
+    births = F.when((F.col("ref_id") + rr) % 23 == 0, F.array(birth)).otherwise(F.array().cast(f"array<{CANDIDATE}>"))
+    return lists.select("model", "ref_id", "r", F.lit(1.0 / probes).alias("weight"), "clean_candidates", F.concat(jittered, births).alias("perturbed_candidates"))
 
 
 def replay_sql(probes: int, models: int, tracked: int, exposed: int, duplicate: float = 0.7) -> str:

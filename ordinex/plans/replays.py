@@ -60,8 +60,7 @@ SHARES = "winner_missing_share competitor_missing_share threatening_birth_share
 
 def _table(g: dict):  # noqa: ANN202
     def table(spark: SparkSession, d: str) -> DataFrame:
-        pairs = probe_pairs(spark, d, 1, MODELS)
-        return grid.settings(grid.replay(pairs, *g.values(), keys=("model", "ref_id", "r")), ["model"])
+        return grid.table(probe_pairs(spark, d, 1, MODELS), *g.values(), keys=("model", "ref_id", "r"), by=["model"])
 
     return table
 
