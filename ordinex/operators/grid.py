@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import FAILURES, ratio
 from .kernels import CLASSES, NONE, REVERSAL, STABLE, blocks, column, distinct_counts, grouped, outcomes, ranked
+from .shared import materialize
 
 #: The factors of a setting, in the order of their nesting.
 FACTORS = ["kt", "ke", "match", "birth"]
@@ -181,6 +182,7 @@ def envelope(values: DataFrame, by: list[str], value: str = "theta", index: str
 def pair_gaps(values: DataFrame, group: str = "model", value: str = "theta", index: str = "setting_index") -> DataFrame:
     """For each pair of models the least and greatest gap at the same setting, the first setting of the least one, whether the
     order never changes, and whether one's worst beats the other's best. A setting that one model lacks is an error."""
+    values = materialize(values.select(group, index, value), "settings")  # named four times, worked out once
     a = values.select(F.col(group).alias("model_a"), index, F.col(value).alias("va"))
     b = values.select(F.col(group).alias("model_b"), F.col(index).alias("index_b"), F.col(value).alias("vb"))
     gap = F.col("va") - F.col("vb")

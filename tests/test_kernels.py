@@ -52,6 +52,17 @@ def test_table_counts_what_replay_lists(spark):
     assert grid.table(df.limit(0), *FACTORS, by=["model"]).count() == 0
 
 
+def test_settings_are_worked_out_once_for_all_pairs(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def theta(x):
+        seen.add(1)
+        return float(x)
+
+    df = spark.range(12).select((F.col("id") % 3).alias("model"), F.floor(F.col("id") / 3).alias("setting_index"), theta("id").alias("theta"))
+    assert grid.pair_gaps(df).count() == 3 and seen.value == 12
+
 
 def test_matching_by_sets_is_the_exact_assignment():
     rng = np.random.default_rng(5)
