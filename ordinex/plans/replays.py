@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import grid, outcome
+from ..operators import grid, kernels
 from ..operators.contract import GRID, OutputContract
 from .fixtures import candidate_lists, outcomes_sql, probe_pairs, replay_sql
 from .registry import add
@@ -19,8 +18,7 @@ DEFAULTS = {"kt": DEFAULT.tracked_candidate_count, "ke": DEFAULT.exposed_candida
 
 
 def probe_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    e = outcome.evaluated(probe_pairs(spark, d))
-    return e.select("ref_id", "r", "clean_eligible", F.size("exposed").alias("exposed"), "outcome.coverage", "outcome.rank_stable", "outcome.operational_stable", "outcome.primary_failure", "outcome.culprit_clean_index")
+    return kernels.judgements(probe_pairs(spark, d))
 
 
 ONE = f"{replay_sql(2, 1, 5, 20)}, {outcomes_sql('SELECT model, ref_id, r, nt AS t, ne AS e FROM pb WHERE nt >= 2', [0.15], [0.7])}"
