@@ -44,9 +44,10 @@ def spatially_distinct(candidates: Column, maximum: Column | int, threshold: Col
 
 def top1(candidates: Column, truths: Column, threshold: float = 0.5) -> tuple[Column, Column]:
     """(flag, best IoU) of the first highest-scored candidate against true boxes; (0, 0.0) for an empty list."""
-    first = F.get(ranked(candidates), 0)
-    best = F.coalesce(F.array_max(F.transform(truths, lambda t: iou(first, t))), F.lit(0.0))
-    best = F.when(F.size(candidates) > 0, best).otherwise(F.lit(0.0))
+    key = F.array_min(F.transform(candidates, lambda c: F.struct((-c["score"]).alias("k"), c["ord"].alias("o"), c.alias("c"))))
+    # Bound to a name: an expression that names the first candidate would else find it anew for each name.
+    best = F.get(F.transform(F.array(key), lambda x: F.array_max(F.transform(truths, lambda t: iou(x["c"], t)))), 0)
+    best = F.when(F.size(candidates) > 0, F.coalesce(best, F.lit(0.0))).otherwise(F.lit(0.0))
     return (best >= threshold).cast("int"), best
 
 

@@ -88,3 +88,13 @@ def test_blocks_are_bounded_and_hold_each_row_once():
     found = list(kernels.blocks(n))
     assert sorted(np.concatenate(found).tolist()) == list(range(len(n)))
     assert all(len(b) == 1 or len(b) * int(n[b].max()) ** 2 <= kernels.CELLS for b in found)
+
+
+def test_first_candidate_is_found_once(spark):
+    df = spark.createDataFrame(lists(4, 60), COLUMNS)
+    truth = F.array(F.struct(*[F.lit(v).alias(n) for v, n in ((2.0, "x1"), (2.0, "y1"), (9.0, "x2"), (9.0, "y2"))]))
+    flag, best = geometry.top1(F.col("clean_candidates"), truth)
+    first = F.get(geometry.ranked(F.col("clean_candidates")), 0)
+    a = df.select(best.alias("best"), flag.alias("flag"), F.coalesce(geometry.iou(first, F.get(truth, 0)), F.lit(0.0)).alias("want"))
+    assert all(r["best"] == r["want"] and r["flag"] == (r["best"] >= 0.5) for r in a.collect())
+    assert df.select(best.alias("best"))._jdf.queryExecution().optimizedPlan().toString().count("array_min") == 1
