@@ -18,9 +18,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .kernels import column, grouped
 from .statistics import spearman
 
 #: The modulus, multipliers and shifts of the draws.
@@ -28,29 +31,57 @@ MODULUS, FACTORS, SHIFTS = 1 << 31, (569420461, 1935289751), (16, 15, 15)
 SEED_STEP, REP_STEP, SLOT_STEP = 747796405, 1013904223, 668265263
 #: Cumulative probabilities of Poisson(1), as far as the modulus tells them apart.
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-#: Numbers in a block of units and repetitions.
-CELLS = 1 << 20
+#: Numbers in a block of units and repetitions (few, so that they stay near the processor), and in what a task holds.
+CELLS, HELD = 1 << 17, 1 << 21
 
-Shares = Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
+#: Of units' columns: the share of each copy of a unit by name; which units' trials have to be drawn instead, and how: of
+#: their columns, weights and states to a share (units, repetitions) for each name.
+Drawn = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], dict[str, np.ndarray]]
+Shares = Callable[[dict[str, np.ndarray]], tuple[dict[str, np.ndarray], np.ndarray | None, Drawn | None]]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> SHIFTS[0])
+    """In place, on 32-bit numbers: what they lose above lies above the modulus."""
+    x ^= x >> SHIFTS[0]
     for factor, shift in zip(FACTORS, SHIFTS[1:]):
-        x = x * factor % MODULUS
-        x = x ^ (x >> shift)
+        x *= np.uint32(factor)
+        x &= np.uint32(MODULUS - 1)
+        x ^= x >> shift
     return x
 
 
 def states(key: np.ndarray, rep: np.ndarray, seed: int) -> np.ndarray:
     """What the draws of each key (rows) and repetition (columns) start from."""
-    x = _mixed((key.astype(np.int64) % MODULUS + seed * SEED_STEP) % MODULUS)[:, None]
-    return _mixed((x + rep.astype(np.int64)[None, :] * REP_STEP) % MODULUS)
+    x = _mixed(((key.astype(np.int64) % MODULUS + seed * SEED_STEP) % MODULUS).astype(np.uint32))[:, None]
+    x = x + (rep.astype(np.int64) * REP_STEP % MODULUS).astype(np.uint32)[None, :]
+    x &= np.uint32(MODULUS - 1)
+    return _mixed(x)
+
+
+def numbers(state: np.ndarray, slot: np.ndarray | int) -> np.ndarray:
+    """A whole number below the modulus for each state and slot."""
+    x = state + (np.asarray(slot, np.int64) * SLOT_STEP % MODULUS).astype(np.uint32)
+    x &= np.uint32(MODULUS - 1)
+    return _mixed(x)
 
 
 def drawn(state: np.ndarray, slot: np.ndarray | int) -> np.ndarray:
     """A number above 0 and below 1 for each state and slot."""
-    return (_mixed((state + slot * SLOT_STEP) % MODULUS) + 0.5) / MODULUS
+    return (numbers(state, slot) + 0.5) / MODULUS
+
+
+def limits(p: np.ndarray) -> np.ndarray:
+    """How many of the whole numbers are drawn as below each probability."""
+    return np.ceil(np.clip(p, 0, 1) * MODULUS - 0.5).astype(np.uint32)
+
+
+def weights(state: np.ndarray) -> np.ndarray:
+    """Each unit's weight in each repetition: how many cumulative probabilities its draw is above."""
+    x, w = numbers(state, 0), np.zeros(state.shape, np.uint8)
+    for above in (np.floor(POISSON * MODULUS - 0.5) + 1).astype(np.int64).tolist():
+        if above < MODULUS:
+            w += x >= np.uint32(above)
+    return w
 
 
 def uniform(key: np.ndarray, rep: np.ndarray, slot: int, seed: int) -> np.ndarray:
@@ -86,62 +117,86 @@ Copies = Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]
 def copies(n: np.ndarray, p: list[np.ndarray], weight: np.ndarray, state: np.ndarray) -> Copies:
     """Of each copy of a unit (as many as its weight) ``n`` trials drawn anew: places (unit, repetition), and how many trials are
     below each of the unit's probabilities ``p`` (nested events)."""
-    n = n.astype(np.int64)
+    n, most = n.astype(np.int64), [limits(x) for x in p]
     for c in range(int(weight.max(initial=0))):
         rows, cols = np.nonzero((weight > c) & (n > 0)[:, None])
         size, hits = n[rows], [np.zeros(len(rows)) for _ in p]
+        start = state[rows, cols]
         for i in range(int(size.max(initial=0))):
             on = np.flatnonzero(size > i)
-            u = drawn(state[rows[on], cols[on]], 1 + c * size[on] + i)
-            for h, x in zip(hits, p):
+            u = numbers(start[on], 1 + c * size[on] + i)
+            for h, x in zip(hits, most):
                 h[on] += u < x[rows[on]]
         yield rows, cols, hits
 
 
 def trials(n: np.ndarray, p: list[np.ndarray], state: np.ndarray) -> list[np.ndarray]:
     """The hits of each unit's one copy, (units, repetitions)."""
+    n, most = n.astype(np.int64), [limits(x)[:, None] for x in p]
     out = [np.zeros(state.shape) for _ in p]
-    for rows, cols, hits in copies(n, p, np.ones(state.shape), state):
-        for o, h in zip(out, hits):
-            o[rows, cols] = h
+    for i in range(int(n.max(initial=0))):
+        on = np.flatnonzero(n > i)
+        u = numbers(state[on], 1 + i)
+        for o, x in zip(out, most):
+            o[on] += u < x[on]
     return out
 
 
 def resampled(units: DataFrame, by: list[str], key: str, columns: list[str], shares: Shares, names: list[str], repetitions: int, seed: int) -> DataFrame:
-    """``by, rep`` and the sums of ``names`` over units. ``shares`` takes columns of units and the states of
-    their draws, and returns an array (units, repetitions) for each name; ``w``, the weight of slot 0, is among the columns."""
-    kind = {f.name: f.dataType.simpleString() for f in units.schema.fields}
+    """``by, rep`` and the sums of ``names`` over units. Units are dealt and sorted by key, so that those which share draws meet:
+    a key's weights are drawn once for all its units, and the sums of shares that don't depend on trials are one product of
+    matrices in a block. Only units whose trials can come out in more than one way draw them."""
     data = units.select(*by, F.coalesce(F.col(key), F.lit(0)).cast("long").alias("ox_key"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"ox_{c}") for c in columns])
+    schema = T.StructType([*[data.schema[c] for c in by], T.StructField("rep", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
     reps = np.arange(repetitions)
+    block = max(1, CELLS // max(repetitions, 1))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[tuple, np.ndarray] = {}
-        block = max(1, CELLS // max(repetitions, 1))
+        types: list[pa.DataType] = []
 
-        def out() -> Iterator[pd.DataFrame]:
+        def out() -> Iterator[pa.RecordBatch]:
             for group, sums in totals.items():
-                same = {c: pd.Series([None if pd.isna(v) else v] * repetitions, dtype=object) for c, v in zip(by, group)}
-                yield pd.DataFrame({**same, "rep": reps, **{n: sums[i] for i, n in enumerate(names)}})
+                same = [pa.array([v] * repetitions, type=t) for v, t in zip(group, types)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(reps), *map(pa.array, sums)], names=schema.names)
             totals.clear()
 
-        for f in frames:
-            for group, g in f.groupby(by, dropna=False, sort=False) if by else [((), f)]:
-                group = group if isinstance(group, tuple) else (group,)
-                for at in range(0, len(g), block):
-                    b = g.iloc[at : at + block]
-                    keys = b["ox_key"].to_numpy()
-                    cols = {c: b[f"ox_{c}"].to_numpy() for c in columns}
-                    state = states(keys, reps, seed)
-                    cols["w"] = np.searchsorted(POISSON, drawn(state, 0), side="left").astype(float)
-                    own = shares(cols, state)
-                    sums = np.stack([own[n].sum(axis=0) for n in names])
-                    totals[group] = totals[group] + sums if group in totals else sums
-            if len(totals) * repetitions * len(names) > 16 * CELLS:
+        def add(groups: np.ndarray, sums: np.ndarray, values: list[tuple]) -> None:
+            for g, x in zip(groups.tolist(), sums):
+                totals[values[g]] = totals[values[g]] + x if values[g] in totals else x
+
+        for batch in batches:
+            types = [column(batch, c).type for c in by]
+            values, group = grouped(batch, by)
+            keys, unit = np.unique(column(batch, "ox_key").to_numpy(), return_inverse=True)
+            order = np.argsort(unit, kind="stable")
+            unit, group = unit[order], group[order]
+            cols = {c: column(batch, f"ox_{c}").to_numpy()[order] for c in columns}
+            fixed, todo, draw = shares(cols)
+            fixed = np.stack([np.broadcast_to(np.asarray(fixed.get(n, 0.0), float), len(unit)) for n in names])
+            for at in range(0, len(keys), block):
+                rows = slice(*np.searchsorted(unit, [at, at + block]))
+                here, own = np.unique(group[rows], return_inverse=True)
+                state = states(keys[at : at + block], reps, seed)
+                w = weights(state)
+                a = np.zeros((len(here), len(names), len(state)))
+                np.add.at(a, (own[None, :], np.arange(len(names))[:, None], unit[rows][None, :] - at), fixed[:, rows])
+                sums = (a.reshape(-1, len(state)) @ w.astype(float)).reshape(len(here), len(names), repetitions)
+                some = np.flatnonzero(todo[rows]) if todo is not None else ()
+                for k in range(0, len(some), block):
+                    part = some[k : k + block]
+                    of = unit[rows][part] - at
+                    found = draw({c: x[rows][part] for c, x in cols.items()}, w[of], state[of])
+                    for g in np.unique(own[part]).tolist():
+                        for n, x in found.items():
+                            sums[g, names.index(n)] += x[own[part] == g].sum(axis=0)
+                add(here, sums, values)
+            if len(totals) * repetitions * len(names) > HELD:
                 yield from out()
         yield from out()
 
-    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in by), "rep long", *(f"`{n}` double" for n in names)])
-    return data.mapInPandas(run, schema).groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names])
+    dealt = data.repartition("ox_key").sortWithinPartitions("ox_key")
+    return dealt.mapInArrow(run, schema).groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def intervals(draws: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -161,7 +216,16 @@ def _over(n: str, d: str, none: float | None = 0.0) -> Column:
 
 
 def _weighted(*columns: str) -> Shares:
-    return lambda c, state: {**{n: c["w"] * c[n][:, None] for n in columns}, "w": c["w"]}
+    return lambda c: ({**{n: c[n] for n in columns}, "w": 1.0}, None, None)
+
+
+def _rate(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.divide(k, n, out=np.zeros_like(k), where=n > 0)
+
+
+def _open(p: np.ndarray) -> np.ndarray:
+    """Where a trial may hit or miss."""
+    return (p > 0) & (p < 1)
 
 
 def bootstrap_ratios(units: DataFrame, by: list[str], numerator: str, denominator: str | None = None, key: str = "ref_id", repetitions: int = 2000, seed: int = 0) -> DataFrame:
@@ -198,9 +262,13 @@ def hierarchical(units: DataFrame, group: str, by: list[str], n: str, k: str, ke
     groups, which share draws. A unit drawn several times has one draw of trials. ``k`` of ``n`` trials succeeded; a unit without
     trials has the mean 0."""
 
-    def shares(c: dict, state: np.ndarray) -> dict:
-        (hits,) = trials(c[n], [np.divide(c[k], c[n], out=np.zeros_like(c[k]), where=c[n] > 0)], state)
-        return {"m": c["w"] * hits / np.maximum(c[n], 1)[:, None], "w": c["w"]}
+    def draw(c: dict, w: np.ndarray, state: np.ndarray) -> dict:
+        (hits,) = trials(c[n], [_rate(c[k], c[n])], state)
+        return {"m": w * hits / np.maximum(c[n], 1)[:, None]}
+
+    def shares(c: dict) -> tuple:
+        p = _rate(c[k], c[n])
+        return {"m": (p >= 1).astype(float), "w": 1.0}, _open(p), draw
 
     m = resampled(units, [group, *by], key, [n, k], shares, ["m", "w"], repetitions, seed).select(group, *by, "rep", _over("m", "w").alias("m"))
     return intervals(m, [group, *by], "m"), intervals(_pairs(m, group, [*by, "rep"], "m"), ["group_a", "group_b", *by], "gap")
@@ -210,14 +278,19 @@ def nested(units: DataFrame, by: list[str], key: str = "ref_id", repetitions: in
     """Intervals of eight statistics of two nested events: units (``eligible, n, n_covered, n_stable``) and the trials of each copy drawn anew.
     Samples that are not eligible have as many trials in the full manifest as the mean eligible one."""
 
-    def shares(c: dict, state: np.ndarray) -> dict:
-        rate = lambda x: np.divide(c[x], c["n"], out=np.zeros_like(c[x]), where=c["n"] > 0)
-        n = c["n"] * c["eligible"]
+    def draw(c: dict, w: np.ndarray, state: np.ndarray) -> dict:
         covered, stable = np.zeros(state.shape), np.zeros(state.shape)
-        for rows, cols, (a, b) in copies(n, [rate("n_covered"), rate("n_stable")], c["w"], state):
+        for rows, cols, (a, b) in copies(c["n"] * c["eligible"], [_rate(c[x], c["n"]) for x in ("n_covered", "n_stable")], w, state):
             covered[rows, cols] += a
             stable[rows, cols] += b
-        return {"w": c["w"], "e": c["w"] * c["eligible"][:, None], "t": c["w"] * n[:, None], "c": covered, "s": stable}
+        return {"c": covered, "s": stable}
+
+    def shares(c: dict) -> tuple:
+        n = c["n"] * c["eligible"]
+        p, q = (_rate(c[x], c["n"]) for x in ("n_covered", "n_stable"))
+        todo = (n > 0) & (_open(p) | _open(q))
+        sure = lambda x: np.where(~todo & (x >= 1), n, 0.0)
+        return {"w": 1.0, "e": c["eligible"], "t": n, "c": sure(p), "s": sure(q)}, todo, draw
 
     d = resampled(units, by, key, ["eligible", "n", "n_covered", "n_stable"], shares, ["w", "e", "t", "c", "s"], repetitions, seed)
     gamma, cov, cc, op = _over("e", "w", None), _over("c", "t", None), _over("s", "c", None), _over("s", "t", None)
@@ -229,13 +302,12 @@ def nested(units: DataFrame, by: list[str], key: str = "ref_id", repetitions: in
 def predictor_differences(pairs: DataFrame, by: list[str], one: str, two: str, target: str, key: str = "ref_id", repetitions: int = 2000, seed: int = 0) -> DataFrame:
     """Intervals of what predictor ``one`` is worse than ``two`` by: mean absolute error, Brier score, absolute bias. Rows without ``one`` don't count."""
 
-    def shares(c: dict, state: np.ndarray) -> dict:
-        out = {"w": c["w"]}
+    def shares(c: dict) -> tuple:
+        out = {"w": 1.0}
         for name, p in (("1", c[one]), ("2", c[two])):
             t = c[target]
-            for what, x in (("a", np.abs(p - t)), ("b", p * p - 2 * p * t + t), ("e", p - t)):
-                out[what + name] = c["w"] * x[:, None]
-        return out
+            out |= {"a" + name: np.abs(p - t), "b" + name: p * p - 2 * p * t + t, "e" + name: p - t}
+        return out, None, None
 
     names = ["w", *[a + b for a in "abe" for b in "12"]]
     d = resampled(pairs.filter(F.col(one).isNotNull()), by, key, [one, two, target], shares, names, repetitions, seed)
@@ -248,22 +320,27 @@ def severity_curves(cells: DataFrame, samples: DataFrame, group: str, by: list[s
     """Intervals of stability by severity over the full manifest: resampled eligibility times resampled success. ``cells``:
     ``group, by, key, trials, stable`` of eligible samples; ``samples``: ``group, key, eligible``. Both share draws."""
     e = resampled(samples, [group], key, ["eligible"], _weighted("eligible"), ["eligible", "w"], repetitions, seed).select(group, "rep", _over("eligible", "w").alias("e"))
-    r = resampled(cells, [group, *by], key, ["stable", "trials"], lambda c, state: {n: c["w"] * c[n][:, None] for n in ("stable", "trials")}, ["stable", "trials"], repetitions, seed)
+    r = resampled(cells, [group, *by], key, ["stable", "trials"], lambda c: ({n: c[n] for n in ("stable", "trials")}, None, None), ["stable", "trials"], repetitions, seed)
     return intervals(r.join(e, [group, "rep"]).withColumn("m", F.col("e") * _over("stable", "trials")), [group, *by], "m")
 
 
 def component_intervals(units: DataFrame, by: list[str], n: str, k: str, key: str = "ref_id", repetitions: int = 2000, seed: int = 0) -> DataFrame:
     """Intervals of the estimand and its variance components, units and the trials of each copy drawn anew; units of two trials or more."""
 
-    def shares(c: dict, state: np.ndarray) -> dict:
+    def draw(c: dict, w: np.ndarray, state: np.ndarray) -> dict:
         out = {x: np.zeros(state.shape) for x in "mqvz"}
-        for rows, cols, (hits,) in copies(c[n], [c[k] / c[n]], c["w"], state):
+        for rows, cols, (hits,) in copies(c[n], [c[k] / c[n]], w, state):
             r = c[n][rows]
             m = hits / r
             v = r / (r - 1) * m * (1 - m)
             for x, share in (("m", m), ("q", m * m), ("v", v), ("z", v / r)):
                 out[x][rows, cols] += share
-        return {"w": c["w"], "r": c["w"] * c[n][:, None], **out}
+        return out
+
+    def shares(c: dict) -> tuple:
+        p = c[k] / c[n]
+        sure = (p >= 1).astype(float)  # all or none hit: no spread
+        return {"w": 1.0, "r": c[n], "m": sure, "q": sure}, _open(p), draw
 
     d = resampled(units.filter(F.col(n) >= 2), by, key, [n, k], shares, ["w", "m", "q", "v", "z", "r"], repetitions, seed).filter("w > 1")
     theta, within, w = F.col("m") / F.col("w"), F.col("v") / F.col("w"), F.col("w")

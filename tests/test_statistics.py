@@ -265,6 +265,29 @@ def test_trials_are_nested_binomials():
     assert a[2].var() == pytest.approx(10 * 0.7 * 0.3, rel=0.1)
 
 
+def test_draws_of_whole_numbers_are_those_of_fractions():
+    state = R.states(np.arange(-3, 500) * 7919, np.arange(64), 9)
+    u = R.drawn(state, 0)
+    assert state.dtype == np.uint32 and R.CELLS * state.itemsize <= 1 << 20  # a block's array stays near the processor
+    assert (R.weights(state) == np.searchsorted(R.POISSON, u, side="left")).all()
+    p = np.array([0.0, 1e-12, 0.5, 1 / 3, 1 - 1e-12, 1.0, float(u[7, 0]), np.nextafter(u[7, 0], 2)])
+    assert ((R.numbers(state, 0)[..., None] < R.limits(p)) == (u[..., None] < p)).all()
+
+
+def test_sums_are_those_of_each_unit_drawn_by_itself(spark):
+    rows = [(g, i % 40, n, k) for i in range(90) for g, n, k in (("a", i % 4, min(i % 3, i % 4)), (None, 3, i % 4))] + [("a", None, 2, 1)]
+    df = spark.createDataFrame(rows, "g string, i long, n int, k int")
+    want = {}
+    for g, i, n, k in rows:
+        state = R.states(np.array([i or 0]), np.arange(50), 6)
+        w = np.searchsorted(R.POISSON, R.drawn(state, 0), side="left")[0]
+        hits = sum((R.drawn(state, 1 + t)[0] < k / n).astype(int) for t in range(n)) if n else np.zeros(50)
+        want[g] = want.get(g, 0) + np.stack([w * hits / max(n, 1), w])
+    for parts in (1, 7):
+        got = {r["g"]: r for r in R.hierarchical(df.repartition(parts), "g", [], "n", "k", "i", repetitions=50, seed=6)[0].collect()}
+        assert {g: r["mean"] for g, r in got.items()} == {g: pytest.approx((m / w).mean()) for g, (m, w) in want.items()}
+
+
 def test_split_halves_are_hypergeometric(spark):
     rows = [(0, i, f, n, k, 1) for i in range(300) for f, n, k in (("a", 4, 3), ("b", 6, 2))] + [(0, 999, "a", 2, 2, 0)]
     df = spark.createDataFrame(rows, "model int, ref_id int, family string, n int, k int, eligible int")
