@@ -19,11 +19,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .kernels import column, grouped
+from .shared import materialize
 from .statistics import spearman
 
 #: The modulus, multipliers and shifts of the draws.
@@ -360,39 +362,77 @@ def split_halves(units: DataFrame, by: list[str], family: str, n: str, k: str, e
     """
     cells = F.transform(F.array_sort(F.collect_list(F.struct(F.col(family).alias("f"), F.col(n).cast("long").alias("n"), F.col(k).cast("long").alias("k")))), lambda x: F.struct(x["n"], x["k"]))
     odd = F.when(F.col(n) % 2 != 0, F.raise_error(F.lit("a family has an odd number of probes")).cast("long")).otherwise(F.col(n))
-    data = units.withColumn(n, odd).groupBy(*by, key).agg(F.max(eligible).alias("ox_e"), cells.alias("ox_cells"))
-    kind = {f.name: f.dataType.simpleString() for f in units.schema.fields}
+    data = units.withColumn(n, odd).groupBy(*by, key).agg(F.coalesce(F.max(eligible), F.lit(0)).cast("int").alias("ox_e"), cells.alias("ox_cells"))
+    data = data.select(*by, F.coalesce(F.col(key), F.lit(0)).cast("long").alias("ox_key"), "ox_e", "ox_cells")
+    counts = [T.StructField("scope", T.StringType()), T.StructField("rep", T.LongType()), T.StructField("left", T.DoubleType()), T.StructField("right", T.DoubleType()), T.StructField("units", T.LongType())]
+    schema = T.StructType([*[data.schema[c] for c in by], *counts])
     reps = np.arange(repetitions)
+    block = max(1, CELLS // repetitions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}  # of (group, eligible, halves, good): units by hits on the left and repetition
+        types: list[pa.DataType] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (group, ok, half, good), x in held.items():
+                hits, rep = np.nonzero(x)
+                for scope in ("full_manifest", "clean_eligible")[: 1 + ok]:
+                    same = [pa.array([v] * len(rep), type=t) for v, t in zip((*group, scope), [*types, pa.string()])]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(rep.astype(np.int64)), pa.array(hits / half), pa.array((good - hits) / half), pa.array(x[hits, rep])], names=schema.names)
+            held.clear()
+
+        for batch in batches:
+            types = [column(batch, c).type for c in by]
+            values, group = grouped(batch, by)
+            lists = column(batch, "ox_cells")
+            length = pc.list_value_length(lists).to_numpy()
+            size, good = (lists.flatten().field(c).to_numpy() for c in ("n", "k"))
+            unit = np.repeat(np.arange(len(length)), length)
+            ok = column(batch, "ox_e").to_numpy() != 0
+            half = size // 2
+            sums = lambda x: np.bincount(unit, x * ok[unit], len(length)).astype(np.int64)  # noqa: E731, B023
+            all_half, all_good, sure = np.maximum(sums(half), 1), sums(good), sums(np.where(good >= size, half, 0))
+            # A unit's slots are its own: a family's follow those of the families before.
+            slot = 1 + np.cumsum(half) - half
+            slot -= (slot[(np.cumsum(length) - length)[length > 0]] - 1).repeat(length[length > 0])
+            kinds, kind = np.unique(np.stack([group, ok, np.where(ok, all_half, 1), all_good]), axis=1, return_inverse=True)
+            kinds, kind = kinds.T.tolist(), kind.reshape(-1)
+            tables = []
+            for g, e, h, t in kinds:
+                tables.append(held.setdefault((values[g], e, h, t), np.zeros((h + 1, repetitions), np.int64)))
+            todo = np.flatnonzero((good > 0) & (good < size) & ok[unit])
+            open_ = np.zeros(len(length), bool)
+            open_[unit[todo]] = True
+            pairs, times = np.unique(np.stack([kind, sure])[:, ~open_], axis=1, return_counts=True)
+            for (c, hits), m in zip(pairs.T.tolist(), times.tolist()):
+                tables[c][hits] += m
+            first = np.array([0, *np.cumsum([h + 1 for _, _, h, _ in kinds])])
+            keys, drawing = column(batch, "ox_key").to_numpy(), np.flatnonzero(open_)
+            for at in range(0, len(drawing), block):
+                rows = drawing[at : at + block]
+                cells_ = todo[slice(*np.searchsorted(unit[todo], [rows[0], rows[-1] + 1]))]
+                state = states(keys[rows], reps, seed)
+                here = np.repeat(sure[rows][:, None], repetitions, 1)
+                place = np.searchsorted(rows, unit[cells_])
+                turn = np.arange(len(place)) - np.searchsorted(place, place)  # which open family of its unit
+                for t in range(int(turn.max()) + 1):
+                    some = cells_[turn == t]
+                    of = place[turn == t]
+                    rest, won = np.repeat(good[some][:, None], repetitions, 1).astype(float), np.zeros((len(some), repetitions), np.int64)
+                    for j in range(int(half[some].max())):
+                        on = np.flatnonzero(half[some] > j)
+                        hit = drawn(state[of[on]], (slot[some[on]] + j)[:, None]) * (size[some[on]] - j)[:, None] < rest[on]
+                        won[on] += hit
+                        rest[on] -= hit
+                    here[of] += won
+                found = np.bincount(((first[kind[rows]][:, None] + here) * repetitions + reps).ravel(), minlength=first[-1] * repetitions).reshape(-1, repetitions)
+                for c in np.unique(kind[rows]).tolist():
+                    tables[c] += found[first[c] : first[c + 1]]
+            if sum(x.size for x in held.values()) > HELD:
+                yield from out()
+        yield from out()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for group, g in f.groupby(by, dropna=False, sort=False):
-                block = max(1, CELLS // repetitions)
-                for at in range(0, len(g), block):
-                    b = g.iloc[at : at + block]
-                    keys, ok = b[key].to_numpy().astype(np.int64), b["ox_e"].to_numpy().astype(bool)
-                    state = states(keys, reps, seed)
-                    families = max((len(x) for x in b["ox_cells"]), default=0)
-                    left, right, halves = (np.zeros((len(b), repetitions)) for _ in range(3))
-                    slot = 1
-                    for i in range(families):
-                        size, good = (np.array([x[i][c] if i < len(x) else 0 for x in b["ox_cells"]]) for c in ("n", "k"))
-                        rest, here = np.repeat(good[:, None], repetitions, 1).astype(float), np.zeros((len(b), repetitions))
-                        for j in range(int(size.max(initial=0)) // 2):
-                            open_ = (size - j)[:, None]
-                            hit = (drawn(state, slot) * open_ < rest) & (size // 2 > j)[:, None]
-                            here, rest, slot = here + hit, rest - hit, slot + 1
-                        left, right, halves = left + here, right + good[:, None] - here, halves + (size // 2)[:, None]
-                    halves = np.maximum(halves, 1)
-                    left, right = left / halves * ok[:, None], right / halves * ok[:, None]
-                    for scope, some in (("full_manifest", np.ones(len(b), bool)), ("clean_eligible", ok)):
-                        flat = pd.DataFrame({"rep": np.tile(reps, some.sum()), "left": left[some].ravel(), "right": right[some].ravel()})
-                        c = flat.groupby(["rep", "left", "right"], sort=False).size().reset_index(name="units")
-                        own = group if isinstance(group, tuple) else (group,)
-                        yield pd.DataFrame({**{x: pd.Series([None if pd.isna(v) else v] * len(c), dtype=object) for x, v in zip(by, own)}, "scope": scope, **{x: c[x] for x in ("rep", "left", "right", "units")}})
-
-    schema = ", ".join([*(f"`{c}` {kind[c]}" for c in by), "scope string, rep long, left double, right double, units long"])
-    return data.mapInPandas(run, schema).groupBy(*by, "scope", "rep", "left", "right").agg(F.sum("units").alias("units"))
+    return data.mapInArrow(run, schema).groupBy(*by, "scope", "rep", "left", "right").agg(F.sum("units").alias("units"))
 
 
 def paired_metrics(cells: DataFrame, by: list[str], left: str = "left", right: str = "right", units: str | None = None) -> DataFrame:
@@ -400,6 +440,7 @@ def paired_metrics(cells: DataFrame, by: list[str], left: str = "left", right: s
     and root mean square difference, rank correlation. ``units``: how many units a row stands for."""
     u = F.col(units) if units else F.lit(1)
     c = cells.select(*by, F.col(left).alias("left"), F.col(right).alias("right"), u.alias("units")).groupBy(*by, "left", "right").agg(F.sum("units").alias("units"))
+    c = materialize(c, "paired-values")  # few rows, named four times
     d, n = F.col("left") - F.col("right"), F.col("units")
     mean = lambda x: F.sum(n * x) / F.sum(n)
     g = c.groupBy(*by).agg(mean(F.col("left")).alias("mean_left"), mean(F.col("right")).alias("mean_right"), mean(d).alias("signed_difference"), F.abs(mean(d)).alias("absolute_difference"), mean(F.abs(d)).alias("sample_mae"), F.sqrt(mean(d * d)).alias("sample_rmse"))

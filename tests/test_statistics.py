@@ -288,6 +288,18 @@ def test_sums_are_those_of_each_unit_drawn_by_itself(spark):
         assert {g: r["mean"] for g, r in got.items()} == {g: pytest.approx((m / w).mean()) for g, (m, w) in want.items()}
 
 
+def test_split_halves_dont_depend_on_how_units_are_dealt(spark):
+    rows = [("m", i, f, n, k, int(i % 5 > 0)) for i in range(200) for f, n, k in (("a", 2 + 2 * (i % 3), 1 + i % 2), ("b", 4, i % 5), ("c", 2 * (i % 2), 0), ("d", 2, 1))]
+    df = spark.createDataFrame(rows, "model string, ref_id long, family string, n int, k int, eligible int")
+    halves = lambda x: sorted(map(tuple, R.split_halves(x, ["model"], "family", "n", "k", "eligible", repetitions=9, seed=4).collect()))
+    whole = halves(df)
+    parts = {}
+    for at in range(0, 200, 40):
+        for *key, units in halves(df.filter(f"ref_id >= {at} AND ref_id < {at + 40}")):
+            parts[tuple(key)] = parts.get(tuple(key), 0) + units
+    assert whole == sorted((*k, n) for k, n in parts.items())
+
+
 def test_split_halves_are_hypergeometric(spark):
     rows = [(0, i, f, n, k, 1) for i in range(300) for f, n, k in (("a", 4, 3), ("b", 6, 2))] + [(0, 999, "a", 2, 2, 0)]
     df = spark.createDataFrame(rows, "model int, ref_id int, family string, n int, k int, eligible int")
