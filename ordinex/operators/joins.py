@@ -16,9 +16,13 @@ def latest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def missing_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys of one side alone, with the side that has them."""
-    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
-    return a.join(b, keys, "left_anti").withColumn("side", F.lit("left")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("right")))
+    """Keys of one side alone, with the side that has them; a key with a null is never the other side's. One aggregation
+    of both sides' keys: a task holds one table of its keys."""
+    of = lambda df, side: df.select(*keys, *[F.lit(side == x).alias(f"ox_{x}") for x in ("left", "right")])
+    g = of(left, "left").unionByName(of(right, "right")).groupBy(*keys).agg(*[F.max(f"ox_{x}").alias(f"ox_{x}") for x in ("left", "right")])
+    alone = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys]) | (F.col("ox_left") != F.col("ox_right"))
+    sides = F.array(*[F.when(F.col(f"ox_{x}") & alone, F.lit(x)) for x in ("left", "right")])
+    return g.select(*keys, F.explode(F.array_compact(sides)).alias("side"))
 
 
 def pending(manifest: DataFrame, summary: DataFrame, trace: DataFrame, keys: list[str]) -> DataFrame:

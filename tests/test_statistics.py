@@ -409,6 +409,14 @@ def test_optimism_from_shares_is_that_of_outcomes(spark):
     assert (r["coverage"], r["complete_case"], r["total_optimism"]) == (pytest.approx(28 / 40), pytest.approx(25 / 28), pytest.approx(25 / 28 - 0.5)) and r["residual"] < 1e-12
 
 
+def test_keys_of_one_side_take_one_aggregation(spark):
+    a = spark.createDataFrame([(1, 1), (1, 1), (2, 5), (None, 3), (4, None)], "i int, r int")
+    b = spark.createDataFrame([(2, 5), (3, 0), (3, 0), (None, 3)], "i int, r int")
+    m = joins.missing_keys(a, b, ["i", "r"])
+    assert sorted(map(str, map(tuple, m.collect()))) == sorted(map(str, [(1, 1, "left"), (None, 3, "left"), (4, None, "left"), (3, 0, "right"), (None, 3, "right")]))
+    assert "Join" not in m._jdf.queryExecution().optimizedPlan().toString() and joins.missing_keys(a.limit(0), a.limit(0), ["i"]).count() == 0
+
+
 def test_key_operations(spark):
     log = spark.createDataFrame([(1, 10, "old", 0), (2, 20, "only", 1), (1, 10, "new", 2)], "i int, r int, v string, n int")
     assert {x["v"] for x in joins.latest(log, ["i", "r"], "n").collect()} == {"only", "new"}
