@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -94,6 +95,11 @@ def clopper_pearson(k: int, n: int, confidence: float = 0.95) -> tuple[float, fl
     return lower, upper
 
 
+@lru_cache(1 << 14)
+def _interval(k: int, n: int, confidence: float) -> tuple[float, float]:
+    return clopper_pearson(k, n, confidence)
+
+
 def wilson_width(k: Column, n: Column, z: float = 1.959963984540054) -> Column:
     """Width of the score interval; null without trials."""
     p, zz = k / n, z * z
@@ -101,16 +107,20 @@ def wilson_width(k: Column, n: Column, z: float = 1.959963984540054) -> Column:
 
 
 def with_intervals(df: DataFrame, k: str, n: str, confidence: float = 0.95, lower: str = "lower", upper: str = "upper") -> DataFrame:
-    """``df`` with ``lower, upper``: exact intervals, worked out once for each distinct (k, n) on the executors; null without trials."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            lo_hi = [clopper_pearson(int(a), int(b), confidence) for a, b in zip(f["ox_k"], f["ox_n"])]
-            yield f.assign(ox_lower=[x[0] for x in lo_hi], ox_upper=[x[1] for x in lo_hi])
-
-    pairs = df.filter(F.col(n) > 0).select(F.col(k).cast("int").alias("ox_k"), F.col(n).cast("int").alias("ox_n")).distinct().mapInPandas(run, "ox_k int, ox_n int, ox_lower double, ox_upper double")
-    both = df.join(pairs, (F.col(k) == F.col("ox_k")) & (F.col(n) == F.col("ox_n")), "left")
-    return both.select(*[df[c] for c in df.columns], F.col("ox_lower").alias(lower), F.col("ox_upper").alias(upper))
+    """``df`` with ``lower, upper``: exact intervals, null without trials. Rows stay where they are: a task works out each distinct (k, n) of a
+    batch once, and keeps the latest ones for the next."""
+
+    @F.pandas_udf("lower double, upper double")
+    def both(k: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = np.full((len(n), 2), np.nan)
+        some = np.flatnonzero(n.notna() & k.notna() & (n > 0))
+        cells, at = np.unique(np.stack([k.iloc[some], n.iloc[some]]).astype(np.int64), axis=1, return_inverse=True)
+        if len(some):
+            out[some] = np.array([_interval(int(a), int(b), confidence) for a, b in cells.T])[at.reshape(-1)]
+        return pd.DataFrame({"lower": out[:, 0], "upper": out[:, 1]}).astype(object).where(~np.isnan(out), None)
+
+    a = df.withColumn("ox_interval", both(F.col(k).cast("long"), F.col(n).cast("long")))
+    return a.select(*df.columns, F.col("ox_interval.lower").alias(lower), F.col("ox_interval.upper").alias(upper))
 
 
 def variance_components(stats: DataFrame, by: list[str], probes: str = "n", successes: str = "n_stable") -> DataFrame:

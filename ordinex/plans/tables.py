@@ -39,8 +39,9 @@ def _profiles(f: DataFrame) -> DataFrame:
     p = E.profiles(f)
     keys = ["model", "ref_id", "split"]
     pick = lambda m, k: F.coalesce(F.element_at(m, F.lit(k)), F.lit(0.0))
-    extra = p.select(*keys, pick("failure_shares", "winner_missing").alias("winner_missing_share"), pick("culprit_shares", "1").alias("first_culprit_share"), pick("family_shares", "blur").alias("blur_share"), F.map_keys("culprits").alias("k"))
-    return E.flattened(p, "own", keys).join(extra.withColumn("culprit_kinds", F.size("k")).drop("k"), keys)
+    extra = {"winner_missing_share": pick("failure_shares", "winner_missing"), "first_culprit_share": pick("culprit_shares", "1"), "blur_share": pick("family_shares", "blur"), "culprit_kinds": F.size(F.map_keys("culprits"))}
+    flat = E.flattened(p.withColumns(extra), "own", [*keys, *extra])  # in one row: no join
+    return flat.select(*keys, *[c for c in flat.columns if c not in keys and c not in extra], *extra)
 
 
 add(

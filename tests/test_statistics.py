@@ -417,6 +417,17 @@ def test_keys_of_one_side_take_one_aggregation(spark):
     assert "Join" not in m._jdf.queryExecution().optimizedPlan().toString() and joins.missing_keys(a.limit(0), a.limit(0), ["i"]).count() == 0
 
 
+def test_profiles_and_intervals_need_no_join(spark):
+    df = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate([(0, 4), (3, 3), (2, 7), (2, 7), (0, 0), (None, 2), (1, None)])], "i int, k int, n int")
+    a = S.with_intervals(df, "k", "n")
+    got = {r["i"]: (r["lower"], r["upper"]) for r in a.collect()}
+    assert got == {i: S.clopper_pearson(k, n) if k is not None and n else (None, None) for i, k, n in map(tuple, df.collect())}
+    with pytest.raises(Exception, match="0 <= k <= n"):
+        S.with_intervals(df.filter("i = 0").withColumn("k", F.lit(9)), "k", "n").collect()
+    facts = spark.createDataFrame([], FACT)
+    assert "Join" not in E.profiles(facts)._jdf.queryExecution().optimizedPlan().toString() + a._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_key_operations(spark):
     log = spark.createDataFrame([(1, 10, "old", 0), (2, 20, "only", 1), (1, 10, "new", 2)], "i int, r int, v string, n int")
     assert {x["v"] for x in joins.latest(log, ["i", "r"], "n").collect()} == {"only", "new"}
